@@ -49,32 +49,42 @@ def _decode_piece(piece: Column, i: Column) -> Column:
 
 
 def decode_entities(text: Column) -> Column:
-    """Decode numeric entities and those named ones that matter to numbers and links."""
-    numeric = F.when(
+    """Decode numeric entities and those named ones that matter to numbers and links.
+
+    ``text`` occurs several times in the result, so it should be a plain column.
+    """
+    decoded = F.when(
         text.contains("&#"), F.array_join(F.transform(F.split(text, "&#"), _decode_piece), "")
     ).otherwise(text)
-    decoded = numeric
     for name, char in NAMED_ENTITIES.items():
         decoded = F.replace(decoded, F.lit(name), F.lit(char))
-    return F.replace(decoded, F.lit("&amp;"), F.lit("&"))
+    decoded = F.replace(decoded, F.lit("&amp;"), F.lit("&"))
+    return F.when(text.contains("&"), decoded).otherwise(text)
+
 
+def marked_text(visible: Column) -> Column:
+    """Text of visible HTML with ``BLOCK_MARK`` between blocks; inline tags join their text.
 
-def block_text(visible: Column) -> Column:
-    """Text of visible HTML with ``BLOCK_MARK`` between blocks; inline tags join their text."""
-    marked = F.regexp_replace(visible, BLOCK_TAG, BLOCK_MARK)
-    return decode_entities(F.regexp_replace(marked, ANY_TAG, ""))
+    Entities are still encoded.
+    """
+    return F.regexp_replace(F.regexp_replace(visible, BLOCK_TAG, BLOCK_MARK), ANY_TAG, "")
 
 
 def blocks(text: Column) -> Column:
     return F.split(text, BLOCK_MARK)
 
 
+def digit_blocks(marked: Column) -> Column:
+    """Decoded blocks of ``marked_text`` that hold a digit; the others need not be decoded."""
+    kept = F.filter(blocks(marked), lambda b: b.rlike(r"\p{Nd}|&#"))
+    return F.transform(kept, lambda b: decode_entities(b))
+
+
 def joined_hrefs(visible: Column) -> Column:
-    """All ``<a href>`` values in document order, decoded, each after a ``HREF_MARK``."""
+    """All ``<a href>`` values in document order, still encoded, each after a ``HREF_MARK``."""
     quoted = F.regexp_extract_all(visible, F.lit(HREF), F.lit(1))
     joined = F.concat(F.lit(HREF_MARK), F.array_join(quoted, HREF_MARK))
-    unquoted = F.regexp_replace(joined, rf"""["']?{HREF_MARK}["']?|["']\z""", HREF_MARK)
-    return decode_entities(unquoted)
+    return F.regexp_replace(joined, rf"""["']?{HREF_MARK}["']?|["']\z""", HREF_MARK)
 
 
 def hrefs(joined: Column) -> Column:

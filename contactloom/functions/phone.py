@@ -29,7 +29,16 @@ def unicode_pattern(pattern: str) -> str:
     return "".join(out)
 
 
+def _required_char(pattern: str) -> str | None:
+    """A character that every match of ``pattern`` holds, as far as it is plain to see."""
+    for token, char in ((r"\(", "("), (r"\+", "+"), ("[.]", "."), ("[-]", "-"), ("}-", "-")):
+        if token in pattern:
+            return char
+    return None
+
+
 PATTERNS = [unicode_pattern(p) for p in PHONE_PATTERNS]
+REQUIRED_CHAR = {unicode_pattern(p): _required_char(p) for p in PHONE_PATTERNS}
 # A pattern that ends in letters holds 6 or 7 digits and can never give a valid number.
 LIVE_PATTERNS = [p for p in PATTERNS if "[A-Z]" not in p]
 
@@ -53,8 +62,19 @@ def digit_runs(text: Column, letters: bool = False) -> Column:
 
 
 def pattern_matches(runs: Column, patterns: list[str]) -> list[Column]:
-    """One array of matches per pattern, in pattern order."""
-    return [F.regexp_extract_all(runs, F.lit(p), F.lit(0)) for p in patterns]
+    """One array of matches per pattern, in pattern order.
+
+    A pattern whose required character does not occur is not run.
+    """
+    found = []
+    for pattern in patterns:
+        matches = F.regexp_extract_all(runs, F.lit(pattern), F.lit(0))
+        char = REQUIRED_CHAR[pattern]
+        if char:
+            none = F.array().cast("array<string>")
+            matches = F.when(runs.contains(char), matches).otherwise(none)
+        found.append(matches)
+    return found
 
 
 def format_number(raw: Column) -> Column:
@@ -62,14 +82,11 @@ def format_number(raw: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(raw, r"^(?:\+91|0)", ""), rf"[^{DIGIT}+]", "")
 
 
-def tel_number(href: Column) -> Column:
-    """Formatted number of a ``tel:`` link: the text after the last ``tel:``."""
-    return format_number(F.element_at(F.split(href, "tel:"), -1))
+def digits_of(number: Column) -> Column:
+    return F.regexp_replace(number, rf"[^{DIGIT}]", "")
 
 
-def reject_reason(number: Column) -> Column:
-    """First rule that a formatted number breaks, null for a valid number."""
-    digits = F.regexp_replace(number, rf"[^{DIGIT}]", "")
+def _reason_of_digits(digits: Column) -> Column:
     size = F.length(digits)
     return (
         F.when((size < 10) | (size > 12), "length")
@@ -80,20 +97,30 @@ def reject_reason(number: Column) -> Column:
     )
 
 
-def is_valid(number: Column) -> Column:
-    return reject_reason(number).isNull()
+def reject_reason(number: Column) -> Column:
+    """First rule that a formatted number breaks, null for a valid number."""
+    return _reason_of_digits(digits_of(number))
+
+
+def after_last_tel(href: Column) -> Column:
+    return F.element_at(F.split(href, "tel:"), -1)
 
 
 def valid_numbers(tel_hrefs: Column | None, blocks: Column | None) -> Column:
     """Distinct valid numbers in order of sighting: tel: links, then block, pattern, match."""
     found = []
     if tel_hrefs is not None:
-        found.append(F.transform(tel_hrefs, tel_number))
+        found.append(F.transform(tel_hrefs, lambda h: after_last_tel(h)))
     if blocks is not None:
         runs = F.filter(F.transform(blocks, lambda b: digit_runs(b)), lambda r: r != "")
         matches = F.transform(runs, lambda r: F.concat(*pattern_matches(r, LIVE_PATTERNS)))
-        found.append(F.transform(F.flatten(matches), format_number))
-    return F.array_distinct(F.filter(F.concat(*found), is_valid))
+        found.append(F.flatten(matches))
+    raw = F.array_distinct(F.concat(*found))
+    numbers = F.array_distinct(F.transform(raw, lambda r: format_number(r)))
+    checked = F.transform(
+        numbers, lambda n: F.struct(n.alias("number"), digits_of(n).alias("digits"))
+    )
+    return F.filter(checked, lambda x: _reason_of_digits(x.digits).isNull()).getField("number")
 
 
 def zip_codes(text: Column) -> Column:

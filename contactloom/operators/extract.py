@@ -1,6 +1,6 @@
 """Text blocks, number candidates, postal codes and per-page numbers."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contactloom.functions import html, phone
@@ -9,14 +9,22 @@ from contactloom.functions import html, phone
 def tel_link_numbers(links: DataFrame, *keys: str) -> DataFrame:
     """``(keys, link_ord, raw)`` of the links that are ``tel:`` links."""
     return links.filter(F.col("href").startswith("tel:")).select(
-        *keys, "link_ord", F.element_at(F.split("href", "tel:"), -1).alias("raw")
+        *keys, "link_ord", phone.after_last_tel(F.col("href")).alias("raw")
+    )
+
+
+def page_texts(pages: DataFrame, *keys: str) -> DataFrame:
+    """``(keys, text)`` with the whole text of a page in one row, blocks marked."""
+    marked = html.marked_text(html.visible_html(F.col("html")))
+    return pages.select(*keys, marked.alias("text")).withColumn(
+        "text", html.decode_entities(F.col("text"))
     )
 
 
 def text_blocks(pages: DataFrame, *keys: str) -> DataFrame:
     """``(keys, block_ord, text)``: the non-blank text blocks of a page in document order."""
-    blocks = html.blocks(html.block_text(html.visible_html(F.col("html"))))
-    return pages.select(*keys, F.posexplode(blocks).alias("block_ord", "text")).filter(
+    blocks = F.posexplode(html.blocks(F.col("text"))).alias("block_ord", "text")
+    return page_texts(pages, *keys).select(*keys, blocks).filter(
         F.col("text").rlike(r"[^\t-\r ]")
     )
 
@@ -60,54 +68,68 @@ def zip_codes(texts: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def page_texts(pages: DataFrame, *keys: str) -> DataFrame:
-    """``(keys, text)`` with the whole text of a page in one row, blocks marked."""
-    text = html.block_text(html.visible_html(F.col("html")))
-    return pages.select(*keys, text.alias("text"))
+def _if_any(numbers: Column) -> Column:
+    """Generator that keeps a row only if it has numbers.
+
+    A filter on ``size(numbers)`` would be pushed below the projection and find them twice.
+    """
+    return F.explode(F.filter(F.array(numbers), lambda n: F.size(n) > 0)).alias("numbers")
 
 
 def numbers_of_texts(texts: DataFrame, *keys: str) -> DataFrame:
-    """``(keys, numbers, zips)`` of plain texts; each text is one block.
+    """``(keys, numbers, zips)`` of the plain texts with a valid number; each text is one block.
 
     A row-to-row step: finding, formatting, checking and the first-sighting dedupe of a text's
     numbers need no shuffle.
     """
-    text = F.col("text")
-    empty = F.array().cast("array<string>")
-    found = texts.filter(text.rlike(phone.DIGIT_RUN)).select(
-        *keys,
-        phone.valid_numbers(None, F.array(text)).alias("numbers"),
-        F.coalesce(phone.zip_codes(text), empty).alias("zips"),
+    numbers = phone.valid_numbers(None, F.array("text"))
+    return texts.select(*keys, "text", _if_any(numbers)).select(
+        *keys, "numbers", phone.zip_codes(F.col("text")).alias("zips")
     )
-    return found.filter(F.size("numbers") > 0)
 
 
-def numbers_of_pages(
-    pages: DataFrame, *keys: str, parent_filter: bool = False, links: bool = False
-) -> DataFrame:
-    """``(keys, numbers, zips[, links])`` of HTML pages, row to row and without a shuffle.
-
-    ``parent_filter`` drops every text match, since the enclosing element always holds the same
-    text; only ``tel:`` links are left. With ``links`` the raw hrefs come along for link following.
-    """
+def _page_parts(pages: DataFrame, *keys: str) -> DataFrame:
+    """``(keys, hrefs, text)``: the two readings of a page; the text's entities are still encoded."""
     visible = pages.select(*keys, html.visible_html(F.col("html")).alias("visible"))
-    parts = visible.select(
+    return visible.select(
         *keys,
         html.joined_hrefs(F.col("visible")).alias("hrefs"),
-        html.block_text(F.col("visible")).alias("text"),
+        html.marked_text(F.col("visible")).alias("text"),
+    ).withColumn("hrefs", html.decode_entities(F.col("hrefs")))
+
+
+def _page_numbers(parent_filter: bool) -> Column:
+    blocks = None if parent_filter else html.digit_blocks(F.col("text"))
+    return phone.valid_numbers(html.tel_hrefs(F.col("hrefs")), blocks)
+
+
+def _page_zips() -> Column:
+    return phone.zip_codes(html.decode_entities(F.col("text")))
+
+
+def numbers_of_pages(pages: DataFrame, *keys: str, parent_filter: bool = False) -> DataFrame:
+    """``(keys, numbers, zips)`` of the HTML pages with a valid number, without a shuffle.
+
+    ``parent_filter`` drops every text match, since the enclosing element always holds the same
+    text; only ``tel:`` links are left.
+    """
+    parts = _page_parts(pages, *keys)
+    return parts.select(*keys, "text", _if_any(_page_numbers(parent_filter))).select(
+        *keys, "numbers", _page_zips().alias("zips")
+    )
+
+
+def numbers_and_links(pages: DataFrame, *keys: str, parent_filter: bool = False) -> DataFrame:
+    """``(keys, numbers, zips, links)`` of all HTML pages; ``links`` are raw hrefs with their place."""
+    links = F.transform(
+        html.hrefs(F.col("hrefs")), lambda h, i: F.struct(i.alias("link_ord"), h.alias("href"))
+    )
+    found = _page_parts(pages, *keys).select(
+        *keys, "text", links.alias("links"), _page_numbers(parent_filter).alias("numbers")
     )
-    empty = F.array().cast("array<string>")
-    text = F.col("text")
-    if parent_filter:
-        blocks = None
-    else:
-        blocks = F.when(text.rlike(phone.DIGIT_RUN), html.blocks(text)).otherwise(empty)
-    numbers = phone.valid_numbers(html.tel_hrefs(F.col("hrefs")), blocks)
-    columns = [*keys, numbers.alias("numbers"), "text"]
-    if links:
-        columns.append(html.hrefs(F.col("hrefs")).alias("links"))
-    zips = F.when(F.size("numbers") > 0, phone.zip_codes(text)).otherwise(empty)
-    return parts.select(*columns).withColumn("zips", zips).drop("text")
+    none = F.array().cast("array<string>")
+    zips = F.when(F.size("numbers") > 0, _page_zips()).otherwise(none)
+    return found.select(*keys, "numbers", zips.alias("zips"), "links")
 
 
 def page_numbers(found: DataFrame, *keys: str) -> DataFrame:

@@ -30,7 +30,7 @@ def page_pairs(
 ) -> DataFrame:
     """``(keys, numbers, pairs)`` of HTML pages that hold a number."""
     found = extract.numbers_of_pages(pages, *keys, parent_filter=parent_filter)
-    return _with_pairs(found.filter(F.size("numbers") > 0), postal, *keys)
+    return _with_pairs(found, postal, *keys)
 
 
 def contacts_per_site(
@@ -58,21 +58,18 @@ def page_facts(
     ``page_id``; they are reduced before the shuffle, and the postal lookup reuses its
     partitioning.
     """
-    empty = F.array().cast("array<string>")
-    found = extract.numbers_of_pages(
-        links.drop_unwanted_extensions(pages), "url", "page_id",
-        parent_filter=parent_filter, links=True,
+    found = extract.numbers_and_links(
+        links.drop_unwanted_extensions(pages), "url", "page_id", parent_filter=parent_filter
     ).select(
         "url", "page_id", F.slice("numbers", 1, rollup.MAX_CONTACTS).alias("numbers"), "zips",
         F.filter(
-            F.transform("links", lambda h, i: F.struct(i.alias("link_ord"), h.alias("href"))),
-            lambda x: links.is_relevant(x.href) & ~links.is_social(x.href),
+            "links", lambda x: links.is_relevant(x.href) & ~links.is_social(x.href)
         ).alias("links"),
     )
     first_copy = found.groupBy("url").agg(
         F.min_by(F.struct("numbers", "zips", "links"), "page_id").alias("page")
     )
-    facts = first_copy.select("url", "page.numbers", "page.links", F.coalesce("page.zips", empty).alias("zips"))
+    facts = first_copy.select("url", "page.*")
     return _with_pairs(facts, postal, "url").select("url", "pairs", "links")
 
 
