@@ -79,3 +79,9 @@ POSTAL_CA = "SELECT lpad(CAST(c_custkey % 1000 AS string), 5, '0') AS Zip FROM c
 POSTAL_US = "SELECT lpad(CAST(c_custkey % 1000 AS string), 5, '0') AS Zip FROM customer WHERE c_acctbal >= 0"
 
 CRAWL_PAGES = f"{HOME_PAGES} UNION ALL {CHILD_PAGES} UNION ALL {PARTNER_PAGES}"
+
+# The feed of the streaming jobs: every copy of a page is a page of its own.
+FEED_PAGES = f"""
+SELECT page_id, url || '?v=' || CAST(page_id AS string) AS url,
+  regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS parent_url, html FROM ({CRAWL_PAGES})
+"""

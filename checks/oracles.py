@@ -270,10 +270,6 @@ _ALL_CANDIDATES = """(SELECT raw FROM doc_candidates UNION ALL SELECT raw FROM c
 _FORMATTED = f"(SELECT raw, {_format('raw')} AS number FROM {_ALL_CANDIDATES})"
 _CHECKED = f"(SELECT raw, number, {_reason('number')} AS reason FROM {_FORMATTED})"
 _FINAL_COLUMNS = "url, phone_number_1, country_1, phone_number_2, country_2, phone_number_3, country_3"
-_HOME_HITS = _wide(
-    "(SELECT url, number, country, number_ord + 1 AS rn FROM page_pairs WHERE number_ord < 3)",
-    "url", "url",
-)
 
 BODIES = {
     "seed_domains": "SELECT row_number() OVER (ORDER BY seed_ord) - 1 AS seed_ord, domain FROM seeds",
@@ -309,7 +305,9 @@ BODIES = {
     "rejection_breakdown": f"""SELECT coalesce(reason, 'valid') AS reason, count(*) AS n
         FROM {_CHECKED} GROUP BY 1""",
     "country_from_zip": "SELECT url, page_id, zip_country FROM zip_countries",
-    "country_from_number": "SELECT number, number_country AS country FROM number_countries",
+    "country_from_number": """SELECT number, number_country AS country FROM number_countries
+        WHERE number IN (SELECT number FROM numbers UNION SELECT number FROM doc_numbers
+                         UNION SELECT number FROM given_numbers)""",
     "country_resolve": "SELECT url, page_id, number_ord, number, country FROM page_pairs",
     "link_frontier": """SELECT parent_url, o.url, link_ord FROM owners o
         JOIN first_copies p ON o.url = p.url WHERE depth = 1""",
@@ -340,23 +338,39 @@ BODIES = {
         max(CASE WHEN number_ord = 2 THEN number ELSE '' END) AS phone_number3
         FROM numbers GROUP BY url""",
     "stream_visited": "SELECT DISTINCT target AS url FROM edges",
-    "stream_contacts": _wide(
-        f"""({_top3("(SELECT parent_url, number, country, rank FROM site_pairs)", "parent_url")})""",
-        "parent_url", "url",
+    "stream_contacts": _wide(f"({_top3('feed_pairs', 'parent_url')})", "parent_url", "url"),
+    "stream_first_hit": f"SELECT {_FINAL_COLUMNS} FROM feed_first",
+    "stream_totals": f"""{_TOTALS} (SELECT (phone_number_1 IS NOT NULL)::INT
+        + (phone_number_2 IS NOT NULL)::INT + (phone_number_3 IS NOT NULL)::INT AS found
+        FROM feed_first)""",
+    "stream_restart": "SELECT DISTINCT target AS url FROM edges",
+}
+
+# The feed that streams read: every copy of a page is a page of its own.
+CTES |= {
+    "feed_pages": f"SELECT DISTINCT * FROM ({derived.FEED_PAGES})",
+    "feed_links": _links("feed_pages", K),
+    "feed_texts": _texts("feed_pages", K),
+    "feed_blocks": _blocks("feed_texts", K),
+    "feed_candidates": _candidates("feed_blocks", f"{K}, block_ord"),
+    "feed_numbers": _numbers(
+        f"{_tel('feed_links', K)} UNION ALL {_text('feed_candidates', K)}", K
     ),
-    "stream_first_hit": _wide(
-        """(SELECT parent_url, number, country, number_ord + 1 AS rn FROM site_pairs c
-            WHERE number_ord < 3 AND page_rank = (SELECT min(page_rank) FROM site_pairs d
-                                                  WHERE d.parent_url = c.parent_url))""",
+    "feed_zips": _zips("feed_texts", K),
+    "feed_countries": f"""SELECT {K}, min_by(country, zip_ord) AS zip_country
+        FROM feed_zips JOIN postal USING (zip) GROUP BY {K}""",
+    "feed_pairs": """SELECT parent_url, n.page_id, number_ord, number,
+          coalesce(zip_country, number_country) AS country, [n.page_id, number_ord] AS rank
+        FROM feed_numbers n JOIN feed_pages p ON n.url = p.url
+        LEFT JOIN feed_countries z ON n.url = z.url LEFT JOIN number_countries USING (number)""",
+    "feed_first": _wide(
+        """(SELECT parent_url, number, country, number_ord + 1 AS rn FROM feed_pairs
+            JOIN (SELECT parent_url, min(page_id) AS page_id FROM feed_pairs GROUP BY parent_url)
+              USING (parent_url, page_id) WHERE number_ord < 3)""",
         "parent_url", "url",
     ),
-    "stream_totals": f"""{_TOTALS} (SELECT url, least(count(*), 3) AS found FROM page_pairs GROUP BY url)""",
-    "stream_restart": "SELECT DISTINCT target AS url FROM edges",
 }
-
-# Streams read every page under its site: the part of the url before the path.
-CTES["site_pairs"] = """SELECT regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS parent_url, number, country,
-    number_ord, [page_id, number_ord] AS rank, page_id AS page_rank FROM page_pairs"""
+CTES["all_numbers"] += " UNION SELECT number FROM feed_numbers"
 
 
 def oracle_sql() -> dict[str, str]:

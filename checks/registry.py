@@ -1,5 +1,7 @@
 """One runnable query per operator, over whole tables."""
 
+import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +14,7 @@ from contactloom.operators import country, extract, links, metrics, rollup
 from contactloom.plans import contacts
 from contactloom.sources import inputs, outputs
 from contactloom.sources.shared import new_path, shared_table
+from contactloom.streaming import feed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,12 +34,17 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def derive(spark: SparkSession, sf: str, sql: str) -> DataFrame:
+def stream_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    # A pattern, since a stream reads a directory or what matches a pattern, but no single file.
+    return inputs.stream_table(spark, f"{sf}/{name}.parquet*", table(spark, sf, name).schema)
+
+
+def derive(spark: SparkSession, sf: str, sql: str, source=table) -> DataFrame:
     """Run derivation SQL on the tables it names."""
     names = [n for n in ("orders", "lineitem", "nation", "customer") if f"FROM {n}" in sql]
     for name in names:
         sql = sql.replace(f"FROM {name}", f"FROM {{{name}}}")
-    return spark.sql(sql, **{name: table(spark, sf, name) for name in names})
+    return spark.sql(sql, **{name: source(spark, sf, name) for name in names})
 
 
 def seeds(spark, sf):
@@ -406,3 +414,78 @@ def array_to_columns(spark, sf):
     found = extract.numbers_of_pages(pages, *KEYS)
     first = links.first_copies(found.select(*KEYS, F.col("numbers").alias("phone_numbers")), pages)
     return outputs.array_to_columns(first)
+
+
+# --- streaming ----------------------------------------------------------------------------------
+
+
+def _run(stream: DataFrame, name: str, checkpoint: str | None = None, path: str | None = None) -> str:
+    """Work off a stream into a new table of the shared folder; returns its path."""
+    spark = stream.sparkSession
+    path = path or new_path(spark, name)
+    feed.start(stream, checkpoint or new_path(spark, "checkpoint"), path=path).awaitTermination()
+    return path
+
+
+def _stored(spark, path: str, like: DataFrame) -> DataFrame:
+    return spark.read.schema(like.schema).parquet(path)
+
+
+def _target_urls(home: DataFrame) -> DataFrame:
+    """Urls of the followed links of home pages, each once."""
+    edges = links.frontier_links(links.page_links(home, "url"), "url")
+    return feed.distinct_urls(edges.select(F.col("target").alias("url")))
+
+
+def _hits(spark, sf) -> DataFrame:
+    """The stored table of page hits, as the stream the later jobs read."""
+    pages = derive(spark, sf, derived.FEED_PAGES, stream_table)
+    hits = feed.page_hits(pages, postal(spark, sf))
+    return inputs.stream_table(spark, _run(hits, "hits"), hits.schema)
+
+
+@query
+def stream_visited(spark, sf):
+    urls = _target_urls(derive(spark, sf, derived.HOME_PAGES, stream_table))
+    return _stored(spark, _run(urls, "urls"), urls)
+
+
+@query
+def stream_first_hit(spark, sf):
+    first = feed.first_hits(_hits(spark, sf))
+    return _stored(spark, _run(first, "first-hits"), first)
+
+
+@query
+def stream_contacts(spark, sf):
+    changes = feed.growing_contacts(_hits(spark, sf))
+    return feed.current_contacts(_stored(spark, _run(changes, "changes"), changes))
+
+
+@query
+def stream_totals(spark, sf):
+    first = feed.first_hits(_hits(spark, sf))
+    items = inputs.stream_table(spark, _run(first, "first-hits"), first.schema)
+    name = f"totals_{uuid.uuid4().hex}"
+    totals = feed.running_totals(items)
+    feed.start(totals, new_path(spark, "checkpoint"), "complete", table=name).awaitTermination()
+    return spark.table(name)
+
+
+@query
+def stream_restart(spark, sf):
+    """``stream_visited``, stopped after a batch and taken up again from its checkpoint."""
+    parts, out = new_path(spark, "orders"), new_path(spark, "urls")
+    orders = table(spark, sf, "orders")
+    orders.repartition(4).write.parquet(parts)
+
+    def urls() -> DataFrame:
+        source = lambda *_: inputs.stream_table(spark, parts, orders.schema, files_per_trigger=1)
+        return _target_urls(derive(spark, sf, derived.HOME_PAGES, source))
+
+    checkpoint = new_path(spark, "checkpoint")
+    first_run = feed.start(urls(), checkpoint, path=out, processingTime="0 seconds")
+    while first_run.isActive and not first_run.recentProgress:
+        time.sleep(0.1)
+    first_run.stop()
+    return _stored(spark, _run(urls(), "urls", checkpoint, out), urls())
