@@ -34,6 +34,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table whose rows become pages: few bytes to spread, much work per row."""
+    return inputs.spread(table(spark, sf, name))
+
+
 def stream_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     # A pattern, since a stream reads a directory or what matches a pattern, but no single file.
     return inputs.stream_table(spark, f"{sf}/{name}.parquet*", table(spark, sf, name).schema)
@@ -52,11 +57,11 @@ def seeds(spark, sf):
 
 
 def home_pages(spark, sf):
-    return derive(spark, sf, derived.HOME_PAGES)
+    return derive(spark, sf, derived.HOME_PAGES, spread_table)
 
 
 def crawl_pages(spark, sf):
-    return derive(spark, sf, derived.CRAWL_PAGES)
+    return derive(spark, sf, derived.CRAWL_PAGES, spread_table)
 
 
 def wanted_pages(spark, sf):
@@ -64,7 +69,7 @@ def wanted_pages(spark, sf):
 
 
 def given_pages(spark, sf):
-    return inputs.read_pages(spark, f"{sf}/pages.parquet")
+    return inputs.spread(inputs.read_pages(spark, f"{sf}/pages.parquet"))
 
 
 def postal_rows(spark, sf):
@@ -79,7 +84,7 @@ def postal(spark, sf):
 
 
 def documents(spark, sf):
-    return table(spark, sf, "documents")
+    return spread_table(spark, sf, "documents")
 
 
 # --- sources and reference data -----------------------------------------------------------------

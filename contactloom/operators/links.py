@@ -48,37 +48,45 @@ def not_social_links(links: DataFrame) -> DataFrame:
     return links.filter(~is_social(F.col("href")))
 
 
-def resolve(href: Column, base_url: Column) -> Column:
-    """Absolute url of a link, without its fragment; null for links that are no page.
+def resolve(link: Column, base_url: Column) -> Column:
+    """Absolute url of a link without fragment; null for links that are no page.
 
     ``..`` and ``.`` segments are kept as they are.
     """
-    link = F.regexp_replace(F.trim(href), r"#[\s\S]*\z", "")
-    origin = F.regexp_extract(base_url, r"^([a-zA-Z]+://[^/?#]+)", 1)
-    no_query = F.regexp_replace(base_url, r"[?#][\s\S]*\z", "")
-    folder = F.when(no_query == origin, F.concat(origin, F.lit("/"))).otherwise(
-        F.regexp_replace(no_query, r"[^/]*\z", "")
+    page = F.substring_index(F.substring_index(base_url, "#", 1), "?", 1)
+    origin = F.substring_index(page, "/", 3)
+    after_last_slash = F.length(F.substring_index(page, "/", -1))
+    folder = F.when(page == origin, F.concat(page, F.lit("/"))).otherwise(
+        F.left(page, F.length(page) - after_last_slash)
     )
+    lower = F.lower(link)
     return (
-        F.when(link == "", F.regexp_replace(base_url, r"#[\s\S]*\z", ""))
-        .when(link.rlike("^[hH][tT][tT][pP][sS]?://"), link)
-        .when(link.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), F.lit(None))
-        .when(link.startswith("//"), F.concat(F.regexp_extract(base_url, "^([a-zA-Z]+:)", 1), link))
+        F.when(link == "", F.substring_index(base_url, "#", 1))
+        .when(lower.startswith("http://") | lower.startswith("https://"), link)
+        .when(link.startswith("//"), F.concat(F.substring_index(base_url, "/", 1), link))
         .when(link.startswith("/"), F.concat(origin, link))
-        .when(link.startswith("?"), F.concat(no_query, link))
+        .when(link.startswith("?"), F.concat(page, link))
+        .when(link.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), F.lit(None))
         .otherwise(F.concat(folder, link))
     )
 
 
+def follow(links: DataFrame, base_url: str) -> DataFrame:
+    """Links that lead to a page, with the resolved ``target``.
+
+    The target is kept by a generator, since a filter on it would be pushed below the projection
+    and work the target out again for each condition.
+    """
+    link = F.substring_index(F.trim("href"), "#", 1)
+    target = F.array(resolve(F.col("link"), F.col(base_url)))
+    kept = F.filter(target, lambda t: t.isNotNull() & ~has_unwanted_extension(t))
+    return links.withColumn("link", link).withColumn("target", F.explode(kept)).drop("link")
+
+
 def frontier_links(links: DataFrame, base_url: str) -> DataFrame:
     """Links worth following, with the resolved ``target``."""
-    return (
-        links.transform(relevant_links)
-        .transform(not_social_links)
-        .withColumn("target", resolve(F.col("href"), F.col(base_url)))
-        .filter(F.col("target").isNotNull())
-        .transform(lambda df: drop_unwanted_extensions(df, "target"))
-    )
+    relevant = links.transform(relevant_links).transform(not_social_links)
+    return follow(relevant, base_url)
 
 
 def first_copies(results: DataFrame, pages: DataFrame) -> DataFrame:

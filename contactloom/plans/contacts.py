@@ -90,7 +90,7 @@ def open_parents(home: DataFrame) -> DataFrame:
 def link_targets(home: DataFrame) -> DataFrame:
     """``(parent_url, seed_ord, link_ord, href, target)`` of the links that are followed."""
     edges = home.select("parent_url", "seed_ord", F.inline("links"))
-    return links.frontier_links(edges, "parent_url")
+    return links.follow(edges, "parent_url")
 
 
 def visited(edges: DataFrame, seeds: DataFrame) -> DataFrame:

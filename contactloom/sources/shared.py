@@ -6,12 +6,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """Folder of ``spark.checkpoint.dir``; where it is unset (tests), a new local one is set."""
+    """Folder of ``spark.checkpoint.dir``; only where that is unset (tests), a new local one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="contactloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        app = spark.sparkContext.applicationId
+        if app not in _own_folders:
+            _own_folders[app] = tempfile.mkdtemp(prefix="contactloom-")
+        folder = _own_folders[app]
     return folder.rstrip("/")
 
 
