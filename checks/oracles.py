@@ -37,7 +37,8 @@ def _links(pages: str, keys: str) -> str:
     return f"""
     SELECT {keys}, link_ord, {_decode("regexp_replace(quoted, '^[''\"]|[''\"]$', '', 'g')")} AS href
     FROM (SELECT {keys}, unnest(range(len(h))) AS link_ord, unnest(h) AS quoted
-          FROM (SELECT {keys}, regexp_extract_all({_visible('html')}, {_q(html.HREF)}, 1) AS h
+          FROM (SELECT {keys}, list_filter(
+                  regexp_extract_all({_visible('html')}, {_q(html.HREF)}, 1), lambda x: x <> '') AS h
                 FROM {pages}))"""
 
 

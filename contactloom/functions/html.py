@@ -18,7 +18,8 @@ INVISIBLE = (
 )
 BLOCK_TAG = rf"(?i)</?(?:{'|'.join(BLOCK_TAGS + SEPARATOR_TAGS)})\b[^>]*(?:>|\z)"
 ANY_TAG = r"<[a-zA-Z/!?][^>]*(?:>|\z)"
-HREF = r"""(?i)<a\b[^>]*?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+# A whole <a> tag, so that each tag is read once; group 1 is '' for a tag without href.
+HREF = r"""(?i)<a\b(?:[^>]*?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?[^>]*(?:>|\z)"""
 TEL_HREF = rf"{HREF_MARK}(tel:[^{HREF_MARK}]*)"
 
 
@@ -75,15 +76,23 @@ def blocks(text: Column) -> Column:
 
 
 def digit_blocks(marked: Column) -> Column:
-    """Decoded blocks of ``marked_text`` that hold a digit; the others need not be decoded."""
-    kept = F.filter(blocks(marked), lambda b: b.rlike(r"\p{Nd}|&#"))
+    """Decoded blocks of ``marked_text`` that may hold a number.
+
+    Every valid number has three digits in a row; a block that has none, and no encoded character
+    either, need not be decoded.
+    """
+    kept = F.filter(blocks(marked), lambda b: b.rlike(r"\p{Nd}{3}") | b.contains("&#"))
     return F.transform(kept, lambda b: decode_entities(b))
 
 
+def quoted_hrefs(visible: Column) -> Column:
+    """``<a href>`` values as they are written, quotes included."""
+    return F.array_remove(F.regexp_extract_all(visible, F.lit(HREF), F.lit(1)), "")
+
+
 def joined_hrefs(visible: Column) -> Column:
     """All ``<a href>`` values in document order, still encoded, each after a ``HREF_MARK``."""
-    quoted = F.regexp_extract_all(visible, F.lit(HREF), F.lit(1))
-    joined = F.concat(F.lit(HREF_MARK), F.array_join(quoted, HREF_MARK))
+    joined = F.concat(F.lit(HREF_MARK), F.array_join(quoted_hrefs(visible), HREF_MARK))
     return F.regexp_replace(joined, rf"""["']?{HREF_MARK}["']?|["']\z""", HREF_MARK)
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contactloom.functions.fixed_values import LINK_KEYWORDS, SOCIAL_DOMAINS, UNWANTED_EXTENSIONS
-from contactloom.functions.html import HREF, decode_entities, visible_html
+from contactloom.functions.html import decode_entities, quoted_hrefs, visible_html
 
 _SUFFIXES = "|".join(ext[1:] for ext in UNWANTED_EXTENSIONS)
 
@@ -20,7 +20,7 @@ def drop_unwanted_extensions(pages: DataFrame, url: str = "url") -> DataFrame:
 
 def page_links(pages: DataFrame, *keys: str) -> DataFrame:
     """``(keys, link_ord, href)``: every ``<a href>`` in document order, not resolved."""
-    quoted = F.regexp_extract_all(visible_html(F.col("html")), F.lit(HREF), F.lit(1))
+    quoted = quoted_hrefs(visible_html(F.col("html")))
     return pages.select(*keys, F.posexplode(quoted).alias("link_ord", "quoted")).select(
         *keys,
         "link_ord",
