@@ -170,6 +170,10 @@ CTES = {
     "zips": _zips("texts", K),
     "zip_countries": f"""SELECT {K}, min_by(country, zip_ord) AS zip_country
         FROM zips JOIN postal USING (zip) GROUP BY {K}""",
+    "copies": f"SELECT {K}, html FROM crawl_pages WHERE NOT {_unwanted('url')}",
+    "copy_texts": _texts("copies", K),
+    "copy_blocks": _blocks("copy_texts", K),
+    "copy_candidates": _candidates("copy_blocks", f"{K}, block_ord"),
     # documents and given pages
     "doc_candidates": _candidates("documents", "doc_id"),
     "doc_numbers": _numbers(
@@ -266,7 +270,7 @@ _EXPORT = ", ".join(
 )
 _TOTALS = """SELECT count(*) AS urls_processed, sum(found) AS found, sum(3 - found) AS not_found,
     round(100.0 * sum(found) / (3 * count(*)), 2) AS success_rate FROM """
-_ALL_CANDIDATES = """(SELECT raw FROM doc_candidates UNION ALL SELECT raw FROM candidates
+_ALL_CANDIDATES = """(SELECT raw FROM doc_candidates UNION ALL SELECT raw FROM copy_candidates
     UNION ALL SELECT raw FROM given_candidates)"""
 _FORMATTED = f"(SELECT raw, {_format('raw')} AS number FROM {_ALL_CANDIDATES})"
 _CHECKED = f"(SELECT raw, number, {_reason('number')} AS reason FROM {_FORMATTED})"
@@ -293,11 +297,11 @@ BODIES = {
     "tel_link_numbers": """SELECT url, link_ord, string_split(href, 'tel:')[-1] AS raw
         FROM links WHERE starts_with(href, 'tel:')""",
     "text_blocks": """SELECT url, page_id, block_ord, text FROM given_blocks
-        UNION ALL SELECT url, page_id, block_ord, text FROM blocks""",
+        UNION ALL SELECT url, page_id, block_ord, text FROM copy_blocks""",
     "pattern_candidates": """SELECT doc_id, pattern_ord, match_ord, raw FROM doc_candidates""",
     "pattern_candidates_html": """SELECT url, page_id, block_ord, pattern_ord, match_ord, raw
         FROM given_candidates UNION ALL
-        SELECT url, page_id, block_ord, pattern_ord, match_ord, raw FROM candidates""",
+        SELECT url, page_id, block_ord, pattern_ord, match_ord, raw FROM copy_candidates""",
     "zip_codes": "SELECT url, page_id, zip_ord, zip FROM zips",
     "zip_codes_text": "SELECT doc_id, zip_ord, zip FROM doc_zips",
     "parent_text_filter": "SELECT url, page_id, number_ord, number FROM tel_numbers",

@@ -172,11 +172,14 @@ def tel_link_numbers(spark, sf):
     return extract.tel_link_numbers(links.page_links(pages, "url"), "url")
 
 
+def _all_pages(spark, sf):
+    """The given pages and every copy of the crawl's pages."""
+    return given_pages(spark, sf).unionByName(wanted_pages(spark, sf))
+
+
 @query
 def text_blocks(spark, sf):
-    pages = wanted_pages(spark, sf)
-    found = extract.text_blocks(pages, *KEYS).transform(lambda df: links.first_copies(df, pages))
-    return extract.text_blocks(given_pages(spark, sf), *KEYS).unionByName(found)
+    return extract.text_blocks(_all_pages(spark, sf), *KEYS)
 
 
 @query
@@ -184,16 +187,10 @@ def pattern_candidates(spark, sf):
     return extract.pattern_candidates(documents(spark, sf), "doc_id")
 
 
-def _page_candidates(pages: DataFrame) -> DataFrame:
-    blocks = extract.text_blocks(pages, *KEYS)
-    return extract.pattern_candidates(blocks, *KEYS, "block_ord")
-
-
 @query
 def pattern_candidates_html(spark, sf):
-    pages = wanted_pages(spark, sf)
-    found = _page_candidates(pages).transform(lambda df: links.first_copies(df, pages))
-    return _page_candidates(given_pages(spark, sf)).unionByName(found)
+    blocks = extract.text_blocks(_all_pages(spark, sf), *KEYS)
+    return extract.pattern_candidates(blocks, *KEYS, "block_ord")
 
 
 @query
