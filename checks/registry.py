@@ -421,11 +421,16 @@ def array_to_columns(spark, sf):
 # --- streaming ----------------------------------------------------------------------------------
 
 
+def _start(stream: DataFrame, checkpoint: str, mode: str = "append", **options):
+    cores = stream.sparkSession.sparkContext.defaultParallelism
+    return feed.start(stream, checkpoint, mode, state_partitions=cores, **options)
+
+
 def _run(stream: DataFrame, name: str, checkpoint: str | None = None, path: str | None = None) -> str:
     """Work off a stream into a new table of the shared folder; returns its path."""
     spark = stream.sparkSession
     path = path or new_path(spark, name)
-    feed.start(stream, checkpoint or new_path(spark, "checkpoint"), path=path).awaitTermination()
+    _start(stream, checkpoint or new_path(spark, "checkpoint"), path=path).awaitTermination()
     return path
 
 
@@ -470,7 +475,7 @@ def stream_totals(spark, sf):
     items = inputs.stream_table(spark, _run(first, "first-hits"), first.schema)
     name = f"totals_{uuid.uuid4().hex}"
     totals = feed.running_totals(items)
-    feed.start(totals, new_path(spark, "checkpoint"), "complete", table=name).awaitTermination()
+    _start(totals, new_path(spark, "checkpoint"), "complete", table=name).awaitTermination()
     return spark.table(name)
 
 
@@ -486,7 +491,7 @@ def stream_restart(spark, sf):
         return _target_urls(derive(spark, sf, derived.HOME_PAGES, source))
 
     checkpoint = new_path(spark, "checkpoint")
-    first_run = feed.start(urls(), checkpoint, path=out, processingTime="0 seconds")
+    first_run = _start(urls(), checkpoint, path=out, processingTime="0 seconds")
     while first_run.isActive and not first_run.recentProgress:
         time.sleep(0.1)
     first_run.stop()
