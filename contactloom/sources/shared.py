@@ -1,5 +1,6 @@
 """Tables and checkpoints in the shared folder that the cluster names."""
 
+import re
 import tempfile
 import uuid
 
@@ -10,9 +11,18 @@ _own_folders: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder of ``spark.checkpoint.dir``; only where that is unset (tests), a new local one."""
+    """Folder of ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session gets a temporary folder of its own. On a cluster no
+    folder is guessed, since executors would write to their own disks.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(
+                f"spark.checkpoint.dir is not set: master {master} needs a folder that all executors share"
+            )
         app = spark.sparkContext.applicationId
         if app not in _own_folders:
             _own_folders[app] = tempfile.mkdtemp(prefix="contactloom-")
