@@ -196,11 +196,13 @@ def decontaminate(
 
     ``mode="documents"`` drops contaminated documents and leaves the others as they are.
     ``mode="spans"`` keeps every document and cuts the hit words out of the contaminated ones.
+    What was found is a table of known size, which Spark broadcasts if it is small.
     """
     found = contamination(docs, benchmark, text, id_col).filter("contaminated")
     keys = found.select(
         F.col(id_col).alias("_hit_id"), F.col("_row").alias("_hit_row"), "hit_spans"
     ).dropDuplicates(["_hit_id", "_hit_row"])
+    keys = shared_table(keys, "contaminated")
     same = F.col(id_col).eqNullSafe(F.col("_hit_id")) & (F.xxhash64(id_col, text) == F.col("_hit_row"))
     if mode == "documents":
         return docs.join(keys.drop("hit_spans"), same, "left_anti")

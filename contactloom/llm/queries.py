@@ -5,7 +5,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactloom.llm import chat_format, decontaminate, license_scan, pii, quality
+from contactloom.llm import (
+    chat_format, decontaminate, license_scan, ngram_jaccard, pii, quality, sentencepiece, token_counts,
+    token_files, warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -20,6 +23,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    """Place of a public tokenizer's file; the same on every machine of a cluster."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def documents(spark, sf):
     return table(spark, sf, "documents").select("doc_id", "text")
 
@@ -29,12 +39,27 @@ def op1_license_scan(spark, sf):
     return license_scan.scan(documents(spark, sf))
 
 
+@query
+def op2_token_counts(spark, sf):
+    return token_counts.token_counts(documents(spark, sf), tokenizer_file("word_bpe_49k.json"))
+
+
+@query
+def op3_ngram_jaccard(spark, sf):
+    return ngram_jaccard.linked_groups(documents(spark, sf))
+
+
 @query
 def op4_decontamination(spark, sf):
     found = decontaminate.contamination(documents(spark, sf), table(spark, sf, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+@query
+def op5_sentencepiece(spark, sf):
+    return sentencepiece.digests(documents(spark, sf), tokenizer_file("piece_bpe_32k.model"))
+
+
 @query
 def op6_pii(spark, sf):
     found = pii.find(documents(spark, sf))
@@ -64,5 +89,17 @@ def op8_chat_format(spark, sf):
     turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(odd)
     return chat_format.digests(chat_format.chat(turns))
 
+
+@query
+def op9_warc(spark, sf):
+    pages = table(spark, sf, "pages").select("page_id", "url", "html")
+    return warc.archive(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op10_token_files(spark, sf):
+    return token_files.token_files(documents(spark, sf), tokenizer_file("word_bpe_49k.json"), end_id=2)
+
+
 #: Oracle SQL by query, for DuckDB.
 SQL: dict[str, str] = {}
