@@ -34,12 +34,26 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's own setting to drop an execution's shuffle files when it has ended.
+_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as parquet and read it back, so that several readers compute it once.
 
-    The table outlives lost executors; the caller's clean-up of the shared folder removes it.
+    The table outlives lost executors; the caller's clean-up of the shared folder removes it. Once
+    it is written, the shuffles that made it are of no more use and their files go, so a job of
+    many tables needs disk for one of them at a time.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_SHUFFLE_CLEANUP, None)
+    try:
+        spark.conf.set(_SHUFFLE_CLEANUP, "true")
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(_SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
