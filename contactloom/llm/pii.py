@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contactloom.llm.text import let, whole
+from contactloom.llm.text import let, running, whole
 
 MIN_SCORE = 0.5
 CONTEXT_CHARS = 40
@@ -101,41 +101,33 @@ def _spans_of(text: Column, kind: Kind) -> Column:
     """Spans of one kind, in order; failing matches are dropped and not tried again."""
 
     def walk(matches: Column) -> Column:
-        gaps = F.split(text, kind.pattern)
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<m:string,start:int,end:int>>").alias("out"))
-        placed = F.aggregate(
-            F.arrays_zip(matches.alias("m"), F.slice(gaps, 1, F.size(matches)).alias("g")), start,
-            lambda a, x: let(
-                a["at"] + F.char_length(x["g"]),
-                lambda s: F.struct(
-                    (s + F.char_length(x["m"])).alias("at"),
-                    F.concat(a["out"], F.array(F.struct(
-                        x["m"].alias("m"), s.alias("start"), (s + F.char_length(x["m"])).alias("end")
-                    ))).alias("out"),
-                ),
-            ),
-            lambda a: a["out"],
-        )
-        return F.transform(
-            F.filter(placed, lambda x: kind.check(x["m"])),
-            lambda x: F.struct(
-                F.lit(kind.name).alias("kind"), x["start"].alias("start"), x["end"].alias("end"),
-                _score(text, kind, x).alias("score"),
-            ),
-        )
+        return let(F.split(text, kind.pattern), lambda gaps: placed(matches, gaps))
+
+    def placed(matches: Column, gaps: Column) -> Column:
+        # gaps[i] stands before match i, the last gap after all matches
+        lengths = F.transform(matches, lambda m, i: F.char_length(m) + F.char_length(F.get(gaps, i)))
+
+        def at(before: Column) -> Column:
+            every = F.transform(matches, lambda m, i: F.struct(
+                m.alias("m"), i.alias("i"), (F.get(before, i) + F.char_length(F.get(gaps, i))).alias("start"),
+            ))
+            return F.transform(F.filter(every, lambda x: kind.check(x["m"])), lambda x: F.struct(
+                F.lit(kind.name).alias("kind"), x["start"].alias("start"),
+                (x["start"] + F.char_length(x["m"])).alias("end"),
+                _score(kind, F.get(gaps, x["i"]), F.get(gaps, x["i"] + 1)).alias("score"),
+            ))
+
+        return let(running(lengths, lambda a, b: a + b, F.lit(0)), at)
 
     found = F.regexp_extract_all(text, F.lit(kind.pattern), 0)
     spans = F.when(text.rlike(kind.hint), let(found, walk)).otherwise(F.array().cast(SPAN))
     return spans if kind.base else F.filter(spans, lambda s: s["score"] >= MIN_SCORE)
 
 
-def _score(text: Column, kind: Kind, x: Column) -> Column:
-    """The kind's own score, raised if one of its context words stands near the span."""
-    begin = F.greatest(x["start"] - CONTEXT_CHARS, F.lit(0))
-    before = F.substring(text, begin + 1, x["start"] - begin)
-    after = F.substring(text, x["end"] + 1, F.lit(CONTEXT_CHARS))
-    near = F.lower(F.concat_ws(" ", before, after)).rlike(kind.words)
-    return F.when(near, min(1.0, kind.score + CONTEXT_BONUS)).otherwise(kind.score)
+def _score(kind: Kind, before: Column, after: Column) -> Column:
+    """The kind's own score, raised if one of its context words stands near in the text before or after."""
+    near = F.lower(F.concat_ws(" ", F.right(before, F.lit(CONTEXT_CHARS)), F.left(after, F.lit(CONTEXT_CHARS))))
+    return F.when(near.rlike(kind.words), min(1.0, kind.score + CONTEXT_BONUS)).otherwise(kind.score)
 
 
 def spans(text: Column, kinds=KINDS) -> Column:
@@ -155,22 +147,23 @@ def spans(text: Column, kinds=KINDS) -> Column:
 
 def redacted(text: Column, found: Column) -> Column:
     """The text with every span, or run of overlapping spans, replaced by its kind in brackets."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(a: Column, s: Column) -> Column:
-        fresh = s["start"] >= a["at"]
-        return F.struct(
-            F.greatest(a["at"], s["end"]).alias("at"),
-            F.when(fresh, F.concat(a["out"], F.array(
-                F.substring(text, a["at"] + 1, s["start"] - a["at"]),
-                F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")),
-            ))).otherwise(a["out"]).alias("out"),
-        )
-
-    return F.when(F.size(found) == 0, text).otherwise(let(
-        F.aggregate(found, start, step),
-        lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.char_length(text))),
-    ))
+
+    def rebuilt(reached: Column) -> Column:
+        # reached[i] is where the spans before span i end
+        parts = F.transform(found, lambda s, i: F.when(
+            s["start"] >= F.get(reached, i),
+            F.concat(
+                F.substring(text, F.get(reached, i) + 1, s["start"] - F.get(reached, i)),
+                F.lit("["), F.upper(s["kind"]), F.lit("]"),
+            ),
+        ).otherwise(""))
+        end = F.array_max(F.transform(found, lambda s: s["end"]))
+        return F.concat(F.array_join(parts, ""), F.substring(text, end + 1, F.char_length(text)))
+
+    ends = F.transform(found, lambda s: s["end"])
+    return F.when(F.size(found) == 0, text).otherwise(
+        let(running(ends, lambda a, b: F.greatest(a, b), F.lit(0)), rebuilt)
+    )
 
 
 def find(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -292,9 +292,7 @@ class Encoder:
         return out
 
     def _cut_and_search(self, words: list[str]) -> list[bytes]:
-        cut = [self._cut(w) for w in words]
-        known = self.parts.of([p for own in cut for p in own])
-        return [b"".join(next(known) for _ in own) for own in cut]
+        return [b"".join(ids) for ids in self.parts.of_each([self._cut(w) for w in words])]
 
     def encode(self, text: str) -> bytes:
         return b"".join(b"".join(self.words.of(self._words(p))) for p in self._parts(text)) if text else b""
@@ -336,10 +334,11 @@ def encoder(path: str) -> Encoder:
 def encoded(texts: list[str], own: Encoder) -> Iterator[bytes]:
     """Ids of every text; what is new in several texts is searched together."""
     for run in groups(texts, RUN_BYTES):
-        if len(run) > 1:
-            own.encode(" ".join(run))
-        for text in run:
-            yield own.encode(text)
+        if len(run) == 1:
+            yield own.encode(run[0])
+        else:
+            words = [own._words(SPACE + t.replace(" ", SPACE)) if t else [] for t in run]
+            yield from (b"".join(ids) for ids in own.words.of_each(words))
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "token_ids") -> DataFrame:

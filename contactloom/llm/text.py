@@ -20,6 +20,37 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def running(values: Column, join: Callable[[Column, Column], Column], zero: Column, block: int = 32, levels: int = 3) -> Column:
+    """Of every element of an array, ``join`` over the elements before it (``zero`` for the first).
+
+    ``join`` is associative. An array that grows by one in a fold is copied at every step, so only
+    short blocks are folded; their totals are run over in turn.
+    """
+    def fold(a: Column) -> Column:
+        grown = F.aggregate(a, F.array(zero), lambda acc, x: F.concat(acc, F.array(join(F.element_at(acc, -1), x))))
+        return grown  # one longer than a; the last is the total
+
+    def in_blocks(a: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.size(a) - 1) / block).cast("int"))
+        blocks = F.transform(starts, lambda b: fold(F.slice(a, b * block + 1, block)))
+        return let(blocks, moved)
+
+    def moved(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.element_at(b, -1))
+        return let(
+            running(totals, join, zero, block, levels - 1),
+            lambda before: F.flatten(F.transform(blocks, lambda b, i: F.transform(
+                F.slice(b, F.lit(1), F.size(b) - 1), lambda x: join(F.get(before, i), x)
+            ))),
+        )
+
+    if not levels:
+        return let(fold(values), lambda grown: F.slice(grown, F.lit(1), F.size(grown) - 1))
+    return let(values, lambda a: F.when(F.size(a) <= block, let(
+        fold(a), lambda grown: F.slice(grown, F.lit(1), F.size(grown) - 1)
+    )).otherwise(in_blocks(a)))
+
+
 def whole(text: Column) -> Column:
     """The text, empty where it is null."""
     return F.coalesce(text, F.lit(""))

@@ -9,7 +9,8 @@ by looking up, and no text is encoded.
 
 Defined cases: a null text counts as empty and has no tokens; repeated rows are each returned;
 ids may be null; an empty table gives an empty table; other columns are ignored. Strings of special
-tokens inside a text count as one token each, as the library's default has it. Prefixes are
+tokens inside a text count as one token each, as the library's default has it. Words with code
+points that Python's tables don't know yet are given to the library. Prefixes are
 prefixes in code points of the text's NFC form (the text itself, nearly always).
 """
 
@@ -25,6 +26,9 @@ from pyspark.sql import functions as F
 from contactloom.llm.word_bpe import Remembered, WordBpe, chunks, groups, pieces, word_bpe
 
 
+RUN_BYTES = 1 << 22  # text whose new words are counted together
+
+
 class PrefixCounter:
     def __init__(self, bpe: WordBpe):
         self.bpe = bpe
@@ -88,23 +92,32 @@ class PrefixCounter:
         return [whole[e - 1] for e in ends]
 
     def _count_chunks(self, new: list[str]) -> list[int]:
-        words, owners, totals = [], [], [0] * len(new)
+        words, totals = [], [0] * len(new)
         for i, chunk in enumerate(new):
+            if self.bpe.unfamiliar(chunk):
+                totals[i] = len(self.bpe.library_ids(chunk))
+                words.append([])
+                continue
             if "<|" in chunk:
                 parts = list(self.bpe.segments(chunk))
                 totals[i] = sum(1 for _, special in parts if special)
                 own = [w for text, _ in parts for w in self.bpe.words(text)]
             else:
                 own = self.bpe.words(chunk)
-            words += own
-            owners += [i] * len(own)
-        for owner, count in zip(owners, self.word_counts.of(words), strict=True):
-            totals[owner] += count
-        return totals
+            words.append(own)
+        return [n + sum(counts) for n, counts in zip(totals, self.word_counts.of_each(words), strict=True)]
 
     def count(self, text: str) -> int:
         return sum(sum(self.chunk_counts.of(chunks(p))) for p in pieces(text))
 
+    def count_all(self, texts: list[str]) -> Iterator[int]:
+        """Counts of every text; what is new in several texts is counted together."""
+        for run in groups(texts, RUN_BYTES):
+            if len(run) == 1:
+                yield self.count(run[0])
+            else:
+                yield from map(sum, self.chunk_counts.of_each([chunks(t) for t in run]))
+
     def _plain_prefix_counts(self, text: str) -> list[int]:
         """Counts of the prefixes of an ordinary chunk, in code points."""
         lowered, wide = self.bpe.lowered(text), None
@@ -125,6 +138,8 @@ class PrefixCounter:
 
     def chunk_prefix_counts(self, chunk: str) -> list[int]:
         """Counts of the prefixes of a chunk in NFC, in code points."""
+        if self.bpe.unfamiliar(chunk):
+            return [len(self.bpe.library_ids(chunk[: i + 1])) for i in range(len(chunk))]
         out: list[int] = []
         base = 0
         for text, special in self.bpe.segments(chunk):
@@ -177,16 +192,13 @@ def _counted(batches: Iterator[pa.RecordBatch], path: str, limit: int, prefixes:
     for given in batches:
         texts = given.column(1)
         bytes_ = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
-        counts, fits, tables = [], [], []
-        for run in groups([t or "" for t in texts.to_pylist()]):
-            if len(run) > 1:
-                own.count("\n".join(run))  # what is new in all of them
-            for body in run:
-                n = own.count(body)
-                counts.append(n)
-                fits.append(own.fitting(body, limit) if n > limit else len(own.bpe.composed(body)))
-                if prefixes:
-                    tables.append(own.prefix_counts(body))
+        bodies = [t or "" for t in texts.to_pylist()]
+        counts = list(own.count_all(bodies))
+        fits = [
+            own.fitting(body, limit) if n > limit else len(own.bpe.composed(body))
+            for body, n in zip(bodies, counts, strict=True)
+        ]
+        tables = [own.prefix_counts(body) for body in bodies] if prefixes else []
         columns = [given.column(0), bytes_, pa.array(counts, pa.int64()), pa.array(fits, pa.int64())]
         names = ["id", "n_bytes", "n_tokens", "limit_chars"]
         if prefixes:

@@ -22,6 +22,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pandas as pd
@@ -35,6 +36,7 @@ from contactloom.sources.shared import new_path, shared_table
 
 #: Text bytes of a shard; it decides how many there are.
 SHARD_BYTES = 64_000_000
+RUN_BYTES = 1 << 22  # text whose new words are encoded together
 MANIFEST = "shard long, temporary string, n_docs long, n_tokens long"
 #: What a task notes of each document of a shard, in order.
 NOTE = np.dtype([("doc_id", "<i8"), ("n_tokens", "<u8")])
@@ -56,17 +58,19 @@ class Encoder:
         self.chunks = Remembered(self._encode_chunks)
 
     def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        return pack(f"<{len(ids)}{self.dtype.char}", *ids)
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
         return [self._bytes([t.id for t in self.model.tokenize(self.bpe.as_letters(w))]) for w in words]
 
     def _encode_chunks(self, new: list[str]) -> list[bytes]:
-        words = [self.bpe.words(c) if "<|" not in c else [] for c in new]
-        known = self.words.of([w for own in words for w in own])
-        out = [b"".join(next(known) for _ in own) for own in words]
+        odd = [self.bpe.unfamiliar(c) for c in new]
+        words = [self.bpe.words(c) if "<|" not in c and not o else [] for c, o in zip(new, odd, strict=True)]
+        out = [b"".join(ids) for ids in self.words.of_each(words)]
         for i, chunk in enumerate(new):
-            if "<|" in chunk:
+            if odd[i]:
+                out[i] = self._bytes(self.bpe.library_ids(chunk))
+            elif "<|" in chunk:
                 out[i] = b"".join(
                     b"".join(self.words.of(self.bpe.words(text))) + self.special.get(special, b"")
                     for text, special in self.bpe.segments(chunk)
@@ -76,6 +80,14 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         return b"".join(b"".join(self.chunks.of(chunks(p))) for p in pieces(text))
 
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of every text; what is new in several texts is encoded together."""
+        for run in groups(texts, RUN_BYTES):
+            if len(run) == 1:
+                yield self.encode(run[0])
+            else:
+                yield from (b"".join(ids) for ids in self.chunks.of_each([chunks(t) for t in run]))
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str, dtype: str) -> Encoder:
@@ -100,24 +112,21 @@ def _write_shards(
         })
 
     for given in batches:
-        shards, ids = given.column(0).to_pylist(), given.column(1).to_pylist()
-        texts, at = [t or "" for t in given.column(2).to_pylist()], 0
-        for run in groups(texts):
-            if len(run) > 1:
-                own.encode("\n".join(run))  # what is new in all of them
-            for text in run:
-                if sink is None or shards[at] != shard:
-                    if sink is not None:
-                        yield done()
-                    shard, n_docs, n_tokens = shards[at], 0, 0
-                    name = f"_temporary-{shard}-{uuid.uuid4().hex}"
-                    sink = system.open_output_stream(f"{base}/{name}", compression=None)
-                    notes = system.open_output_stream(f"{base}/{name}-docs")
-                tokens = own.encode(text) + end
-                sink.write(tokens)
-                length = len(tokens) // own.dtype.itemsize
-                notes.write(np.array((ids[at] or 0, length), NOTE).tobytes())
-                n_docs, n_tokens, at = n_docs + 1, n_tokens + length, at + 1
+        shards, doc_ids = given.column(0).to_pylist(), given.column(1).to_pylist()
+        texts = [t or "" for t in given.column(2).to_pylist()]
+        for own_shard, doc_id, ids in zip(shards, doc_ids, own.encode_all(texts), strict=True):
+            if sink is None or own_shard != shard:
+                if sink is not None:
+                    yield done()
+                shard, n_docs, n_tokens = own_shard, 0, 0
+                name = f"_temporary-{shard}-{uuid.uuid4().hex}"
+                sink = system.open_output_stream(f"{base}/{name}", compression=None)
+                notes = system.open_output_stream(f"{base}/{name}-docs", compression=None)
+            tokens = ids + end
+            sink.write(tokens)
+            length = len(tokens) // own.dtype.itemsize
+            notes.write(np.array((doc_id or 0, length), NOTE).tobytes())
+            n_docs, n_tokens = n_docs + 1, n_tokens + length
     if sink is not None:
         yield done()
 

@@ -15,7 +15,7 @@ import regex
 
 #: Bytes of text worked on at once; cuts fall on white space.
 PIECE_BYTES = 1 << 20
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -52,16 +52,28 @@ class WordBpe:
         self.inner = {t: i for t, i in self.vocab.items() if not t.endswith(self.end)}
         self.final = {t.removesuffix(self.end): i for t, i in self.vocab.items() if t.endswith(self.end)}
         self.longest = max(map(len, [*self.inner, *self.final]))
+        self.path, self.assigned = path, set(map(chr, range(128)))
 
     @staticmethod
     def lowered(text: str) -> str:
         """Lower case code point by code point, as the file's library does."""
-        return text.lower() if text.isascii() else "".join(c.lower() for c in text)
+        return text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
 
     @staticmethod
     def composed(text: str) -> str:
         return text if text.isascii() or unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
 
+    def unfamiliar(self, chunk: str) -> bool:
+        """Whether a code point is in no table of this Python's; the library's tables may be newer."""
+        if self.assigned.issuperset(chunk):
+            return False
+        self.assigned.update(c for c in chunk if unicodedata.category(c) != "Cn")
+        return not self.assigned.issuperset(chunk)
+
+    def library_ids(self, chunk: str) -> list[int]:
+        """The library's own ids, for unfamiliar chunks."""
+        return _library(self.path).encode(chunk, add_special_tokens=False).ids
+
     def segments(self, chunk: str) -> Iterator[tuple[str, str]]:
         """(ordinary text, special string after it or empty) of a chunk."""
         at = 0
@@ -72,13 +84,21 @@ class WordBpe:
 
     def words(self, text: str) -> list[str]:
         """The words of an ordinary text."""
-        return self.pattern.findall(self.lowered(self.composed(text)))
+        low = self.lowered(self.composed(text))
+        return [low] if low.isalpha() else self.pattern.findall(low)
 
     def as_letters(self, word: str) -> str:
         """The word's bytes as letters."""
         return word if word.isascii() and word.isprintable() else word.encode("utf-8").decode("latin-1").translate(self.letters)
 
 
+@lru_cache(maxsize=2)
+def _library(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 @lru_cache(maxsize=4)
 def word_bpe(path: str) -> WordBpe:
     return WordBpe(path)
@@ -122,12 +142,23 @@ class Remembered:
     def __init__(self, fill: Callable[[list[str]], list], limit: int = CACHE_WORDS):
         self.fill, self.limit, self.known = fill, limit, {}
 
-    def of(self, keys: list[str]) -> Iterator:
-        """The value of each key, in order."""
-        fresh = list(set(keys).difference(self.known))
+    def learn(self, *lists: list[str]) -> None:
+        """See to it that all keys are known, until the next call."""
+        keys = set().union(*lists)
+        fresh = list(keys.difference(self.known))
         if fresh:
             if len(self.known) + len(fresh) > self.limit:
                 self.known = {}
-                fresh = list(set(keys))
+                fresh = list(keys)
             self.known.update(zip(fresh, self.fill(fresh), strict=True))
+
+    def of(self, keys: list[str]) -> Iterator:
+        """The value of each key, in order."""
+        self.learn(keys)
         return map(self.known.__getitem__, keys)
+
+    def of_each(self, lists: list[list[str]]) -> Iterator[Iterator]:
+        """The values of each list's keys; what is new in all of them is computed together."""
+        self.learn(*lists)
+        get = self.known.__getitem__
+        return (map(get, keys) for keys in lists)
