@@ -9,6 +9,7 @@ from contactloom.llm import (
     chat_format, decontaminate, license_scan, ngram_jaccard, pii, quality, sentencepiece, token_counts,
     token_files, warc,
 )
+from contactloom.llm.oracle import oracle_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -101,5 +102,4 @@ def op10_token_files(spark, sf):
     return token_files.token_files(documents(spark, sf), tokenizer_file("word_bpe_49k.json"), end_id=2)
 
 
-#: Oracle SQL by query, for DuckDB.
-SQL: dict[str, str] = {}
+SQL = oracle_sql()
