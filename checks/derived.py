@@ -74,6 +74,14 @@ SELECT 2000000000 + n_nationkey AS page_id,
 FROM nation
 """
 
+# Texts with postal codes, numbers of other lengths and codes inside words.
+POSTAL_TEXTS = """
+SELECT doc_id, text || ' Office ' || lpad(CAST(doc_id * 37 % 100000 AS string), 5, '0') || ', or '
+  || lpad(CAST(doc_id % 1000 AS string), 5, '0') || '-' || lpad(CAST(doc_id % 1000 AS string), 5, '0')
+  || '; no x' || lpad(CAST(doc_id % 99991 AS string), 5, '0') || ' 1234567' AS text
+FROM documents
+"""
+
 # The two country tables a postal reference is built from: zips occur in both, and repeatedly.
 POSTAL_CA = "SELECT lpad(CAST(c_custkey % 1000 AS string), 5, '0') AS Zip FROM customer WHERE c_acctbal < 0"
 POSTAL_US = "SELECT lpad(CAST(c_custkey % 1000 AS string), 5, '0') AS Zip FROM customer WHERE c_acctbal >= 0"

@@ -180,6 +180,8 @@ CTES = {
         "SELECT doc_id, raw, [pattern_ord, match_ord] AS rank FROM doc_candidates", "doc_id"
     ),
     "doc_zips": _zips("documents", "doc_id"),
+    "postal_texts": derived.POSTAL_TEXTS,
+    "postal_text_zips": _zips("postal_texts", "doc_id"),
     "doc_countries": """SELECT doc_id, min_by(country, zip_ord) AS zip_country
         FROM doc_zips JOIN postal USING (zip) GROUP BY doc_id""",
     "given_links": _links("pages", K),
@@ -192,8 +194,9 @@ CTES = {
     "e164": """SELECT number, CASE
           WHEN national IS NOT NULL THEN CASE
             WHEN regexp_matches(national, '^[2-9][0-8][0-9][2-9][0-9]{6}$')
-             AND national[2:3] <> '11' AND national[1:2] NOT IN ('37', '96') THEN '1' || national END
-          WHEN regexp_full_match(number, '\\+[2-9][0-9]+') THEN number[2:] END AS digits
+             AND national[1:2] NOT IN ('37', '96') AND (national[2:2] <> national[3:3]
+               OR national[1:3] IN ('800', '833', '844', '855', '866', '877', '888')) THEN '1' || national END
+          WHEN regexp_full_match(number, '\\+[2-9][0-9]{6,14}') THEN number[2:] END AS digits
         FROM (SELECT number, CASE
             WHEN regexp_full_match(number, '(\\+?1)?[0-9]{10}') THEN right(number, 10) END AS national
           FROM all_numbers)""",
@@ -236,6 +239,21 @@ CTES = {
                                                   WHERE d.parent_url = c.parent_url))""",
         "parent_url", "url",
     ),
+    # the crawl in which only tel: links count
+    "tel_pairs": f"""SELECT {K}, number_ord, number, coalesce(zip_country, number_country) AS country
+        FROM tel_numbers LEFT JOIN zip_countries USING (url, page_id)
+        LEFT JOIN number_countries USING (number)""",
+    "tel_full_parents": "SELECT url FROM tel_pairs GROUP BY url HAVING count(*) >= 3",
+    "tel_open_edges": "SELECT * FROM edges WHERE parent_url NOT IN (SELECT url FROM tel_full_parents)",
+    "tel_owners": f"""SELECT * FROM (
+            SELECT url, parent_url, depth, seed_ord, link_ord, row_number() OVER (
+              PARTITION BY url ORDER BY {_FACT_ORDER}) AS claim FROM (
+              SELECT url, url AS parent_url, 0 AS depth, seed_ord, -1 AS link_ord FROM homes
+              UNION ALL SELECT target, parent_url, 1, seed_ord, link_ord FROM tel_open_edges))
+          WHERE claim = 1""",
+    "tel_crawl_pairs": f"""SELECT parent_url, number, country, [{_FACT_ORDER}, number_ord] AS rank
+        FROM tel_owners JOIN tel_pairs USING (url)""",
+    "tel_final": _wide(f"({_top3('tel_crawl_pairs', 'parent_url')})", "parent_url", "url"),
     "found": """SELECT url, (coalesce(phone_number_1, '') <> '')::INT
           + (coalesce(phone_number_2, '') <> '')::INT + (coalesce(phone_number_3, '') <> '')::INT AS found
         FROM final""",
@@ -303,7 +321,8 @@ BODIES = {
         FROM given_candidates UNION ALL
         SELECT url, page_id, block_ord, pattern_ord, match_ord, raw FROM copy_candidates""",
     "zip_codes": "SELECT url, page_id, zip_ord, zip FROM zips",
-    "zip_codes_text": "SELECT doc_id, zip_ord, zip FROM doc_zips",
+    "zip_codes_text": "SELECT doc_id, zip_ord, zip FROM postal_text_zips",
+    "contacts_tel_only": "SELECT * FROM tel_final",
     "parent_text_filter": "SELECT url, page_id, number_ord, number FROM tel_numbers",
     "format_number": f"SELECT raw, number, count(*) AS n FROM {_FORMATTED} GROUP BY raw, number",
     "valid_number": f"""SELECT DISTINCT number, reason IS NULL AS valid, reason FROM {_CHECKED}""",

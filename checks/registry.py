@@ -34,9 +34,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """The test tables are single small files; every core gets a part, whatever their size."""
+    return scan.repartition(scan.sparkSession.sparkContext.defaultParallelism)
+
+
 def spread_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """A table whose rows become pages: few bytes to spread, much work per row."""
-    return inputs.spread(table(spark, sf, name))
+    return spread(table(spark, sf, name))
 
 
 def stream_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -46,7 +51,7 @@ def stream_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def derive(spark: SparkSession, sf: str, sql: str, source=table) -> DataFrame:
     """Run derivation SQL on the tables it names."""
-    names = [n for n in ("orders", "lineitem", "nation", "customer") if f"FROM {n}" in sql]
+    names = [n for n in ("orders", "lineitem", "nation", "customer", "documents") if f"FROM {n}" in sql]
     for name in names:
         sql = sql.replace(f"FROM {name}", f"FROM {{{name}}}")
     return spark.sql(sql, **{name: source(spark, sf, name) for name in names})
@@ -69,7 +74,7 @@ def wanted_pages(spark, sf):
 
 
 def given_pages(spark, sf):
-    return inputs.spread(inputs.read_pages(spark, f"{sf}/pages.parquet"))
+    return spread(inputs.read_pages(spark, f"{sf}/pages.parquet"))
 
 
 def postal_rows(spark, sf):
@@ -202,7 +207,7 @@ def zip_codes(spark, sf):
 
 @query
 def zip_codes_text(spark, sf):
-    return extract.zip_codes(documents(spark, sf), "doc_id")
+    return extract.zip_codes(derive(spark, sf, derived.POSTAL_TEXTS, spread_table), "doc_id")
 
 
 @query
@@ -252,9 +257,8 @@ def country_from_zip(spark, sf):
     pages = wanted_pages(spark, sf)
     texts = extract.page_texts(pages, *KEYS)
     zips = texts.select(*KEYS, phone.zip_codes(F.col("text")).alias("zips"))
-    found = zips.filter(F.size("zips") > 0).transform(
-        lambda df: country.zip_country(df, postal(spark, sf), *KEYS)
-    )
+    stored = shared_table(zips.filter(F.size("zips") > 0), "zips")
+    found = country.zip_country(stored, postal(spark, sf))
     return found.filter(F.col("zip_country").isNotNull()).transform(
         lambda df: links.first_copies(df, pages)
     )
@@ -284,8 +288,7 @@ def country_resolve(spark, sf):
 
 def _all_edges(spark, sf):
     """Resolved links of every home page, with or without early stop."""
-    facts = contacts.page_facts(home_pages(spark, sf))
-    return contacts.link_targets(contacts.home_pages(facts, seeds(spark, sf)))
+    return contacts.home_edges(home_pages(spark, sf), seeds(spark, sf))
 
 
 def _reached(spark, sf):
@@ -299,6 +302,14 @@ def link_frontier(spark, sf):
     return owners.join(known, "url").select("parent_url", "url", "link_ord")
 
 
+@query
+def contacts_tel_only(spark, sf):
+    """The crawl with the parent filter: only ``tel:`` links count."""
+    return contacts.contacts_final(contacts.stored_crawl(
+        crawl_pages(spark, sf), seeds(spark, sf), postal(spark, sf), parent_filter=True
+    ))
+
+
 @query
 def frontier_early_stop(spark, sf):
     return _reached(spark, sf).select("parent_url", "url", "depth", "link_ord")
@@ -306,7 +317,7 @@ def frontier_early_stop(spark, sf):
 
 @query
 def new_pairs(spark, sf):
-    reached = shared_table(_reached(spark, sf), "reached")
+    reached = _reached(spark, sf)
     pairs = rollup.explode_pairs(reached, "parent_url", "depth")
     home, child = pairs.filter(F.col("depth") == 0), pairs.filter(F.col("depth") == 1)
     return rollup.new_pairs(child, home, "parent_url")

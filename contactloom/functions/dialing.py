@@ -40,20 +40,37 @@ COUNTRY_CODES = """
 """
 
 
+# --- fixed values: parts of a country code's numbers that belong to another territory ------------
+TERRITORIES = """
+35818 AX, 378 SM, 4779 SJ, 5993 BQ, 5994 BQ, 5997 BQ, 6189162 CC, 6189164 CX, 76 KZ, 77 KZ
+"""
+
+# --- fixed values: North American codes with two equal last digits that are in service, all of
+# them free-phone (shared, kept by the United States); the other such codes are no areas
+FREE_PHONE = "800 833 844 855 866 877 888"
+
+
 def dial_plan() -> dict[str, str]:
     """Built-in plan as ``{prefix of the E.164 digits: country}``."""
     plan = dict(entry.split() for entry in COUNTRY_CODES.replace("\n", " ").split(", "))
+    plan.update(entry.split() for entry in TERRITORIES.strip().split(", "))
     for country, areas in NORTH_AMERICA.items():
         plan.update({"1" + area: country for area in areas.split()})
     return plan
 
 
+#: Beginnings of ten digits that are no area code, for engines with and without look-ahead.
+EQUAL_ENDS = [f"{a}{b}{b}" for a in range(2, 10) for b in range(10) if f"{a}{b}{b}" not in FREE_PHONE.split()]
+NO_AREA = f"^(?:37|96|{'|'.join(EQUAL_ENDS)})"
+
+
 def e164_digits(number: Column) -> Column:
     """E.164 digits of a formatted number, null where it cannot be one.
 
     Without ``+`` the default country is the United States: 10 digits, or 11 that start with 1.
     North American numbers must have the plan's shape (no N11 area, no area in the unassigned 37x
-    and 96x blocks, exchange 2-9).
+    and 96x blocks, none with two equal last digits unless it is free-phone, exchange 2-9). Other
+    numbers have at most 15 digits and at least 7.
     """
     national = (
         F.when(number.rlike(r"^\+1[0-9]{10}$"), F.substring(number, 3, 10))
@@ -61,11 +78,11 @@ def e164_digits(number: Column) -> Column:
         .when(number.rlike(r"^[0-9]{10}$"), number)
     )
     north_american = F.when(
-        national.rlike(r"^[2-9][0-8][0-9][2-9][0-9]{6}$") & ~national.rlike(r"^(?:[2-9]11|37|96)"),
+        national.rlike(r"^[2-9][0-8][0-9][2-9][0-9]{6}$") & ~national.rlike(NO_AREA),
         F.concat(F.lit("1"), national),
     )
     return F.coalesce(
-        north_american, F.when(number.rlike(r"^\+[2-9][0-9]+$"), F.substring(number, 2, 20))
+        north_american, F.when(number.rlike(r"^\+[2-9][0-9]{6,14}$"), F.substring(number, 2, 20))
     )
 
 

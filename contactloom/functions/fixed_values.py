@@ -57,9 +57,12 @@ BLOCK_TAGS = [
 ]
 SEPARATOR_TAGS = ["ul", "ol", "table", "tr", "td", "br"]
 
-# --- fixed values: named entities that can occur inside a number or a tel: link ----------------
+# --- fixed values: named entities that can occur in or beside a number or a tel: link ----------------
 NAMED_ENTITIES = {
     "&nbsp;": " ", "&lpar;": "(", "&rpar;": ")", "&plus;": "+", "&period;": ".",
+    "&ensp;": "\u2002", "&emsp;": "\u2003", "&thinsp;": "\u2009", "&numsp;": "\u2007",
+    "&ndash;": "\u2013", "&mdash;": "\u2014", "&hyphen;": "\u2010", "&dash;": "\u2010", "&num;": "#",
+    "&copy;": "\u00a9", "&reg;": "\u00ae", "&middot;": "\u00b7", "&bull;": "\u2022",
     "&colon;": ":", "&sol;": "/", "&quot;": '"', "&apos;": "'", "&lt;": "<", "&gt;": ">",
 }
 

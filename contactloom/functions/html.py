@@ -39,12 +39,14 @@ def _entity_char(reference: Column) -> Column:
     ).otherwise("�")
 
 
-def _decode_piece(piece: Column, i: Column) -> Column:
+def _decode_piece(encoded: Column, i: Column) -> Column:
+    """A text after ``&#`` with the reference it begins with decoded; leading zeros don't count."""
+    piece = F.when(i == 0, encoded).otherwise(F.regexp_replace(encoded, "^([xX]?)0+(?=[0-9a-fA-F])", "$1"))
     reference = F.regexp_extract(piece, r"^([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});?", 1)
     rest = F.regexp_replace(piece, r"^(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});?", "")
     return (
         F.when(i == 0, piece)
-        .when(reference == "", F.concat(F.lit("&#"), piece))
+        .when(reference == "", F.concat(F.lit("&#"), encoded))
         .otherwise(F.concat(_entity_char(reference), rest))
     )
 

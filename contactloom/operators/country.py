@@ -7,29 +7,34 @@ from contactloom.functions.dialing import country_of_number
 
 
 def five_digit_postal(postal: DataFrame) -> DataFrame:
-    """The postal rows a 5-digit token can match: at most 100,000, so safe to broadcast."""
-    return F.broadcast(postal.filter(F.col("zip").rlike(r"^[0-9]{5}\z")))
+    """``(zip, country)`` of the postal rows a 5-digit token can match, one row per zip.
+
+    At most 100,000 rows whatever the table holds, so safe to broadcast. Of several countries of
+    one zip the first in the alphabet is taken; ``inputs.last_country_per_zip`` decides by order.
+    """
+    five = postal.filter(F.col("zip").rlike(r"^[0-9]{5}\z"))
+    return F.broadcast(five.groupBy("zip").agg(F.min("country").alias("country")))
 
 
-def zip_country(found: DataFrame, postal: DataFrame, *keys: str) -> DataFrame:
+def zip_country(found: DataFrame, postal: DataFrame) -> DataFrame:
     """Add ``zip_country`` to rows with a ``zips`` array: the first zip that has a country.
 
-    Zips are exploded, looked up in the broadcast table and folded back per row, each row's own
-    zips being reduced before the shuffle. ``keys`` must name one row.
+    Rows keep all their columns and their number: what is looked up is each distinct list of zips,
+    exploded alone, with only the zips that have a country going on to the shuffle. ``found`` is
+    read twice, so it should be a stored table.
     """
-    carried = [c for c in found.columns if c not in keys and c != "zips"]
-    looked_up = (
-        found.select(*keys, *carried, F.posexplode_outer("zips").alias("zip_ord", "zip"))
-        .join(five_digit_postal(postal), "zip", "left")
-        .groupBy(*keys)
-        .agg(
-            *[F.first(c).alias(c) for c in carried],
-            F.min_by("country", F.when(F.col("country").isNotNull(), F.col("zip_ord"))).alias(
-                "zip_country"
-            ),
-        )
+    lists = found.select("zips").filter(F.size("zips") > 0).distinct()
+    known = (
+        lists.select("zips", F.posexplode("zips").alias("zip_ord", "zip"))
+        .join(five_digit_postal(postal), "zip")
+        .groupBy("zips").agg(F.min_by("country", "zip_ord").alias("zip_country"))
+    )
+    # rows without zips have no key and match nothing
+    return (
+        found.drop("zip_country").withColumn("_zips", F.when(F.size("zips") > 0, F.col("zips")))
+        .join(known.withColumnRenamed("zips", "_zips"), "_zips", "left")
+        .drop("_zips", "zips")
     )
-    return looked_up
 
 
 def resolve_country(number: Column, zip_country: Column) -> Column:

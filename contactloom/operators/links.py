@@ -48,10 +48,30 @@ def not_social_links(links: DataFrame) -> DataFrame:
     return links.filter(~is_social(F.col("href")))
 
 
+def fold_dots(url: Column) -> Column:
+    """The url with ``.`` and ``..`` segments of its path worked off; ``..`` stops at the host."""
+    origin = F.substring_index(url, "/", 3)
+    query = F.regexp_extract(url, r"\?.*\z", 0)
+    path = F.substring_index(F.substring(url, F.length(origin) + 2, F.length(url)), "?", 1)
+    segments = F.split(path, "/")
+    none = F.array().cast("array<string>")
+    last = F.element_at(segments, -1)
+    folded = F.aggregate(
+        segments, none,
+        lambda kept, x: F.when(x == "..", F.when(F.size(kept) > 0, F.slice(kept, F.lit(1), F.size(kept) - 1)).otherwise(none))
+        .when(x == ".", kept).otherwise(F.concat(kept, F.array(x))),
+    )
+    # a path that ends in a dot segment is a folder
+    whole = F.when(last.isin(".", ".."), F.concat(folded, F.array(F.lit("")))).otherwise(folded)
+    return F.when(
+        url.rlike(r"^[^?]*/\.{1,2}(?:/|\?|\z)"), F.concat(origin, F.lit("/"), F.array_join(whole, "/"), query)
+    ).otherwise(url)
+
+
 def resolve(link: Column, base_url: Column) -> Column:
     """Absolute url of a link without fragment; null for links that are no page.
 
-    ``..`` and ``.`` segments are kept as they are.
+    ``.`` and ``..`` segments of links to the page's own host are worked off.
     """
     page = F.substring_index(F.substring_index(base_url, "#", 1), "?", 1)
     origin = F.substring_index(page, "/", 3)
@@ -64,10 +84,10 @@ def resolve(link: Column, base_url: Column) -> Column:
         F.when(link == "", F.substring_index(base_url, "#", 1))
         .when(lower.startswith("http://") | lower.startswith("https://"), link)
         .when(link.startswith("//"), F.concat(F.substring_index(base_url, "/", 1), link))
-        .when(link.startswith("/"), F.concat(origin, link))
+        .when(link.startswith("/"), fold_dots(F.concat(origin, link)))
         .when(link.startswith("?"), F.concat(page, link))
         .when(link.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), F.lit(None))
-        .otherwise(F.concat(folder, link))
+        .otherwise(fold_dots(F.concat(folder, link)))
     )
 
 

@@ -11,18 +11,18 @@ from contactloom.sources.shared import shared_table
 PAGE_RANK = ["depth", "seed_ord", "link_ord"]
 
 
-def _with_pairs(found: DataFrame, postal: DataFrame | None, *keys: str) -> DataFrame:
-    """Numbers and zips of one row -> ``pairs``."""
+def _with_pairs(found: DataFrame, postal: DataFrame | None) -> DataFrame:
+    """Numbers and zips of one row -> ``pairs``. With a postal table, what was found is stored first."""
     if postal is None:
         known = found.withColumn("zip_country", F.lit(None).cast("string"))
     else:
-        known = zip_country(found, postal, *keys)
+        known = zip_country(shared_table(found, "numbers-and-zips"), postal)
     return known.withColumn("pairs", pair_array(F.col("numbers"), F.col("zip_country")))
 
 
 def text_pairs(texts: DataFrame, *keys: str, postal: DataFrame | None = None) -> DataFrame:
     """``(keys, numbers, pairs)`` of plain texts that hold a number."""
-    return _with_pairs(extract.numbers_of_texts(texts, *keys), postal, *keys)
+    return _with_pairs(extract.numbers_of_texts(texts, *keys), postal)
 
 
 def page_pairs(
@@ -30,7 +30,7 @@ def page_pairs(
 ) -> DataFrame:
     """``(keys, numbers, pairs)`` of HTML pages that hold a number."""
     found = extract.numbers_of_pages(pages, *keys, parent_filter=parent_filter)
-    return _with_pairs(found, postal, *keys)
+    return _with_pairs(found, postal)
 
 
 def contacts_per_site(
@@ -49,37 +49,54 @@ def contacts_per_site(
     )
 
 
-def page_facts(
-    pages: DataFrame, postal: DataFrame | None = None, parent_filter: bool = False
-) -> DataFrame:
-    """``(url, pairs, links)``: all a crawl needs of each page, one row per url.
+def asked(pages: DataFrame) -> DataFrame:
+    """Pages under the url that was asked for, in ``asked``; ``url`` is the one that answered.
 
-    HTML is read once and never shuffled. Copies of a url keep the one with the lowest
-    ``page_id``; they are reduced before the shuffle, and the postal lookup reuses its
-    partitioning.
+    A page table may have ``requested_url``; where it has none, the two are the same. A bare
+    host's ``/`` is its home page.
     """
-    found = extract.numbers_and_links(
-        links.drop_unwanted_extensions(pages), "url", "page_id", parent_filter=parent_filter
-    ).select(
-        "url", "page_id", F.slice("numbers", 1, rollup.MAX_CONTACTS).alias("numbers"), "zips",
-        F.filter(
-            "links", lambda x: links.is_relevant(x.href) & ~links.is_social(x.href)
-        ).alias("links"),
-    )
-    first_copy = found.groupBy("url").agg(
-        F.min_by(F.struct("numbers", "zips", "links"), "page_id").alias("page")
+    requested = F.coalesce("requested_url", "url") if "requested_url" in pages.columns else F.col("url")
+    return pages.withColumn("asked", F.regexp_replace(requested, r"^(https?://[^/?#]+)/\z", "$1"))
+
+
+def first_pages(pages: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(asked, url, page_id, html)`` of the ``wanted`` urls, the copy with the lowest ``page_id``.
+
+    Two joins of key columns decide which copies are read; ``wanted`` is a stored table, so Spark
+    knows its size. HTML is read only through the second one.
+    """
+    known = asked(links.drop_unwanted_extensions(pages))
+    first = (
+        known.select("asked", "page_id").join(wanted.select(F.col("url").alias("asked")), "asked", "left_semi")
+        .groupBy("asked").agg(F.min("page_id").alias("page_id"))
     )
-    facts = first_copy.select("url", "page.*")
-    return _with_pairs(facts, postal, "url").select("url", "pairs", "links")
+    first = shared_table(first, "first-copies")
+    return known.select("asked", "url", "page_id", "html").join(first, ["asked", "page_id"], "left_semi")
 
 
-def home_pages(facts: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Facts of the seeds' own pages; a domain listed twice keeps its first place."""
-    first = seed_urls(seeds).groupBy("url").agg(F.min("seed_ord").alias("seed_ord"))
-    return facts.join(first, "url").select(
-        F.col("url").alias("parent_url"), "url", F.lit(0).alias("depth"), "seed_ord",
-        F.lit(-1).alias("link_ord"), "pairs", "links",
+def home_facts(pages: DataFrame, seeds: DataFrame, parent_filter: bool = False) -> DataFrame:
+    """``(parent_url, answer_url, seed_ord, numbers, zips, links)`` of the seeds' own pages.
+
+    Only these pages' links are read; a domain listed twice keeps its first place. All their
+    numbers are kept.
+    """
+    first = shared_table(seed_urls(seeds).groupBy("url").agg(F.min("seed_ord").alias("seed_ord")), "homes")
+    found = extract.numbers_and_links(first_pages(pages, first), "asked", "url", parent_filter=parent_filter)
+    homes = found.select(
+        F.col("asked").alias("parent_url"), F.col("url").alias("answer_url"), "numbers", "zips",
+        F.filter("links", lambda x: links.is_relevant(x.href) & ~links.is_social(x.href)).alias("links"),
+    ).dropDuplicates(["parent_url"])
+    return homes.join(first.withColumnRenamed("url", "parent_url"), "parent_url")
+
+
+def home_edges(pages: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Followed links of every seed's home page, whatever its numbers are; texts are not read."""
+    first = shared_table(seed_urls(seeds).groupBy("url").agg(F.min("seed_ord").alias("seed_ord")), "homes")
+    found = links.page_links(first_pages(pages, first), "asked", "url").dropDuplicates(["asked", "link_ord"])
+    edges = found.join(first.withColumnRenamed("url", "asked"), "asked").transform(links.relevant_links).transform(
+        links.not_social_links
     )
+    return links.follow(edges, "url").withColumnRenamed("asked", "parent_url").drop("url")
 
 
 def open_parents(home: DataFrame) -> DataFrame:
@@ -88,9 +105,12 @@ def open_parents(home: DataFrame) -> DataFrame:
 
 
 def link_targets(home: DataFrame) -> DataFrame:
-    """``(parent_url, seed_ord, link_ord, href, target)`` of the links that are followed."""
-    edges = home.select("parent_url", "seed_ord", F.inline("links"))
-    return links.follow(edges, "parent_url")
+    """``(parent_url, seed_ord, link_ord, href, target)`` of the links that are followed.
+
+    They are resolved against the url that answered.
+    """
+    edges = home.select("parent_url", "answer_url", "seed_ord", F.inline("links"))
+    return links.follow(edges, "answer_url").drop("answer_url")
 
 
 def visited(edges: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -113,25 +133,30 @@ def visited(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     ).select("url", "claim.parent_url", *[f"claim.{c}" for c in PAGE_RANK])
 
 
-def crawl(facts: DataFrame, seeds: DataFrame) -> DataFrame:
+def crawl(
+    pages: DataFrame, seeds: DataFrame, postal: DataFrame | None = None, parent_filter: bool = False
+) -> DataFrame:
     """``(parent_url, url, depth, seed_ord, link_ord, pairs)`` of every page the crawl reaches.
 
-    ``facts`` is read twice, so it should be a stored table (``shared_table``).
+    Seeds first: their pages are read for numbers and links, the links say which other pages are
+    reached, and only those are read, for their numbers. All pairs of a page are kept.
     """
-    home = home_pages(facts, seeds)
-    edges = link_targets(open_parents(home))
-    reached = visited(edges, seeds)
-    return reached.join(facts.select("url", "pairs"), "url").select(
-        "parent_url", "url", *PAGE_RANK, "pairs"
+    home = shared_table(_with_pairs(home_facts(pages, seeds, parent_filter), postal), "home-facts")
+    reached = shared_table(visited(link_targets(open_parents(home)), seeds), "visited")
+    children = first_pages(pages, reached.filter("depth = 1"))
+    found = extract.numbers_and_links(children, "asked", parent_filter=parent_filter).drop("links").dropDuplicates(
+        ["asked"]
     )
+    others = _with_pairs(found, postal).select(F.col("asked").alias("url"), "pairs")
+    known = home.select(F.col("parent_url").alias("url"), "pairs").unionByName(others)
+    return reached.join(known, "url").select("parent_url", "url", *PAGE_RANK, "pairs")
 
 
 def stored_crawl(
     pages: DataFrame, seeds: DataFrame, postal: DataFrame | None = None, parent_filter: bool = False
 ) -> DataFrame:
-    """``crawl`` over a page table, whose facts are extracted once into the shared folder."""
-    facts = shared_table(page_facts(pages, postal, parent_filter), "page-facts")
-    return crawl(facts, seeds)
+    """``crawl``, its result stored in the shared folder."""
+    return shared_table(crawl(pages, seeds, postal, parent_filter), "crawl")
 
 
 def contacts_final(reached: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ def single_seed(seeds: DataFrame, domain: str) -> DataFrame:
     """The job for one typed domain: its row of ``seeds``; blank input is an error."""
     domain = domain.strip()
     if not domain:
-        raise ValueError("Please enter a single domain.")
+        raise ValueError("a job for one domain needs a domain")
     return seeds.filter(F.col("domain") == domain)
 
 
@@ -89,16 +89,6 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PAGE_SCHEMA).parquet(path)
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Spread a scan of few splits over all cores, for costly row-by-row work after it.
-
-    A scan that already has a split per core, as any large table has, is left as it is, so this
-    never shuffles much data.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
-
-
 def stream_table(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
     """A parquet table as a stream of its files."""
     reader = spark.readStream.schema(schema)

@@ -162,11 +162,65 @@ def plan_of(df) -> str:
 
 
 def test_plans(frames):
-    """HTML is read once and never shuffled; no Python; ranks are cut before the shuffle."""
-    facts = plan_of(contacts.page_facts(*frames[::2]))
-    assert "Python" not in facts and "CartesianProduct" not in facts
-    assert not any("html" in line.split("Exchange")[1] for line in facts.splitlines()
-                   if "Exchange" in line and "RoundRobin" not in line and "REPARTITION" not in line)
-    df = frames[0].select(F.col("url").alias("site"), "page_id", F.col("html").alias("text"))
-    site = plan_of(contacts.contacts_per_site(df, "site", "page_id", frames[2]))
-    assert "WindowGroupLimit" in site and "BroadcastHashJoin" in site and "Python" not in site
+    """HTML is read through a join with the wanted urls; no Python; ranks are cut before the shuffle."""
+    pages, seeds, postal = frames
+    facts = plan_of(contacts.home_facts(pages, seeds))
+    assert "LeftSemi" in facts and "Python" not in facts and "CartesianProduct" not in facts
+    edges = plan_of(contacts.home_edges(pages, seeds))
+    assert "LeftSemi" in edges and "tel:" not in edges
+    df = pages.select(F.col("url").alias("site"), "page_id", F.col("html").alias("text"))
+    site = plan_of(contacts.contacts_per_site(df, "site", "page_id", postal))
+    assert "WindowGroupLimit" in site and "Python" not in site
+
+
+def test_all_numbers_of_a_page_are_kept(spark):
+    body = "".join(f"<p>202-555-{i:04d}</p>" for i in range(5))
+    pages = spark.createDataFrame(
+        [(1, "https://a.com", '<a href="/contact">c</a>'), (2, "https://a.com/contact", body)], "page_id long, url string, html string"
+    )
+    seeds = spark.createDataFrame([(0, "a.com")], "seed_ord long, domain string")
+    pairs = rollup.explode_pairs(contacts.stored_crawl(pages, seeds), "parent_url", "depth")
+    home, child = pairs.filter("depth = 0"), pairs.filter("depth = 1")
+    assert rollup.new_pairs(child, home, "parent_url").count() == 5
+
+
+def test_redirected_homes(spark):
+    """A home page that answers under another url, or with a slash, is the seed's; its links are its own."""
+    number = "<p>202-555-01{:02d}</p>"
+    pages = spark.createDataFrame([
+        (1, "https://www.a.com/", "https://a.com", '<a href="about">x</a>' + number.format(1)),
+        (2, "https://www.a.com/about", None, number.format(2)),
+        (3, "https://b.com/", None, '<a href="/contact/">x</a>'),
+        (4, "https://b.com/contact/", None, number.format(4)),
+    ], "page_id long, url string, requested_url string, html string")
+    seeds = spark.createDataFrame([(0, "a.com"), (1, "b.com")], "seed_ord long, domain string")
+    got = wide(contacts.contacts_final(contacts.stored_crawl(pages, seeds)))
+    assert got == {"https://a.com": [("2025550101", "US"), ("2025550102", "US")], "https://b.com": [("2025550104", "US")]}
+
+
+def test_rows_that_share_a_key_keep_their_numbers(spark):
+    rows = [("s", 1, "call 202-555-0100 or 202-555-0101"), ("s", 1, "call 202-555-0102 at 10001"), ("s", 1, "call 202-555-0102")]
+    texts = spark.createDataFrame(rows, "site string, id long, text string")
+    postal = spark.createDataFrame([("10001", "CA"), ("10001", "CA"), ("2", "US")], "zip string, country string")
+    for table in (None, postal):
+        pairs = rollup.explode_pairs(contacts.text_pairs(texts, "site", "id", postal=table), "site")
+        assert pairs.count() == 4
+    assert {r.country for r in pairs.collect()} == {"US", "CA"}
+
+
+def test_no_folder_is_guessed_on_a_cluster():
+    from types import SimpleNamespace
+
+    from contactloom.sources.shared import shared_folder
+
+    def session(master, folder=None):
+        return SimpleNamespace(
+            conf=SimpleNamespace(get=lambda key, default: folder),
+            sparkContext=SimpleNamespace(master=master, applicationId="app-x"),
+        )
+
+    for master in ("spark://host:7077", "local-cluster[2,1,1024]", "yarn", "k8s://https://host"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_folder(session(master))
+    assert shared_folder(session("yarn", "hdfs://x/y/")) == "hdfs://x/y"
+    assert shared_folder(session("local[4]"))

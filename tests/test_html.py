@@ -103,7 +103,9 @@ def test_link_filters(spark):
 
 BASES = ["https://a.com", "https://a.com/", "https://a.com/x/y", "https://a.com/x/?q=1/2", "https://a.com/x#f/g",
          "https://a.com?q"]
-HREFS = ["/c", "c/d", "?p=1", "#top", "", "//b.com/e", "https://b.com/f#g", "HTTP://b.com", "/c#x", "c?a=b:c"]
+HREFS = ["/c", "c/d", "?p=1", "#top", "", "//b.com/e", "https://b.com/f#g", "HTTP://b.com", "/c#x", "c?a=b:c",
+         "./about", "../support", "a/../b", "../../../up", "/x/./y/..", ".", "..", "/a/b/../../c?d=../e", "x/..?q=1", "...", "/.hidden",
+         "https://b.com/a/../b", "//b.com/a/../b"]
 
 
 @pytest.mark.parametrize("base", BASES)

@@ -110,7 +110,11 @@ def test_rejection_breakdown_counts_every_candidate(spark):
         ("+14165550143", "CA"), ("8765550143", "JM"), ("8005550143", "US"), ("2115550143", None),
         ("3715550143", None), ("1025550143", None), ("2020550143", None), ("22025550143", None),
         ("+6565550123", "SG"), ("+35312345678", "IE"), ("+49301234567", "DE"), ("+2105550143", None),
-        ("+1+2025550143", None),
+        ("+1+2025550143", None), ("+77012345678", "KZ"), ("+76012345678", "KZ"), ("+79161234567", "RU"),
+        ("+5997175000", "BQ"), ("+5999175000", "CW"), ("+37866661212", "SM"), ("+358181234567", "AX"),
+        ("+358401234567", "FI"), ("+4779123456", "SJ"), ("+61891621234", "CC"), ("+61891641234", "CX"),
+        ("+61291641234", "AU"), ("2005550100", None), ("5555550100", None), ("8885550100", "US"),
+        ("+49123", None), ("+491234567890123456", None),
     ],
 )
 def test_country_of_number(spark, number, country):

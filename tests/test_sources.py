@@ -44,7 +44,7 @@ def test_first_zip_with_a_country_counts(spark):
     found = spark.createDataFrame(
         [(1, ["99999", "22222", "11111"]), (2, ["99999"]), (3, [])], "id long, zips array<string>"
     )
-    got = {r.id: r.zip_country for r in zip_country(found, postal, "id").collect()}
+    got = {r.id: r.zip_country for r in zip_country(found, postal).collect()}
     assert got == {1: "CA", 2: None, 3: None}
 
 

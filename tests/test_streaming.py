@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from contactloom.operators import metrics
 from contactloom.plans import contacts
@@ -72,10 +73,10 @@ def test_growing_contacts_end_at_the_batch_result(spark, hits):
 
 
 def test_growing_contacts_equal_batch_contacts(spark, stored, postal, hits):
-    batch = contacts.page_facts(
-        spark.read.schema(PAGES).parquet(stored).drop("parent_url"), postal
-    ).join(spark.read.schema(PAGES).parquet(stored).groupBy("url").agg({"page_id": "min"})
-           .toDF("url", "seed_ord"), "url")
+    pages = spark.read.schema(PAGES).parquet(stored)
+    first = pages.groupBy("url").agg(F.min("page_id").alias("page_id"))
+    once = pages.drop("parent_url").join(first, ["url", "page_id"], "left_semi")
+    batch = contacts.page_pairs(once, "url", "page_id", postal=postal).withColumn("seed_ord", F.col("page_id"))
     ranked = batch.selectExpr("left(url, 1) AS parent_url", "url", "0 AS depth", "seed_ord", "0 AS link_ord", "pairs")
     changes = run(feed.growing_contacts(hits()), new_path(spark, "changes"))
     assert rows(feed.current_contacts(changes)) == rows(contacts.contacts_final(ranked))
@@ -108,3 +109,14 @@ def test_restart_goes_on_from_the_checkpoint(spark, stored):
     arrive(pages[4:])
     both = [r.url for r in run(urls(), out, checkpoint).collect()]
     assert sorted(both) == ["a/1", "a/2", "a/3", "b/1", "b/2", "b/3", "c/1", "c/2"]
+
+
+def test_a_first_copy_without_a_number_counts(spark):
+    """A later copy of a url is not looked at, whether it comes in another batch or not."""
+    source, out = new_path(spark, "pages"), new_path(spark, "out")
+    for some in ([(1, "a/1", "a", "<p>none</p>")], [(2, "a/1", "a", "<p>202-555-0100</p>"), (3, "a/2", "a", "<p>202-555-0101</p>")]):
+        spark.createDataFrame(some, "page_id long, url string, parent_url string, html string").select(
+            *[c.split()[0] for c in PAGES.split(", ")]
+        ).coalesce(1).write.mode("append").parquet(source)
+    hits = feed.page_hits(inputs.stream_table(spark, source, PAGES, files_per_trigger=1))
+    assert [r.url for r in run(hits, out).collect()] == ["a/2"]
