@@ -36,7 +36,9 @@ SPACE = "▁"
 _BITS = 20  # of the table that tells most absent substrings without a search
 _PAIR_BITS = 20  # of the table of pairs already compared
 NEVER = 1 << 40
-RUN_BYTES = 1 << 22  # text whose new words are searched together
+RUN_BYTES = 1 << 21  # text whose new words are searched together
+CACHE_WORDS = 150_000
+PART_ROWS = 500  # rows of a batch whose ids are held at once
 
 
 class Pieces:
@@ -254,8 +256,8 @@ class Encoder:
     def __init__(self, path: str):
         self.pieces = Pieces(path)
         self.dtype = np.dtype("<u2" if self.pieces.n <= 1 << 16 else "<u4")
-        self.parts = Remembered(self._search)
-        self.words = Remembered(self._cut_and_search)
+        self.parts = Remembered(self._search, CACHE_WORDS)
+        self.words = Remembered(self._cut_and_search, CACHE_WORDS)
 
     def _as_bytes(self, path: list[int]) -> bytes:
         out: list[int] = []
@@ -331,6 +333,13 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of PART_ROWS rows."""
+    for given in batches:
+        for at in range(0, given.num_rows, PART_ROWS):
+            yield given.slice(at, PART_ROWS)
+
+
 def encoded(texts: list[str], own: Encoder) -> Iterator[bytes]:
     """Ids of every text; what is new in several texts is searched together."""
     for run in groups(texts, RUN_BYTES):
@@ -346,7 +355,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "token_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
-        for given in batches:
+        for given in in_parts(batches):
             found = list(encoded([t or "" for t in given.column(text).to_pylist()], own))
             ends = np.cumsum([0, *(len(x) // own.dtype.itemsize for x in found)])
             values = np.frombuffer(b"".join(found), own.dtype).astype(np.int32)
@@ -365,7 +374,7 @@ def decode(docs: DataFrame, path: str, ids: str = "token_ids", text: str = "deco
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
-        for given in batches:
+        for given in in_parts(batches):
             texts = [own.decode(np.array(x or [], np.int64)) for x in given.column(ids).to_pylist()]
             kept = [n for n in given.schema.names if n != text]
             yield pa.RecordBatch.from_arrays([*(given.column(n) for n in kept), pa.array(texts, pa.string())], [*kept, text])
@@ -383,7 +392,7 @@ def digests(docs: DataFrame, path: str, text: str = "text", id_col: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
-        for given in batches:
+        for given in in_parts(batches):
             texts = [t or "" for t in given.column(1).to_pylist()]
             sizes, crcs, same = [], [], []
             for text_, found in zip(texts, encoded(texts, own), strict=True):

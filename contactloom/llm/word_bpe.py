@@ -15,7 +15,7 @@ import regex
 
 #: Bytes of text worked on at once; cuts fall on white space.
 PIECE_BYTES = 1 << 20
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -148,8 +148,8 @@ class Remembered:
         fresh = list(keys.difference(self.known))
         if fresh:
             if len(self.known) + len(fresh) > self.limit:
-                self.known = {}
-                fresh = list(keys)
+                # what is asked for now stays, and with it the frequent words
+                self.known = {k: self.known[k] for k in keys if k in self.known}
             self.known.update(zip(fresh, self.fill(fresh), strict=True))
 
     def of(self, keys: list[str]) -> Iterator:
