@@ -33,7 +33,7 @@ from contactloom.llm.text import whole
 from contactloom.sources.shared import new_path, shared_table
 
 ROLL_BYTES = 64_000_000
-SHARD_BYTES = 256_000_000
+SHARD_BYTES = 64_000_000
 DATE = "1970-01-01T00:00:00Z"  # of all records, since page tables have none
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # name space for URLs, RFC 4122
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -149,6 +149,8 @@ def write_archive(
         .filter(~F.col("id").eqNullSafe(F.col("first")))
         .select(F.col("id").alias("_id"), F.col("payload").alias("_payload"), "first").distinct()
     )
+    # a table of known size, which Spark broadcasts if it is small, so that html is shuffled once
+    revisits = shared_table(revisits, "warc-revisits")
     shard, n = id_shards(rows, "id", F.col("size"), shard_bytes)
     told = rows.join(
         revisits, rows["id"].eqNullSafe(revisits["_id"]) & (rows["payload"] == revisits["_payload"]), "left"
