@@ -61,6 +61,7 @@ SELECT 1000000000 + l_partkey AS page_id,
     WHEN 5 THEN '0' || {_AREA.format(k='l_partkey')} || '5550' || lpad(CAST(l_partkey % 1000 AS string), 3, '0')
     WHEN 6 THEN '+65 6555-' || {_LINE.format(k='l_partkey')} || ', +6565550' || lpad(CAST(l_partkey % 1000 AS string), 3, '0')
       || ' 1-' || {_AREA.format(k='l_partkey')} || '-555-' || {_LINE.format(k='l_partkey')}
+      || ', +599717' || {_LINE.format(k='l_partkey')} || ', +378666' || {_LINE.format(k='l_partkey')}
     ELSE '4465758382889' || lpad(CAST(l_partkey % 1000 AS string), 3, '0') END
   || '</p></div></body></html>' AS html
 FROM lineitem
