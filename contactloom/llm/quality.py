@@ -155,14 +155,14 @@ def judge_measured(measured: DataFrame, host: str = "source", rules: Rules = Rul
 
     A document is rejected if it fails a base rule, or if its host is bad and it fails any rule.
     The measured rows are written once to the shared folder and read for the host counts (two
-    columns) and for the verdicts; neither pass works on the texts again. Host verdicts are joined
-    by Spark's own choice: broadcast if they are found small, else a join whose skewed hosts are
-    split.
+    columns) and for the verdicts; neither pass works on the texts again. Host verdicts are a table
+    of known size, joined by Spark's own choice: broadcast if small, else a join whose skewed hosts
+    are split.
     """
     stored = shared_table(measured, "quality")
     taken = ("failure_rate", "host_failed", "kept")
     stored = stored.select(*[F.col(f"`{c}`") for c in stored.columns if c not in taken])
-    verdicts = host_verdicts(stored, host, rules).select(
+    verdicts = shared_table(host_verdicts(stored, host, rules), "host-verdicts").select(
         F.col("host").alias("_host"), "failure_rate", "host_failed"
     )
     return (
