@@ -1,12 +1,16 @@
 """License scans: an exact set-similarity join between text blocks and license templates.
 
-A block is a line; its tokens are its distinct words. A template is found in a block when the
-block holds at least ``threshold`` of the template's distinct tokens. Tokens are ordered by their
+A block is a line, or a window of consecutive words wherever it lies, so that a notice wrapped
+over lines is compared as a whole; its tokens are its distinct words. A template's windows have as
+many words as the template and a quarter more, for words that lines of comments begin with. A
+template is found in a block when the block holds at least ``threshold`` of the template's distinct
+tokens. Tokens are ordered by their
 document frequency in the whole corpus, rarest first; tokens of no template come last, where they
 cannot matter. A template with m tokens that needs o of them must share one of its m - o + 1 rarest
 (prefix filter); the block needs o template tokens at all (length filter); and the tokens after
 the first shared ones must be able to make up o (positional filter). Every pair that passes is
-verified, so no block that meets the threshold is missed. Licence names at fixed places ("base"
+verified, so no block that meets the threshold is missed. Of windows, only those around a token of
+a prefix are looked at, and of those, the ones that begin with a token of the template. Licence names at fixed places ("base"
 phrases) are looked up beside it. DataFrame functions only.
 
 Defined cases: null and empty texts have no words, no labels and score 0; repeated rows are each
@@ -46,6 +50,8 @@ TEMPLATES = (
     ("reserved", "All rights reserved"),
 )
 THRESHOLD = Fraction(9, 10)
+#: Words that are looked at in one row; a longer text is read in overlapping pieces.
+PIECE_WORDS = 4096
 
 
 @dataclass(frozen=True)
@@ -53,6 +59,7 @@ class Template:
     label: str
     tokens: tuple[str, ...]  # distinct
     needed: int
+    window: int  # words
 
 
 def prepared(templates=TEMPLATES, threshold: Fraction = THRESHOLD) -> list[Template]:
@@ -62,7 +69,8 @@ def prepared(templates=TEMPLATES, threshold: Fraction = THRESHOLD) -> list[Templ
         lowered = "".join(c.lower() if c.isascii() else c for c in notice)
         words = "".join(c if c.isalnum() or not c.isascii() else " " for c in lowered).split()
         tokens = tuple(dict.fromkeys(words))
-        out.append(Template(label, tokens, -(-len(tokens) * threshold.numerator // threshold.denominator)))
+        needed = -(-len(tokens) * threshold.numerator // threshold.denominator)
+        out.append(Template(label, tokens, needed, len(words) + len(words) // 4))
     return out
 
 
@@ -102,30 +110,18 @@ def token_order(seen: DataFrame, vocabulary: list[str]) -> list[str]:
     return sorted(vocabulary, key=lambda t: (counts.get(t, 0), t))
 
 
-def matching_blocks(
-    docs: DataFrame, order: list[str], templates: list[Template], text: str, id_col: str
+def matching_lines(
+    docs: DataFrame, order: list[str], prefixes: DataFrame, rare: list[str], least: int, text: str, id_col: str
 ) -> DataFrame:
-    """``(_id, _row, line, label, score)`` of every block that meets a template's threshold."""
-    spark = docs.sparkSession
-    rank = {t: i for i, t in enumerate(order)}
-    index = []  # one row per template and prefix token; its size is that of the template list
-    for n, t in enumerate(templates):
-        ranks = sorted(rank[x] for x in t.tokens)
-        for i, r in enumerate(ranks[: len(ranks) - t.needed + 1]):
-            index.append((r, n, t.label, i, len(ranks), t.needed, ranks))
-    prefixes = spark.createDataFrame(
-        index, "token int, template int, label string, t_pos int, t_size int, needed int, t_tokens array<int>"
-    )
-    rare = [order[r] for r in sorted({row[0] for row in index})]
-    least = min(t.needed for t in templates)
+    """``(_id, _row, label, score)`` of every line that meets a template's threshold."""
     ranked = F.filter(
         F.transform(F.array_distinct(alnum_words(F.col("line"))), lambda w: F.array_position(_texts(order), w)),
         lambda p: p > 0,
     )
     blocks = (
         docs.filter(F.arrays_overlap(alnum_words(F.col(text)), _texts(rare)))
-        .select(*row_key(id_col, text), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
-        .select("_id", "_row", "line_no", F.array_sort(F.transform(ranked, lambda p: (p - 1).cast("int"))).alias("tokens"))
+        .select(*row_key(id_col, text), F.explode(F.split(F.col(text), "\n")).alias("line"))
+        .select("_id", "_row", F.array_sort(F.transform(ranked, lambda p: (p - 1).cast("int"))).alias("tokens"))
         .filter(F.size("tokens") >= least)
     )
     shared = F.size(F.array_intersect("tokens", "t_tokens"))
@@ -136,7 +132,94 @@ def matching_blocks(
         .filter(F.least(F.col("t_size") - F.col("t_pos"), F.size("tokens") - F.col("b_pos")) >= F.col("needed"))
         .withColumn("shared", shared)
         .filter(F.col("shared") >= F.col("needed"))
-        .select("_id", "_row", "line_no", "label", (F.col("shared") / F.col("t_size")).alias("score"))
+        .select("_id", "_row", "label", (F.col("shared") / F.col("t_size")).alias("score"))
+    )
+
+
+def matching_windows(
+    docs: DataFrame, order: list[str], prefixes: DataFrame, rare: list[str], longest: int, text: str, id_col: str
+) -> DataFrame:
+    """``(_id, _row, label, score)`` around every prefix token whose windows meet a template's threshold.
+
+    ``longest`` is the length of the longest template's windows. Words are read in pieces that
+    overlap by that much on both sides; a prefix token counts in the piece whose middle it stands in.
+    """
+    rare_ranks = F.array(*[F.lit(order.index(t)) for t in rare])
+
+    def pieces(words: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.size(words) - 1) / PIECE_WORDS).cast("int"))
+        return F.transform(starts, lambda k: let(
+            F.greatest(k * PIECE_WORDS - longest, F.lit(0)),
+            lambda begin: F.struct(
+                (k * PIECE_WORDS - begin).alias("own"),
+                F.slice(words, begin + 1, (k + 1) * PIECE_WORDS + longest - begin).alias("words"),
+            ),
+        ))
+
+    places = F.filter(
+        F.transform("piece.words", lambda w, i: F.struct(
+            i.alias("at"), (F.array_position(_texts(order), w) - 1).cast("int").alias("token")
+        )),
+        lambda x: x["token"] >= 0,
+    )
+
+    def around(found: Column) -> Column:
+        own = F.filter(
+            F.transform(found, lambda x, i: F.struct(x["at"].alias("at"), x["token"].alias("token"), i.alias("i"))),
+            lambda x: F.array_contains(rare_ranks, x["token"])
+            & (x["at"] >= F.col("piece.own")) & (x["at"] < F.col("piece.own") + PIECE_WORDS),
+        )
+        return F.transform(own, lambda x: F.struct(
+            x["at"].alias("at"), x["token"].alias("token"),
+            F.slice(found, F.greatest(x["i"] - longest, F.lit(0)) + 1, F.lit(2 * longest + 1)).alias("near"),
+        ))
+
+    def tokens(found: Column) -> Column:
+        return F.array_distinct(F.transform(found, lambda x: x["token"]))
+
+    own_tokens = F.filter("near", lambda x: F.array_contains("t_tokens", x["token"])
+                          & (F.abs(x["at"] - F.col("at")) < F.col("window")))
+    in_windows = F.transform(
+        F.filter("near", lambda x: x["at"] <= F.col("at")),
+        lambda first: F.size(tokens(F.filter(
+            "near", lambda x: (x["at"] >= first["at"]) & (x["at"] < first["at"] + F.col("window"))
+        ))),
+    )
+    return (
+        docs.filter(F.arrays_overlap(alnum_words(F.col(text)), _texts(rare)))
+        .select(*row_key(id_col, text), F.explode(let(alnum_words(F.col(text)), pieces)).alias("piece"))
+        .filter(F.arrays_overlap("piece.words", _texts(rare)))
+        .select("_id", "_row", F.explode(let(places, around)).alias("p"))
+        .select("_id", "_row", "p.*")
+        .join(F.broadcast(prefixes), "token")
+        .withColumn("near", own_tokens)
+        .filter(F.size(tokens(F.filter("near", lambda x: x["token"] >= F.col("token")))) >= F.col("needed"))
+        .withColumn("shared", F.array_max(in_windows))
+        .filter(F.col("shared") >= F.col("needed"))
+        .select("_id", "_row", "label", (F.col("shared") / F.col("t_size")).alias("score"))
+    )
+
+
+def matching_blocks(
+    docs: DataFrame, order: list[str], templates: list[Template], text: str, id_col: str
+) -> DataFrame:
+    """``(_id, _row, label, score)`` of lines and windows that meet a template's threshold."""
+    spark = docs.sparkSession
+    rank = {t: i for i, t in enumerate(order)}
+    index = []  # one row per template and prefix token; its size is that of the template list
+    for n, t in enumerate(templates):
+        ranks = sorted(rank[x] for x in t.tokens)
+        for i, r in enumerate(ranks[: len(ranks) - t.needed + 1]):
+            index.append((r, n, t.label, i, len(ranks), t.needed, t.window, ranks))
+    prefixes = spark.createDataFrame(
+        index,
+        "token int, template int, label string, t_pos int, t_size int, needed int, window int, t_tokens array<int>",
+    )
+    rare = [order[r] for r in sorted({row[0] for row in index})]
+    least = min(t.needed for t in templates)
+    longest = max(t.window for t in templates)
+    return matching_lines(docs, order, prefixes, rare, least, text, id_col).unionByName(
+        matching_windows(docs, order, prefixes, rare, longest, text, id_col)
     )
 
 
@@ -147,9 +230,9 @@ def scan(
     """One row per document: ``id_col``, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     ``score`` is 1 where a base phrase stands, else the largest containment found, else 0. Texts
-    are read twice and never shuffled: once for what is counted per document and for the token
-    frequencies, once for the blocks of documents that hold a prefix token. Only found labels meet
-    per document.
+    are read three times and never shuffled: once for what is counted per document and for the token
+    frequencies, then for the lines and for the windows of documents that hold a prefix token. Only
+    found labels meet per document.
     """
     wanted = prepared(templates, threshold)
     vocabulary = sorted({w for t in wanted for w in t.tokens})

@@ -45,6 +45,29 @@ def test_license_edges(spark, no_docs):
     ])
 
 
+MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal"
+BSD = """# Redistribution and use in source and binary forms, with or without modification,
+# are permitted provided that the following conditions are met:"""
+MPL = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed */"
+CC0 = "dnl To the extent possible under law, the author has waived all\ndnl copyright and related or neighboring rights to this\ndnl work"
+
+
+def test_wrapped_notices(spark, monkeypatch):
+    """A notice is found wherever its lines end and wherever it stands; scattered words are none."""
+    filler = " ".join(f"f{i}" for i in range(60))
+    words = MIT.replace("\n", " ").split()
+    texts = [MIT, f"Copyright\n\n{BSD}\nx", f"{MPL}\n{MIT}", CC0, MIT.replace(" ", "\n"), "all\nrights\n\nreserved", f"\n{filler}\n".join(words)]
+    want = ["mit", "bsd", "mit,mpl-2.0", "cc0", "mit", "reserved", ""]
+    texts += [" ".join(f"f{i}" for i in range(n)) + f"\n{MIT}\n" + filler for n in range(25)]
+    want += ["mit"] * 25
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for size in (license_scan.PIECE_WORDS, 16):  # in pieces the result is the same
+        monkeypatch.setattr(license_scan, "PIECE_WORDS", size)
+        got = by_id(license_scan.scan(docs), ["labels", "score"])
+        assert [got[i][0] for i in range(len(texts))] == want
+        assert got[0][1] == got[1][1] == got[7][1] == 1.0 and got[6][1] == 0.0
+
+
 # --- decontamination ----------------------------------------------------------------------------
 
 HITS = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
