@@ -1,11 +1,12 @@
 """N-gram Jaccard join with adaptive multi-match prefixes, and the groups its links make.
 
-Two documents link when the Jaccard similarity of their sets of 5-word shingles is 0.8 or more. In
+Two texts link when the Jaccard similarity of their sets of 5-word shingles is 0.8 or more. In
 any global order of shingles, two linked sets that both take their first ``n - ceil(0.8 n) + m``
 shingles share at least ``m`` of these (``m`` the smaller of the two documents' own). A longer
 prefix thus asks for more matches before a pair is verified. Steps:
 
-1. Sets are hashed in Arrow batches; equal sets become one, represented by its smallest doc_id.
+1. Sets are hashed in Arrow batches and every row gets a number of its own; equal sets become one,
+   represented by its smallest row number. Up to the end only these numbers are compared and joined.
 2. Every set sends a prefix in hash order with ``m = 1 + n // 20``. Sets with fewer shared prefix
    shingles than that are linked with nothing, which is most of them, and end here.
 3. The others' shingles are counted exactly and ordered rarest first. Each document takes the
@@ -19,8 +20,9 @@ A large group of near copies so costs a few links per document, not all its pair
 gathered in a task. Hashes have 64 bits; a set is named by 128 bits.
 
 Defined cases: null, empty and blank texts have no shingles and link with nothing; rows without a
-doc_id link with nothing and have a null component_id; rows that repeat a doc_id are one document
-with the largest of its sets; an empty table gives an empty table; other columns are ignored.
+doc_id link like all others but name no component and have a null component_id; of rows that repeat
+a doc_id every set links, and their one row has the size of the largest and the smallest of their
+component_ids; an empty table gives an empty table; other columns are ignored.
 """
 
 from collections.abc import Iterator
@@ -32,6 +34,7 @@ from pyspark.sql import functions as F
 
 from contactloom.llm.components import components
 from contactloom.llm.shingles import column_bytes, set_digest, shingle_set
+from contactloom.llm.text import row_key
 from contactloom.sources.shared import shared_table
 
 SHINGLE = 5
@@ -40,7 +43,7 @@ MATCHES = (1, 2, 4, 8)
 #: Cost of verifying a candidate, in postings read, per shingle of the set.
 VERIFY_COST = 0.25
 
-SET_FIELDS = "doc_id long, n int, d1 long, d2 long, tokens array<long>"
+SET_FIELDS = "doc_id long, key long, n int, d1 long, d2 long, tokens array<long>"
 BATCH_ROWS = 256
 
 
@@ -59,24 +62,25 @@ def first_prefix(n: int) -> int:
 
 
 def _sets(batches: Iterator[pa.RecordBatch], prefix_only: bool) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64()),
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64()),
                         ("tokens", pa.list_(pa.int64()))])
 
     def batch(rows, tokens):
-        ids, ns, d1, d2 = zip(*rows, strict=True)
+        ids, keys, ns, d1, d2 = zip(*rows, strict=True)
         lengths = np.array([len(t) for t in tokens], np.int32)
         offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
         listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(tokens)))
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(ns, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), listed],
+            [pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(ns, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), listed],
             schema=schema,
         )
 
     for given in batches:
         rows, tokens, held = [], [], 0
-        for doc_id, data in zip(given.column(0).to_pylist(), column_bytes(given.column(1)), strict=True):
+        named = given.column(0).to_pylist(), given.column(1).to_pylist()
+        for doc_id, key, data in zip(*named, column_bytes(given.column(2)), strict=True):
             found = shingle_set(data, SHINGLE)
-            rows.append((doc_id, len(found), *set_digest(found)))
+            rows.append((doc_id, key, len(found), *set_digest(found)))
             if prefix_only and len(found):
                 # the smallest hashes; sets are sorted
                 found = found[: first_prefix(len(found))]
@@ -90,8 +94,12 @@ def _sets(batches: Iterator[pa.RecordBatch], prefix_only: bool) -> Iterator[pa.R
 
 
 def shingle_sets(docs: DataFrame, text: str, id_col: str, prefix_only: bool) -> DataFrame:
-    """``(doc_id, n, d1, d2, tokens)``: the set's size and name, and its hashes or their prefix."""
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    """``(doc_id, key, n, d1, d2, tokens)``: the set's size and name, and its hashes or their prefix.
+
+    ``key`` is the row's hash of id and text, as ``row_key`` has it.
+    """
+    _, key = row_key(id_col, text)
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("key"), F.col(text).alias("text"))
     return given.mapInArrow(lambda b: _sets(b, prefix_only), SET_FIELDS)
 
 
@@ -100,44 +108,52 @@ def _need(n: Column) -> Column:
 
 
 def members_of_sets(sets: DataFrame) -> DataFrame:
-    """``(doc_id, n, d1, d2, rep)``: one row per doc_id; ``rep`` is the smallest id with the same set."""
-    chosen = (
-        sets.filter(F.col("doc_id").isNotNull())
-        .groupBy("doc_id").agg(F.max(F.struct("n", "d1", "d2")).alias("s")).select("doc_id", "s.*")
-    )
-    reps = chosen.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    return chosen.join(reps, ["n", "d1", "d2"], "left").select(
-        "doc_id", "n", "d1", "d2", F.coalesce("rep", "doc_id").alias("rep")
+    """``(node, doc_id, key, n, d1, d2, rep)`` of every row; ``rep`` is the smallest node with the same set."""
+    reps = sets.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("node").alias("rep"))
+    return sets.select("node", "doc_id", "key", "n", "d1", "d2").join(reps, ["n", "d1", "d2"], "left").select(
+        "node", "doc_id", "key", "n", "d1", "d2", F.coalesce("rep", "node").alias("rep")
     )
 
 
 def alive(sets: DataFrame, members: DataFrame) -> DataFrame:
-    """``(doc_id, n, d1, d2)`` of representatives whose first prefix has enough shared shingles."""
+    """``(node, key, n, d1, d2)`` of representatives whose first prefix has enough shared shingles."""
     # a table of its own, so that Spark knows its size and can spare the prefixes a shuffle
-    copies = shared_table(members.filter("doc_id != rep OR n = 0").select("doc_id"), "set-copies")
-    prefixes = sets.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0)).join(copies, "doc_id", "left_anti").select(
-        "doc_id", F.explode("tokens").alias("token")
-    )
+    copies = shared_table(members.filter("node != rep OR n = 0").select("node"), "set-copies")
+    prefixes = sets.filter("n > 0").join(copies, "node", "left_anti").select("node", F.explode("tokens").alias("token"))
     common = prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df >= 2").select("token")
-    matched = prefixes.join(common, "token").groupBy("doc_id").agg(F.count(F.lit(1)).alias("m"))
+    matched = prefixes.join(common, "token").groupBy("node").agg(F.count(F.lit(1)).alias("m"))
     asked = 1 + F.floor(_need(F.col("n")) / 20)
     return (
-        matched.join(members.filter("doc_id = rep"), "doc_id")
+        matched.join(members.filter("node = rep"), "node")
         .filter(F.col("m") >= asked)
-        .select("doc_id", "n", "d1", "d2")
+        .select("node", "key", "n", "d1", "d2")
     )
 
 
+def full_sets(docs: DataFrame, left_over: DataFrame, text: str, id_col: str) -> DataFrame:
+    """``(node, n, tokens)``: all shingles of the representatives, each once."""
+    _, key = row_key(id_col, text)
+    texts = docs.join(left_over.select(F.col("key").alias("_alive")), key == F.col("_alive"), "left_semi")
+    found = shingle_sets(texts, text, id_col, prefix_only=False).join(
+        left_over.select("node", "n", "d1", "d2"), ["n", "d1", "d2"]
+    ).select("node", "n", "tokens", F.monotonically_increasing_id().alias("copy"))
+    found = shared_table(found, "sets")
+    # a representative that stands there several times, by rows of one id and text
+    first = found.groupBy("node").agg(F.min("copy").alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1")
+    spare = shared_table(found.select("node", "copy").join(first, "node").filter("copy != first").select("copy"), "spare-sets")
+    return found.join(spare, "copy", "left_anti").select("node", "n", "tokens")
+
+
 def ordered_sets(full: DataFrame) -> DataFrame:
-    """``(doc_id, n, toks)``: shingles that other sets have too, rarest first, as ``(df, token)``.
+    """``(node, n, toks)``: shingles that other sets have too, rarest first, as ``(df, token)``.
 
     Sets that share too few of their shingles with all others together are gone.
     """
-    tokens = full.select("doc_id", "n", F.explode("tokens").alias("token"))
+    tokens = full.select("node", "n", F.explode("tokens").alias("token"))
     common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df >= 2")
     return (
         tokens.join(common, "token")
-        .groupBy("doc_id", "n")
+        .groupBy("node", "n")
         .agg(F.array_sort(F.collect_set(F.struct("df", "token"))).alias("toks"))
         .filter(F.size("toks") >= _need(F.col("n")))
     )
@@ -162,11 +178,11 @@ def chosen_matches(n: Column, toks: Column) -> Column:
 
 
 def postings(ordered: DataFrame) -> DataFrame:
-    """``(token, doc_id, n, m)`` of every prefix shingle."""
+    """``(token, node, n, m)`` of every prefix shingle."""
     chosen = ordered.withColumn("m", chosen_matches(F.col("n"), F.col("toks")))
     end = _prefix_end(F.col("n"), F.size("toks"), F.col("m"))
     return chosen.select(
-        "doc_id", "n", "m", F.explode(F.transform(F.slice("toks", F.lit(1), end), lambda t: t["token"])).alias("token")
+        "node", "n", "m", F.explode(F.transform(F.slice("toks", F.lit(1), end), lambda t: t["token"])).alias("token")
     )
 
 
@@ -176,9 +192,9 @@ def _lengths_fit(n1: Column, n2: Column) -> Column:
 
 def verified(pairs: DataFrame, ordered: DataFrame) -> DataFrame:
     """The ``(a, b)`` that link."""
-    sets = ordered.select("doc_id", "n", F.transform("toks", lambda t: t["token"]).alias("tokens"))
-    left = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("t_a"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("t_b"))
+    sets = ordered.select("node", "n", F.transform("toks", lambda t: t["token"]).alias("tokens"))
+    left = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("t_a"))
+    right = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("t_b"))
     both = F.size(F.array_intersect("t_a", "t_b"))
     return (
         pairs.join(left, "a").join(right, "b")
@@ -190,11 +206,11 @@ def verified(pairs: DataFrame, ordered: DataFrame) -> DataFrame:
 
 def leader_pairs(posted: DataFrame) -> DataFrame:
     """``(a, b)``: every document with the smallest document of each of its posting lists."""
-    leaders = posted.groupBy("token").agg(F.min(F.struct("doc_id", "n")).alias("l"))
+    leaders = posted.groupBy("token").agg(F.min(F.struct("node", "n")).alias("l"))
     return (
         posted.join(leaders, "token")
-        .filter((F.col("l.doc_id") < F.col("doc_id")) & _lengths_fit(F.col("n"), F.col("l.n")))
-        .select(F.col("l.doc_id").alias("a"), F.col("doc_id").alias("b"))
+        .filter((F.col("l.node") < F.col("node")) & _lengths_fit(F.col("n"), F.col("l.n")))
+        .select(F.col("l.node").alias("a"), F.col("node").alias("b"))
         .distinct()
     )
 
@@ -202,7 +218,7 @@ def leader_pairs(posted: DataFrame) -> DataFrame:
 def pairs_between(labelled: DataFrame) -> DataFrame:
     """``(a, b)`` of different components that share enough prefix shingles.
 
-    ``labelled`` is ``(token, doc_id, n, m, component)``. Lists of one component end first; in the
+    ``labelled`` is ``(token, node, n, m, component)``. Lists of one component end first; in the
     others components are paired, then their documents, so no pair inside a component is made.
     """
     mixed = labelled.groupBy("token").agg(
@@ -213,8 +229,8 @@ def pairs_between(labelled: DataFrame) -> DataFrame:
     met = sides.select("token", F.col("component").alias("c1")).join(
         sides.select("token", F.col("component").alias("c2")), "token"
     ).filter("c1 < c2")
-    first = open_lists.select("token", F.col("component").alias("c1"), F.col("doc_id").alias("a"), F.col("n").alias("n1"), F.col("m").alias("m1"))
-    second = open_lists.select("token", F.col("component").alias("c2"), F.col("doc_id").alias("b"), F.col("n").alias("n2"), F.col("m").alias("m2"))
+    first = open_lists.select("token", F.col("component").alias("c1"), F.col("node").alias("a"), F.col("n").alias("n1"), F.col("m").alias("m1"))
+    second = open_lists.select("token", F.col("component").alias("c2"), F.col("node").alias("b"), F.col("n").alias("n2"), F.col("m").alias("m2"))
     return (
         met.join(first, ["token", "c1"]).join(second, ["token", "c2"])
         .filter(_lengths_fit(F.col("n1"), F.col("n2")))
@@ -230,43 +246,90 @@ def _labelled(df: DataFrame, labels: DataFrame, by: str) -> DataFrame:
     )
 
 
-def linked_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row per document: ``id_col``, ``n_shingles``, ``component_id``.
-
-    ``component_id`` is the smallest doc_id that can be reached by links, its own included.
-    """
-    sets = shared_table(shingle_sets(docs, text, id_col, prefix_only=True), "set-prefixes")
+def grouped_rows(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """``(doc_id, key, n, component)`` of every row; rows of one component reach each other by links."""
+    sets = shared_table(
+        shingle_sets(docs, text, id_col, prefix_only=True).withColumn("node", F.monotonically_increasing_id()), "set-prefixes"
+    )
     members = shared_table(members_of_sets(sets), "set-members")
     left_over = shared_table(alive(sets, members), "set-alive")
-    texts = docs.join(left_over.select(F.col("doc_id").alias("_alive")), F.col(id_col) == F.col("_alive"), "left_semi")
-    full = shingle_sets(texts, text, id_col, prefix_only=False).join(
-        left_over, ["doc_id", "n", "d1", "d2"], "left_semi"
-    ).select("doc_id", "n", "tokens")
-    full = shared_table(full, "sets")
-    ordered = shared_table(ordered_sets(full), "sets-ordered")
+    ordered = shared_table(ordered_sets(full_sets(docs, left_over, text, id_col)), "sets-ordered")
     posted = shared_table(postings(ordered), "postings")
     links = shared_table(verified(leader_pairs(posted), ordered), "leader-links")
     labels = shared_table(components(links, "a", "b"), "leader-groups")
-    labelled = shared_table(_labelled(posted, labels, "doc_id"), "labelled-postings")
+    labelled = shared_table(_labelled(posted, labels, "node"), "labelled-postings")
     more = shared_table(verified(pairs_between(labelled), ordered), "more-links")
     if not more.isEmpty():
         edges = more.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
         labels = shared_table(components(edges, "a", "b"), "groups")
-    grouped = _labelled(members.select("doc_id", "n", "rep"), labels, "rep")
-    unnamed = sets.filter(F.col("doc_id").isNull()).select("doc_id", "n", F.lit(None).cast("long").alias("component"))
-    return grouped.select("doc_id", "n", "component").unionByName(unnamed).select(
-        F.col("doc_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"),
-        F.col("component").alias("component_id"),
+    grouped = _labelled(members.select("doc_id", "key", "n", "rep"), labels, "rep")
+    return shared_table(grouped.select("doc_id", "key", "n", "component"), "grouped-rows")
+
+
+def linked_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """One row per document: ``id_col``, ``n_shingles``, ``component_id``.
+
+    ``component_id`` is the smallest doc_id that can be reached by links, its own included.
+    """
+    rows = grouped_rows(docs, text, id_col)
+    names = rows.groupBy("component").agg(F.min("doc_id").alias("name"))
+    named = rows.filter(F.col("doc_id").isNotNull()).join(names, "component")
+    by_id = named.groupBy("doc_id").agg(F.max("n").alias("n"), F.min("name").alias("name"))
+    unnamed = rows.filter(F.col("doc_id").isNull()).select("doc_id", "n", F.lit(None).cast("long").alias("name"))
+    return by_id.unionByName(unnamed).select(
+        F.col("doc_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.col("name").alias("component_id"),
     )
 
 
 def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with one document of each group, the one with the smallest id.
+    """``docs`` with one document of each group, the one with the smallest id; a document is all rows of an id.
 
     Rows without an id stay. The ids that go are a table of known size, which Spark broadcasts if it
-    is small.
+    is small. Where ids may repeat or be null, ``keep_one_row`` judges every row by its own text.
     """
     gone = linked_groups(docs, text, id_col).filter(F.col(id_col) != F.col("component_id")).select(
         F.col(id_col).alias("_gone")
     )
     return docs.join(shared_table(gone, "near-copies"), F.col(id_col) == F.col("_gone"), "left_anti")
+
+
+def keep_one_row(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """``docs`` with one row of each group: the smallest id's, a row without an id only if no other is there.
+
+    Rows are named by id and text. Of rows that repeat both, the one with the smallest hash of all
+    columns stays. Rows without shingles stay. Ids of which nothing stays go by the id alone, which
+    is a smaller table; the others go by both.
+    """
+    rows = grouped_rows(docs, text, id_col)
+    first = rows.filter("n > 0").groupBy("component").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")).alias("f")
+    ).select("component", F.col("f.doc_id").alias("f_id"), F.col("f.key").alias("f_key"))
+    stays = (F.col("n") == 0) | (F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("key") == F.col("f_key")))
+    judged = shared_table(
+        rows.join(first, "component", "left").select("doc_id", "key", "n", stays.alias("stays")), "judged-rows"
+    )
+    ids = shared_table(
+        judged.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_gone"))
+        .agg(F.max("stays").alias("some")).filter("NOT some").select("_gone"), "near-copies",
+    )
+    keys = shared_table(
+        judged.filter("NOT stays").join(ids, F.col("doc_id") == F.col("_gone"), "left_anti")
+        .select(F.col("doc_id").alias("_id"), F.col("key").alias("_row")).distinct(), "near-copies-by-text",
+    )
+    again = shared_table(
+        judged.filter("stays AND n > 0").groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_row"))
+        .agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("_id", "_row"), "repeated-rows",
+    )
+    _, key = row_key(id_col, text)
+
+    def named(table: DataFrame):
+        return F.col(id_col).cast("long").eqNullSafe(table["_id"]) & (key == table["_row"])
+
+    kept = docs.join(ids, F.col(id_col) == F.col("_gone"), "left_anti").join(keys, named(keys), "left_anti")
+    if again.isEmpty():
+        return kept
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    one = kept.join(again, named(again), "left_semi").groupBy(F.col(id_col).alias("_id"), key.alias("_row")).agg(
+        F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("_r")
+    )
+    return kept.join(again, named(again), "left_anti").unionByName(one.select("_r.*"))

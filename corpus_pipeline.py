@@ -3,7 +3,7 @@
 Stages, each over all rows its predecessor kept:
 
 1. quality          documents that fail a rule, or any rule in a bad host, go
-2. near_duplicates  one document of each group of near copies stays, the one with the smallest id
+2. near_duplicates  one row of each group of near copies stays, the one with the smallest id
 3. decontaminate    documents with a twentieth of their words from benchmark windows go
 4. pii              personal data in the texts is replaced by its kind
 5. tokenize         piece ids of every text
@@ -29,7 +29,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_jaccard.keep_one(docs)
+    return ngram_jaccard.keep_one_row(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

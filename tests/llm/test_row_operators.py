@@ -63,6 +63,26 @@ def test_groups_of_odd_rows(spark):
     assert ngram_jaccard.linked_groups(docs.filter("doc_id > 99")).collect() == []
 
 
+def test_texts_of_one_id_are_compared_each(spark):
+    """Clashing, null and repeated ids: one row of each group stays, and no other text goes."""
+    text, other, third = (" ".join(f"{c}{i}" for i in range(40)) for c in "wxy")
+    rows = [(4, text, "a"), (2, text + " more", "a"), (9, "a b", "a"), (9, text, "a"), (5, other, "a"), (4, other + " q", "a"),
+            (None, third, "a"), (None, third, "b"), (None, third + " z", "a"), (7, other, "b"), (7, other, "b"),
+            (8, "c d e", "b"), (8, "c d e", "a"), (8, "c d e", "a"), (None, None, "a"), (None, None, "a"), (None, text, "a"), (3, " ", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    kept = [tuple(r) for r in ngram_jaccard.keep_one_row(docs).collect()]
+    assert sorted((str(i), t) for i, t, _ in kept if i is not None) == sorted(
+        [("2", text + " more"), ("4", other + " q"), ("9", "a b"), ("8", "c d e"), ("3", " ")]
+    )
+    unnamed = [t for i, t, _ in kept if i is None]
+    assert unnamed.count(None) == 2 and len(unnamed) == 3 and unnamed[-1 if unnamed[-1] else 0 if unnamed[0] else 1].startswith(third)
+    assert set(kept) <= set(rows)
+    # the shorter text of 4 is a link of 5 and 7, and of 9 every text counts
+    got = sorted(tuple(r) for r in ngram_jaccard.linked_groups(docs.filter("doc_id IS NOT NULL")).collect())
+    assert got == [(2, 37, 2), (3, 0, 3), (4, 37, 2), (5, 36, 4), (7, 36, 4), (8, 1, 8), (9, 36, 2)]
+    assert ngram_jaccard.keep_one_row(docs.filter("doc_id > 99")).collect() == []
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + rng.randint(1, 60)) for _ in range(50)] + [(7, 7), (None, 3), (300, 299), (299, 300)]
