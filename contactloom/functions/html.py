@@ -16,10 +16,21 @@ INVISIBLE = (
     r"(?is)<(?:!--.*?(?:-->|\z)|script\b.*?(?:</script\s*>|\z)"
     r"|style\b.*?(?:</style\s*>|\z)|title\b.*?(?:</title\s*>|\z))"
 )
+# Tags whose attributes hold no '>', as the SQL of checks has them; where none does, they are the same as those below.
 BLOCK_TAG = rf"(?i)</?(?:{'|'.join(BLOCK_TAGS + SEPARATOR_TAGS)})\b[^>]*(?:>|\z)"
 ANY_TAG = r"<[a-zA-Z/!?][^>]*(?:>|\z)"
 # A whole <a> tag, so that each tag is read once; group 1 is '' for a tag without href.
 HREF = r"""(?i)<a\b(?:[^>]*?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?[^>]*(?:>|\z)"""
+# The rest of a tag. A quote opens a value after '=' only, and may hold '>'; one that is never closed is
+# a character like others. Every repetition is possessive, so the matcher neither backtracks nor recurses.
+_VALUE = r"""=\s*+(?:"[^"]*+"|'[^']*+')?+"""
+_REST = rf"(?:[^>=]++|{_VALUE})*+(?:>|\z)"
+WHOLE_BLOCK_TAG = rf"(?i)</?(?:{'|'.join(BLOCK_TAGS + SEPARATOR_TAGS)})\b{_REST}"
+WHOLE_TAG = rf"<[a-zA-Z/!?]{_REST}"
+WHOLE_HREF = (
+    rf"(?i)<a\b(?:[^>=\s]++|\s(?!href\s*+=)|{_VALUE})*+"
+    rf"""(?:\shref\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?+{_REST}"""
+)
 TEL_HREF = rf"{HREF_MARK}(tel:[^{HREF_MARK}]*)"
 
 
@@ -70,7 +81,7 @@ def marked_text(visible: Column) -> Column:
 
     Entities are still encoded.
     """
-    return F.regexp_replace(F.regexp_replace(visible, BLOCK_TAG, BLOCK_MARK), ANY_TAG, "")
+    return F.regexp_replace(F.regexp_replace(visible, WHOLE_BLOCK_TAG, BLOCK_MARK), WHOLE_TAG, "")
 
 
 def blocks(text: Column) -> Column:
@@ -89,7 +100,7 @@ def digit_blocks(marked: Column) -> Column:
 
 def quoted_hrefs(visible: Column) -> Column:
     """``<a href>`` values as they are written, quotes included."""
-    return F.array_remove(F.regexp_extract_all(visible, F.lit(HREF), F.lit(1)), "")
+    return F.array_remove(F.regexp_extract_all(visible, F.lit(WHOLE_HREF), F.lit(1)), "")
 
 
 def joined_hrefs(visible: Column) -> Column:

@@ -68,6 +68,53 @@ def test_explode_path_and_array_path_agree(spark, page):
     assert extract.numbers_of_pages(page, "url").first().numbers == want
 
 
+QUOTED = [
+    '<p>x<a title="a > b" href="/contact">Us</a>y', """<a onclick="()=>x()" href='tel:2025550101'>t</a>""", "<a title='>' class=\"b>c\" href=/bare>q</a>",
+    '<a title="x href=/no >" href="/yes">q</a>', '<a href="/a>b" title=">">q</a>', '<p data-x="1 > 2025550109">in</p><div title=\'">"\'>out</div>',
+    '<a data-q = "it\'s >" href = "/spaced">q</a>', "<b title='>'>bold</b> plain <img alt=\"a>b\">", "<a it's href='/odd'>q</a> rest", '<a title="no > link">q</a>',
+]
+
+
+def test_quoted_values_hold_tag_ends(spark):
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.links, self.text = [], ""
+
+        def handle_starttag(self, tag, attrs):
+            self.links += [v for k, v in attrs if tag == "a" and k == "href"]
+
+        def handle_data(self, data):
+            self.text += data
+
+    df = spark.createDataFrame(list(enumerate(QUOTED)), "page_id long, html string")
+    got = {i: [] for i in range(len(QUOTED))}
+    for r in links.page_links(df, "page_id").orderBy("page_id", "link_ord").collect():
+        got[r.page_id].append(r.href)
+    texts = {i: "" for i in got}
+    for r in extract.text_blocks(df, "page_id").orderBy("page_id", "block_ord").collect():
+        texts[r.page_id] += r.text
+    for i, html in enumerate(QUOTED):
+        reader = Reader()
+        reader.feed(html)
+        reader.close()
+        assert (got[i], texts[i]) == (reader.links, reader.text), html
+    assert [n for r in extract.numbers_of_pages(df, "page_id").collect() for n in r.numbers] == ["2025550101"]
+
+
+@pytest.mark.parametrize("html", ["<a title=\"" * 50000, "<a x='> " * 1 + "<a y=\"" + "<a z=" * 50000, "<a href " * 50000, "<a " + "b=\"c>\" " * 50000])
+def test_quotes_stay_linear(spark, html):
+    df = spark.createDataFrame([(html,)], "html string")
+    assert links.page_links(df).count() == 0 and extract.numbers_of_pages(df).count() == 0
+
+
+def test_an_unclosed_quote_ends_with_its_tag(spark):
+    df = spark.createDataFrame([('<a title="x href=/y>q</a><p>2025550101</p>',)], "html string")
+    assert extract.numbers_of_pages(df).first().numbers == ["2025550101"]
+
+
 @pytest.mark.parametrize(
     "html",
     ["<!-- 2025550100", "<script>2025550100", "<a href", "<p", "<" * 50000, "<a " * 20000,
