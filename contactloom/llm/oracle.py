@@ -1,6 +1,6 @@
 """DuckDB SQL for the rows of the queries that SQL can express."""
 
-from contactloom.llm import chat_format, license_scan, quality
+from contactloom.llm import chat_format, license_scan, mixing, quality, ranked_search
 
 
 def _text(value: str) -> str:
@@ -150,6 +150,59 @@ SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
 FROM first"""
 
 
+def search_sql() -> str:
+    return f"""
+WITH words AS MATERIALIZED (SELECT row_number() OVER () AS d, doc_id, {alnum('text')} AS w FROM documents),
+sizes AS MATERIALIZED (SELECT d, doc_id, len(w)::BIGINT AS n FROM words WHERE len(w) > 0),
+total AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM sizes),
+norms AS MATERIALIZED (SELECT d, doc_id, 100 - 75 + ((75 * n * n_docs) // n_terms) AS m FROM sizes, total),
+counts AS MATERIALIZED (SELECT d, t, count(*)::BIGINT AS tf FROM (SELECT d, unnest(w) AS t FROM words) GROUP BY ALL),
+items AS (SELECT item_id, unnest({alnum('text')}) AS t FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+asked AS MATERIALIZED (SELECT item_id, t, count(*)::BIGINT AS times FROM items GROUP BY ALL),
+weights AS MATERIALIZED (
+  SELECT t, floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM counts, total WHERE t IN (SELECT t FROM asked) GROUP BY t),
+scored AS (
+  SELECT item_id, d, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM asked JOIN weights USING (t) JOIN counts USING (t) JOIN norms USING (d) GROUP BY ALL)
+SELECT item_id, rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank
+      FROM scored WHERE score > 0)
+WHERE rank <= {ranked_search.K}"""
+
+
+def mixing_sql() -> str:
+    stop = mixing.MAX_EPOCHS
+    taken = " + ".join(
+        f"greatest(0, least(size, floor(target)::BIGINT - ({e} * source_size + place)))" for e in range(stop)
+    )
+    return f"""
+WITH sized AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, source, len({spaced('text')})::BIGINT AS size,
+         md5(concat_ws(':', '0', doc_id::VARCHAR, text)) AS o FROM documents),
+sources AS (SELECT source, sum(size)::BIGINT AS source_size,
+                   1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)} AS weight FROM sized GROUP BY source),
+-- the sources that stop are those of the least size per weight
+by_room AS (
+  SELECT *, sum(source_size) OVER () AS total,
+         sum({stop} * source_size) OVER before AS stopped, sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS free
+  FROM sources WINDOW before AS (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+levels AS (SELECT *, ((total - coalesce(stopped, 0)) / free)::DOUBLE AS level FROM by_room),
+level AS (SELECT arg_min(level, coalesce(stopped, 0)) AS level FROM levels WHERE NOT level * weight > {stop} * source_size),
+shares AS (
+  SELECT source, source_size,
+         CASE WHEN level * weight > {stop} * source_size THEN ({stop} * source_size)::DOUBLE ELSE level * weight END AS target
+  FROM sources, level),
+placed AS (
+  SELECT r, doc_id, size, source_size, target,
+         coalesce(sum(size) OVER (PARTITION BY sized.source ORDER BY o, doc_id, size, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS place
+  FROM sized JOIN shares ON sized.source IS NOT DISTINCT FROM shares.source),
+mixed AS (SELECT doc_id, size, source_size, target, ({taken})::BIGINT AS taken, floor(target)::BIGINT AS budget, place FROM placed)
+SELECT doc_id, size, source_size, target, taken,
+       CASE WHEN size = 0 THEN 0 ELSE ({' + '.join(f'(budget > {e} * source_size + place)::INT' for e in range(stop))}) END::BIGINT AS copies
+FROM mixed"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_license_scan": license_sql(),
@@ -158,4 +211,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_quality": quality_sql(),
         "op8_chat_format": chat_sql(),
         "op9_warc": warc_sql(),
+        "op11_ranked_search": search_sql(),
+        "op13_mixing": mixing_sql(),
     }

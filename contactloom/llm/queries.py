@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contactloom.llm import (
-    chat_format, decontaminate, license_scan, ngram_jaccard, pii, quality, sentencepiece, token_counts,
-    token_files, warc,
+    chat_format, decontaminate, license_scan, mixing, ngram_jaccard, pii, quality, ranked_search, sentencepiece,
+    token_counts, token_files, warc,
 )
 from contactloom.llm.oracle import oracle_sql
+from contactloom.sources.shared import shared_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -102,4 +103,17 @@ def op10_token_files(spark, sf):
     return token_files.token_files(documents(spark, sf), tokenizer_file("word_bpe_49k.json"), end_id=2)
 
 
+@query
+def op11_ranked_search(spark, sf):
+    return ranked_search.search(documents(spark, sf), table(spark, sf, "benchmark"))
+
+
+@query
+def op13_mixing(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", "source")
+    placed = mixing.streams(docs)
+    mixed = shared_table(mixing.mix(placed), "mix")
+    return mixing.taken_words(placed, mixed).drop("first_time")
+
+
 SQL = oracle_sql()
