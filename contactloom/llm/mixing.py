@@ -137,7 +137,7 @@ def streams(docs: DataFrame, text: str = "text", source: str = "source", id_col:
     """
     documents = sized(docs, text, source, id_col, seed)
     shares = shared_table(targets(shared_table(ranked_sources(documents), "mix-ranks")), "mix-targets")
-    n_ranges = max(16, documents.count() // RANGE_ROWS)
+    n_ranges = max(64, documents.count() // RANGE_ROWS)
     # of 32 bits of the hash, so ranges are in the order of the hash
     hashed = F.conv(F.substring("order", 1, 8), 16, 10).cast("long")
     dealt = documents.withColumn("range", F.floor(hashed * n_ranges / (1 << 32)).cast("int"))

@@ -171,6 +171,42 @@ FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc
 WHERE rank <= {ranked_search.K}"""
 
 
+def crc32_sql(text: str) -> str:
+    """Unsigned crc32 of a text of ASCII; the table follows from the polynomial."""
+    table = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        table.append(n)
+    step = f"xor(c >> 8, ({table}::BIGINT[])[(xor(c, b) & 255) + 1])"
+    codes = f"list_transform(range(1, length({text}) + 1), lambda i: ascii(({text})[i])::BIGINT)"
+    return f"xor(list_reduce([4294967295::BIGINT] || {codes}, lambda c, b: {step}), 4294967295)"
+
+
+def trie_sql() -> str:
+    return f"""
+WITH turns AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                      row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS p
+               FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT c, c - c % 100 AS base, {crc32_sql('c::VARCHAR')} % 6 AS h FROM (SELECT DISTINCT c FROM turns)),
+rebuilt AS (
+  SELECT convs.c, p, role, text FROM convs JOIN turns USING (c) WHERE p >= h
+  UNION ALL SELECT convs.c, p, role, text FROM convs JOIN turns ON turns.c = base WHERE p < h),
+whole AS MATERIALIZED (
+  SELECT c, coalesce(list([role, text] ORDER BY p) FILTER (p IS NOT NULL), []) AS t FROM convs LEFT JOIN rebuilt USING (c) GROUP BY c),
+prefixes AS MATERIALIZED (SELECT c, d, t[1:d] AS k, d = len(t) AS ended FROM (SELECT c, t, unnest(range(len(t) + 1)) AS d FROM whole)),
+nodes AS MATERIALIZED (
+  SELECT d, k, min(c) AS c, count(*) AS n, coalesce(length(k[d][2]), 0) AS chars,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ended), '')) AS ends
+  FROM prefixes GROUP BY d, k),
+above AS (SELECT p.d, p.k, count(*) FILTER (x.d = p.d + 1) AS n_children, sum((x.n - 1) * x.chars) AS saved,
+                 count(*) FILTER (NOT EXISTS (SELECT 1 FROM nodes y WHERE y.d = x.d + 1 AND y.k[1:x.d] = x.k)) AS n_leaves
+          FROM nodes x JOIN prefixes p ON p.c = x.c AND p.d <= x.d GROUP BY p.d, p.k)
+SELECT nodes.c AS conv_id, nodes.d AS depth, up.c AS parent_conv_id, nodes.n AS n_convs, n_children::BIGINT AS n_children,
+       n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, nodes.ends AS ends_sha256
+FROM nodes JOIN above USING (d, k) LEFT JOIN nodes up ON up.d = nodes.d - 1 AND up.k = nodes.k[1:nodes.d - 1]"""
+
+
 def mixing_sql() -> str:
     stop = mixing.MAX_EPOCHS
     taken = " + ".join(
@@ -212,5 +248,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_chat_format": chat_sql(),
         "op9_warc": warc_sql(),
         "op11_ranked_search": search_sql(),
+        "op12_prefix_trie": trie_sql(),
         "op13_mixing": mixing_sql(),
     }

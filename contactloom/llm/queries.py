@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contactloom.llm import (
-    chat_format, decontaminate, license_scan, mixing, ngram_jaccard, pii, quality, ranked_search, sentencepiece,
-    token_counts, token_files, warc,
+    chat_format, decontaminate, license_scan, mixing, ngram_jaccard, pii, prefix_trie, quality, ranked_search,
+    sentencepiece, token_counts, token_files, warc,
 )
 from contactloom.llm.oracle import oracle_sql
 from contactloom.sources.shared import shared_table
@@ -108,6 +108,12 @@ def op11_ranked_search(spark, sf):
     return ranked_search.search(documents(spark, sf), table(spark, sf, "benchmark"))
 
 
+@query
+def op12_prefix_trie(spark, sf):
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    return prefix_trie.trie(*prefix_trie.branched(prefix_trie.placed(turns)))
+
+
 @query
 def op13_mixing(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", "source")

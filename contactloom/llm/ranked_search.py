@@ -15,7 +15,7 @@ term's weight times its occurrences in the item. A score is their dot product, i
    are lower bounds for all, so in the second pass most trees end at the root.
 
 Every task returns at most ``k`` documents per item; the best of these are the result. Sums below
-2^53 are exact in doubles; an item that may exceed them is computed in 64-bit integers.
+2^53 are exact in doubles; where an item may exceed them, scores are computed in 64-bit integers.
 
 Defined cases: null and empty texts have no terms, are not counted and not found; rows that repeat
 an id are documents of their own; documents without an id rank after all others of their score;
@@ -45,9 +45,11 @@ TOP_IMPACT = 1_000_000  # no coordinate of a document reaches it
 #: Bounds of a block: distinct terms of its items summed, and items.
 BLOCK_TERMS, BLOCK_ITEMS = 16_000, 256
 ITEM_LEAF, FAN_OUT = 8, 8
-LEAF_DOCS, LEAVES = 64, 64
-LEAF_CELLS = 1 << 21  # cells of a dense leaf at most; wider vocabularies make smaller leaves
-KEPT_CELLS = 1 << 23  # of the dense leaves of a tree that are kept
+LEAF_DOCS, LEAVES = 64, 32
+LEAF_CELLS = 1 << 19  # cells of a dense leaf at most; wider vocabularies make smaller leaves
+KEPT_CELLS = 1 << 21  # of the dense leaves that are kept, so those under one node of documents
+
+MARGIN = 1 + 1e-9  # for what doubles round off in a bound
 
 #: Bytes of words to lower case, everything else to a blank.
 _FOLD = bytes(
@@ -87,6 +89,7 @@ class ItemTree:
     names: np.ndarray
     weights: np.ndarray  # of every term, the largest of all items
     width: int
+    dtype: type  # in which scores are exact
 
 
 def item_tree(items: dict[int, dict[int, int]], width: int) -> ItemTree | None:
@@ -105,18 +108,18 @@ def item_tree(items: dict[int, dict[int, int]], width: int) -> ItemTree | None:
         weights = np.zeros((len(columns), len(batch)), dtype)
         for n, i in enumerate(batch):
             weights[[place[t] for t in vectors[i]], n] = list(vectors[i].values())
-        level.append(Node(low, low + len(batch), columns, weights.max(axis=1), (), weights))
-    largest = np.zeros(width, dtype)
+        level.append(Node(low, low + len(batch), columns, weights.max(axis=1).astype(float), (), weights))
+    largest = np.zeros(width)
     for node in level:
         largest[node.columns] = np.maximum(largest[node.columns], node.most)
     while len(level) > 1:
-        level = [_parent(level[n : n + FAN_OUT], dtype) for n in range(0, len(level), FAN_OUT)]
-    return ItemTree(level[0], np.array(order, np.int64), largest, width)
+        level = [_parent(level[n : n + FAN_OUT]) for n in range(0, len(level), FAN_OUT)]
+    return ItemTree(level[0], np.array(order, np.int64), largest, width, dtype)
 
 
-def _parent(nodes: list[Node], dtype) -> Node:
+def _parent(nodes: list[Node]) -> Node:
     columns = np.unique(np.concatenate([n.columns for n in nodes]))
-    most = np.zeros(len(columns), dtype)
+    most = np.zeros(len(columns))
     for n in nodes:
         at = np.searchsorted(columns, n.columns)
         most[at] = np.maximum(most[at], n.most)
@@ -130,7 +133,6 @@ class DocTree:
     """A few thousand documents: leaves of a batch each, and coordinate maxima of leaves and of groups of leaves."""
 
     def __init__(self, ids, unnamed, sizes, columns, impacts, items: ItemTree, leaf_docs: int):
-        dtype = items.weights.dtype
         rows = np.repeat(np.arange(len(sizes)), sizes)
         worth = items.weights[columns] * impacts
         # heaviest terms first inside a document; a document's batch goes by its two heaviest
@@ -143,12 +145,12 @@ class DocTree:
         place[order] = np.arange(len(order))
         rows = place[rows]
         sort = np.argsort(rows, kind="stable")
-        self.rows, self.columns, self.impacts = rows[sort], columns[sort], impacts[sort].astype(dtype)
+        self.rows, self.columns, self.impacts = rows[sort], columns[sort], impacts[sort].astype(items.dtype)
         self.ids, self.unnamed = ids[order], unnamed[order]
         self.leaf_docs, self.width = leaf_docs, items.width
         self.n_leaves = -(-len(order) // leaf_docs)
         self.bounds = np.searchsorted(self.rows, np.arange(self.n_leaves + 1) * leaf_docs)
-        leaves = np.zeros((self.n_leaves, items.width), dtype)
+        leaves = np.zeros((self.n_leaves, items.width))
         np.maximum.at(leaves, (self.rows // leaf_docs, self.columns), self.impacts)
         self.levels = [leaves]
         while len(self.levels[-1]) > 1:
@@ -197,7 +199,7 @@ class Search:
 
     def _pairs(self, tree: DocTree, node: Node, level: int, docs: np.ndarray) -> None:
         """All pairs of a node of items and nodes ``docs`` of a level of the documents' tree."""
-        bounds = tree.levels[level][np.ix_(docs, node.columns)] @ node.most
+        bounds = tree.levels[level][np.ix_(docs, node.columns)] @ node.most * MARGIN
         for n in np.argsort(-bounds, kind="stable"):
             if bounds[n] <= 0 or bounds[n] < self._weakest(node):
                 return  # and so are all that follow
@@ -262,6 +264,7 @@ def search_task(
                 ids.fill_null(0).to_numpy(zero_copy_only=False), unnamed, sizes, columns, impacts, items, leaf_docs
             )
             (search.leaders if leaders else search.through)(tree)
+            del tree
     yield search.rows()
 
 
