@@ -89,8 +89,9 @@ POSTAL_US = "SELECT lpad(CAST(c_custkey % 1000 AS string), 5, '0') AS Zip FROM c
 
 CRAWL_PAGES = f"{HOME_PAGES} UNION ALL {CHILD_PAGES} UNION ALL {PARTNER_PAGES}"
 
-# The feed of the streaming jobs: every copy of a page is a page of its own.
+# The feed of the streaming jobs: all copies under their real urls, dealt to batches that follow each other.
+FEED_BATCHES = 3
 FEED_PAGES = f"""
-SELECT page_id, url || '?v=' || CAST(page_id AS string) AS url,
-  regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS parent_url, html FROM ({CRAWL_PAGES})
+SELECT page_id, url, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS parent_url, html,
+  page_id % {FEED_BATCHES} AS batch FROM ({CRAWL_PAGES})
 """

@@ -145,7 +145,7 @@ SELECT parent_url, seed_ord, link_ord, href, CASE
 FROM (SELECT *, regexp_replace(href, '#.*$', '') AS link FROM home_links)"""
 
 K = "url, page_id"
-_PLAN = ", ".join(f"('{p}', '{c}')" for p, c in sorted(dial_plan().items()))
+_PLAN = ", ".join(f"('{r.low}', '{r.high}', '{r.country}', {r.shortest}, {r.longest})" for r in dial_plan())
 _FACT_ORDER = "depth, seed_ord, link_ord"
 
 CTES = {
@@ -157,7 +157,7 @@ CTES = {
     "us_zips": derived.POSTAL_US,
     "postal": """SELECT Zip AS zip, CASE WHEN max(src) = 1 THEN 'US' ELSE 'CA' END AS country
         FROM (SELECT Zip, 0 AS src FROM ca_zips UNION ALL SELECT Zip, 1 FROM us_zips) GROUP BY Zip""",
-    "plan": f"SELECT * FROM (VALUES {_PLAN}) AS t(prefix, country)",
+    "plan": f"SELECT * FROM (VALUES {_PLAN}) AS t(low, high, country, shortest, longest)",
     # pages of the crawl
     "first_copies": f"""SELECT {K}, html FROM crawl_pages WHERE NOT {_unwanted('url')}
         QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1""",
@@ -191,17 +191,16 @@ CTES = {
     "given_numbers": _numbers(f"{_tel('given_links', K)} UNION ALL {_text('given_candidates', K)}", K),
     "all_numbers": """SELECT number FROM numbers UNION SELECT number FROM doc_numbers
         UNION SELECT number FROM given_numbers""",
-    "e164": """SELECT number, CASE
-          WHEN national IS NOT NULL THEN CASE
-            WHEN regexp_matches(national, '^[2-9][0-8][0-9][2-9][0-9]{6}$')
-             AND national[1:2] NOT IN ('37', '96') AND (national[2:2] <> national[3:3]
-               OR national[1:3] IN ('800', '833', '844', '855', '866', '877', '888')) THEN '1' || national END
-          WHEN regexp_full_match(number, '\\+[2-9][0-9]{6,14}') THEN number[2:] END AS digits
+    "e164": """SELECT number, CASE WHEN length(digits) >= 8 THEN digits END AS digits
         FROM (SELECT number, CASE
-            WHEN regexp_full_match(number, '(\\+?1)?[0-9]{10}') THEN right(number, 10) END AS national
+            WHEN regexp_full_match(number, '1?[0-9]{10}') THEN '1' || right(number, 10)
+            WHEN regexp_full_match(number, '\\+[0-9]+') THEN ltrim(number, '+') END AS digits
           FROM all_numbers)""",
-    "number_countries": """SELECT number, max_by(country, length(prefix)) AS number_country
-        FROM e164 LEFT JOIN plan ON starts_with(digits, prefix) GROUP BY number""",
+    # of all ranges that hold a number the one with most digits counts, whatever its lengths are
+    "number_ranges": """SELECT number, digits, max_by({'c': country, 's': shortest, 'l': longest}, [length(low), low::INT - high::INT]) AS r
+        FROM e164 JOIN plan ON left(digits, length(low)) BETWEEN low AND high GROUP BY number, digits""",
+    "number_countries": """SELECT number, CASE WHEN length(e.digits) BETWEEN r.s AND r.l THEN r.c END AS number_country
+        FROM e164 e LEFT JOIN number_ranges USING (number)""",
     "page_pairs": f"""SELECT {K}, number_ord, number, coalesce(zip_country, number_country) AS country
         FROM numbers LEFT JOIN zip_countries USING (url, page_id)
         LEFT JOIN number_countries USING (number)""",
@@ -370,9 +369,10 @@ BODIES = {
     "stream_restart": "SELECT DISTINCT target AS url FROM edges",
 }
 
-# The feed that streams read: every copy of a page is a page of its own.
+# The feed that streams read: of a url's copies the first of the batch in which it first comes.
 CTES |= {
-    "feed_pages": f"SELECT DISTINCT * FROM ({derived.FEED_PAGES})",
+    "feed_pages": f"""SELECT * FROM ({derived.FEED_PAGES}) WHERE NOT {_unwanted('url')}
+        QUALIFY row_number() OVER (PARTITION BY url ORDER BY batch, page_id) = 1""",
     "feed_links": _links("feed_pages", K),
     "feed_texts": _texts("feed_pages", K),
     "feed_blocks": _blocks("feed_texts", K),
@@ -383,13 +383,13 @@ CTES |= {
     "feed_zips": _zips("feed_texts", K),
     "feed_countries": f"""SELECT {K}, min_by(country, zip_ord) AS zip_country
         FROM feed_zips JOIN postal USING (zip) GROUP BY {K}""",
-    "feed_pairs": """SELECT parent_url, n.page_id, number_ord, number,
+    "feed_pairs": """SELECT parent_url, batch, n.page_id, number_ord, number,
           coalesce(zip_country, number_country) AS country, [n.page_id, number_ord] AS rank
         FROM feed_numbers n JOIN feed_pages p ON n.url = p.url
         LEFT JOIN feed_countries z ON n.url = z.url LEFT JOIN number_countries USING (number)""",
     "feed_first": _wide(
         """(SELECT parent_url, number, country, number_ord + 1 AS rn FROM feed_pairs
-            JOIN (SELECT parent_url, min(page_id) AS page_id FROM feed_pairs GROUP BY parent_url)
+            JOIN (SELECT parent_url, arg_min(page_id, [batch, page_id]) AS page_id FROM feed_pairs GROUP BY parent_url)
               USING (parent_url, page_id) WHERE number_ord < 3)""",
         "parent_url", "url",
     ),

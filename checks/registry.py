@@ -257,7 +257,7 @@ def country_from_zip(spark, sf):
     pages = wanted_pages(spark, sf)
     texts = extract.page_texts(pages, *KEYS)
     zips = texts.select(*KEYS, phone.zip_codes(F.col("text")).alias("zips"))
-    stored = shared_table(zips.filter(F.size("zips") > 0), "zips")
+    stored = country.numbered(zips.filter(F.size("zips") > 0), "zips")
     found = country.zip_country(stored, postal(spark, sf))
     return found.filter(F.col("zip_country").isNotNull()).transform(
         lambda df: links.first_copies(df, pages)
@@ -455,11 +455,24 @@ def _target_urls(home: DataFrame) -> DataFrame:
     return feed.distinct_urls(edges.select(F.col("target").alias("url")))
 
 
-def _hits(spark, sf) -> DataFrame:
-    """The stored table of page hits, as the stream the later jobs read."""
-    pages = derive(spark, sf, derived.FEED_PAGES, stream_table)
-    hits = feed.page_hits(pages, postal(spark, sf))
-    return inputs.stream_table(spark, _run(hits, "hits"), hits.schema)
+def _feed(spark, sf, *jobs) -> tuple[str, DataFrame]:
+    """The feed's batches through ``page_hits`` and the ``jobs`` behind it; path and stream of the last.
+
+    Batches arrive one after another, and every job works each off before the next one comes, from
+    its own checkpoint. A job reads the table that the one before it writes.
+    """
+    pages = derive(spark, sf, derived.FEED_PAGES, spread_table)
+    jobs = [lambda arrived: feed.page_hits(arrived, postal(spark, sf)), *jobs]
+    paths = [new_path(spark, "feed") for _ in range(len(jobs) + 1)]
+    checkpoints = [new_path(spark, "checkpoint") for _ in jobs]
+    for batch in range(derived.FEED_BATCHES):
+        pages.filter(F.col("batch") == batch).drop("batch").write.mode("append").parquet(paths[0])
+        schema = pages.drop("batch").schema
+        for job, source, checkpoint, path in zip(jobs, paths, checkpoints, paths[1:]):
+            stream = job(inputs.stream_table(spark, source, schema))
+            _run(stream, "", checkpoint, path)
+            schema = stream.schema
+    return paths[-1], stream
 
 
 @query
@@ -470,22 +483,19 @@ def stream_visited(spark, sf):
 
 @query
 def stream_first_hit(spark, sf):
-    first = feed.first_hits(_hits(spark, sf))
-    return _stored(spark, _run(first, "first-hits"), first)
+    return _stored(spark, *_feed(spark, sf, feed.first_hits))
 
 
 @query
 def stream_contacts(spark, sf):
-    changes = feed.growing_contacts(_hits(spark, sf))
-    return feed.current_contacts(_stored(spark, _run(changes, "changes"), changes))
+    return feed.current_contacts(_stored(spark, *_feed(spark, sf, feed.growing_contacts)))
 
 
 @query
 def stream_totals(spark, sf):
-    first = feed.first_hits(_hits(spark, sf))
-    items = inputs.stream_table(spark, _run(first, "first-hits"), first.schema)
+    path, first = _feed(spark, sf, feed.first_hits)
+    totals = feed.running_totals(inputs.stream_table(spark, path, first.schema))
     name = f"totals_{uuid.uuid4().hex}"
-    totals = feed.running_totals(items)
     _start(totals, new_path(spark, "checkpoint"), "complete", table=name).awaitTermination()
     return spark.table(name)
 

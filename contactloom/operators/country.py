@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contactloom.functions.dialing import country_of_number
+from contactloom.sources.shared import shared_table
 
 
 def five_digit_postal(postal: DataFrame) -> DataFrame:
@@ -16,25 +17,29 @@ def five_digit_postal(postal: DataFrame) -> DataFrame:
     return F.broadcast(five.groupBy("zip").agg(F.min("country").alias("country")))
 
 
+def numbered(found: DataFrame, name: str) -> DataFrame:
+    """``found`` as a stored table whose rows have a number, ``row_id``: what ``zip_country`` reads."""
+    return shared_table(found.withColumn("row_id", F.monotonically_increasing_id()), name)
+
+
 def zip_country(found: DataFrame, postal: DataFrame) -> DataFrame:
-    """Add ``zip_country`` to rows with a ``zips`` array: the first zip that has a country.
+    """Add ``zip_country`` to numbered rows with a ``zips`` array: the first zip that has a country.
 
-    Rows keep all their columns and their number: what is looked up is each distinct list of zips,
-    exploded alone, with only the zips that have a country going on to the shuffle. ``found`` is
-    read twice, so it should be a stored table.
+    Only ``(row_id, zip_ord, zip)`` of the rows with zips is exploded and looked up, and only what has
+    a country is folded, by row. Rows without zips take part in nothing. A row's number is its own, so
+    no list of zips that many rows share meets in one task.
     """
-    lists = found.select("zips").filter(F.size("zips") > 0).distinct()
+    listed = found.filter(F.size("zips") > 0)
     known = (
-        lists.select("zips", F.posexplode("zips").alias("zip_ord", "zip"))
+        listed.select("row_id", F.posexplode("zips").alias("zip_ord", "zip"))
         .join(five_digit_postal(postal), "zip")
-        .groupBy("zips").agg(F.min_by("country", "zip_ord").alias("zip_country"))
-    )
-    # rows without zips have no key and match nothing
-    return (
-        found.drop("zip_country").withColumn("_zips", F.when(F.size("zips") > 0, F.col("zips")))
-        .join(known.withColumnRenamed("zips", "_zips"), "_zips", "left")
-        .drop("_zips", "zips")
+        .groupBy("row_id").agg(F.min(F.struct("zip_ord", "country")).alias("first"))
+        .select("row_id", F.col("first.country").alias("zip_country"))
     )
+    looked_up = listed.drop("zip_country", "zips").join(known, "row_id", "left")
+    others = found.filter("size(zips) <= 0 OR zips IS NULL").drop("zip_country", "zips")
+    nothing = F.lit(None).cast("string").alias("zip_country")
+    return looked_up.unionByName(others.select("*", nothing)).drop("row_id")
 
 
 def resolve_country(number: Column, zip_country: Column) -> Column:

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contactloom.operators import extract, links, rollup
-from contactloom.operators.country import pair_array, zip_country
+from contactloom.operators.country import numbered, pair_array, zip_country
 from contactloom.sources.inputs import seed_urls
 from contactloom.sources.shared import shared_table
 
@@ -16,7 +16,7 @@ def _with_pairs(found: DataFrame, postal: DataFrame | None) -> DataFrame:
     if postal is None:
         known = found.withColumn("zip_country", F.lit(None).cast("string"))
     else:
-        known = zip_country(shared_table(found, "numbers-and-zips"), postal)
+        known = zip_country(numbered(found, "numbers-and-zips"), postal)
     return known.withColumn("pairs", pair_array(F.col("numbers"), F.col("zip_country")))
 
 

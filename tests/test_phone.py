@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from contactloom.functions import phone
-from contactloom.functions.dialing import country_of_number, dial_plan
+from contactloom.functions.dialing import KEY_DIGITS, country_of_number, dial_plan, intervals
 from contactloom.functions.fixed_values import PHONE_PATTERNS
 from contactloom.operators import extract
 from tests import model
@@ -115,6 +115,18 @@ def test_rejection_breakdown_counts_every_candidate(spark):
         ("+358401234567", "FI"), ("+4779123456", "SJ"), ("+61891621234", "CC"), ("+61891641234", "CX"),
         ("+61291641234", "AU"), ("2005550100", None), ("5555550100", None), ("8885550100", "US"),
         ("+49123", None), ("+491234567890123456", None),
+        # codes without an area: Canadian, personal, premium
+        ("6005551234", "CA"), ("6225551234", "CA"), ("5005551234", "US"), ("5335551234", "US"), ("9005551234", "US"),
+        ("+15225551234", "US"), ("18665551234", "US"),
+        # area codes that are not in service, or only planned
+        ("2325551234", None), ("2305551234", None), ("2225551234", None), ("8895551234", None), ("9995551234", None),
+        ("9765551234", None), ("2015551234", "US"), ("2045551234", "CA"), ("9895551234", "US"), ("9900551234", None),
+        ("2021551234", None), ("9111234567", None),
+        # national lengths and first digits
+        ("+441234567", None), ("+44123456789", "GB"), ("+442071234567", "GB"), ("+33123456789", "FR"), ("+3312345678", None),
+        ("+34912345678", "ES"), ("+34112345678", None), ("+6512345678", None), ("+6591234567", "SG"), ("+390612345678", "IT"),
+        ("+390669812345", "VA"), ("+441481123456", "GG"), ("+441534123456", "JE"), ("+441624123456", "IM"), ("+262269123456", "YT"),
+        ("+99912345678", None), ("+88212345678", None), ("+0123456789", None), ("+12025550143123", None), ("", None), ("+", None),
     ],
 )
 def test_country_of_number(spark, number, country):
@@ -123,7 +135,28 @@ def test_country_of_number(spark, number, country):
 
 
 def test_own_dial_plan_and_longest_prefix(spark):
-    df = one_column(spark, ["2025550143", "2125550143"], "n")
+    df = one_column(spark, ["2025550143", "2125550143", "+4412345678"], "n")
     plan = {"1": "US", "1212": "NY", "12125": "NYC"}
-    assert [r[0] for r in df.select(country_of_number(F.col("n"), plan)).collect()] == ["US", "NYC"]
-    assert len(dial_plan()) > 200 and all(p.isdigit() for p in dial_plan())
+    assert [r[0] for r in df.select(country_of_number(F.col("n"), plan)).collect()] == ["US", "NYC", None]
+    assert [r[0] for r in df.select(country_of_number(F.col("n"), {})).collect()] == [None] * 3
+
+
+def test_intervals_are_sorted_and_the_longest_prefix_wins():
+    plan = dial_plan()
+    table = intervals(plan)
+    assert all(a[0] <= a[1] < b[0] for a, b in zip(table, table[1:]))
+    rng = random.Random(2)
+    places = [p + d for a in table for p in a[:2] for d in (-1, 0, 1)] + [rng.randrange(10**KEY_DIGITS) for _ in range(2000)]
+    for place in places:
+        digits = str(place).zfill(KEY_DIGITS)
+        fitting = [r for r in plan if r.low <= digits[: len(r.low)] <= r.high]
+        want = max(fitting, key=lambda r: (len(r.low), int(r.low) - int(r.high))).country if fitting else None
+        assert next((c for low, high, c, *_ in table if low <= place <= high), None) == want
+
+
+def test_area_codes_are_listed_once():
+    from contactloom.functions.dialing import NORTH_AMERICA, US_AREAS, US_SERVICES, _numbers
+
+    listed = [n for areas in (US_AREAS, US_SERVICES, *NORTH_AMERICA.values()) for n in _numbers(areas)]
+    assert len(listed) == len(set(listed))
+    assert all(200 <= n <= 999 and n // 10 % 10 != 9 and n % 100 != 11 for n in listed)

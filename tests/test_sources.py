@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from contactloom.functions.fixed_values import EXPORT_COLUMNS
 from contactloom.operators import metrics
-from contactloom.operators.country import zip_country
+from contactloom.operators.country import numbered, zip_country
 from contactloom.sources import inputs, outputs
 
 
@@ -42,10 +42,22 @@ def test_build_postal_puts_canada_first(spark):
 def test_first_zip_with_a_country_counts(spark):
     postal = spark.createDataFrame([("11111", "US"), ("22222", "CA")], "zip string, country string")
     found = spark.createDataFrame(
-        [(1, ["99999", "22222", "11111"]), (2, ["99999"]), (3, [])], "id long, zips array<string>"
+        [(1, ["99999", "22222", "11111"]), (2, ["99999"]), (3, []), (3, None), (4, ["11111"]), (4, ["11111"])],
+        "id long, zips array<string>",
     )
-    got = {r.id: r.zip_country for r in zip_country(found, postal).collect()}
-    assert got == {1: "CA", 2: None, 3: None}
+    got = sorted((r.id, r.zip_country or "") for r in zip_country(numbered(found, "found"), postal).collect())
+    assert got == [(1, "CA"), (2, ""), (3, ""), (3, ""), (4, "US"), (4, "US")]
+
+
+def test_rows_without_zips_are_not_shuffled(spark):
+    """They come out of a scan of their own; what is exchanged for the fold are numbers and countries."""
+    postal = spark.createDataFrame([("11111", "US")], "zip string, country string")
+    found = spark.createDataFrame([(1, ["11111"], "x"), (2, [], "y")], "id long, zips array<string>, links string")
+    plan = zip_country(numbered(found, "found"), postal)._jdf.queryExecution().executedPlan().toString()
+    with_zips, without = plan.split("Union")[1].split("\n   +- Project", 1)
+    assert "size(zips" in without and "Exchange" not in without
+    folded = [line for line in with_zips.splitlines() if "Aggregate" in line]
+    assert folded and not any("links" in line for line in folded)
 
 
 CONTACTS = "url string, phone_number_1 string, country_1 string, phone_number_2 string, " \

@@ -1,3 +1,6 @@
+import random
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,3 +123,88 @@ def test_a_first_copy_without_a_number_counts(spark):
         ).coalesce(1).write.mode("append").parquet(source)
     hits = feed.page_hits(inputs.stream_table(spark, source, PAGES, files_per_trigger=1))
     assert [r.url for r in run(hits, out).collect()] == ["a/2"]
+
+
+@pytest.fixture(scope="module")
+def busy(spark):
+    """Many copies of few urls over four batches; parent ``a`` has most pages."""
+    rng = random.Random(4)
+    batches, page_id = [], 0
+    for _ in range(4):
+        batch = []
+        for _ in range(120):
+            page_id += 1
+            parent = rng.choice("aaaaaabc")
+            numbers = [f"202-555-{rng.randrange(40):04d}" for _ in range(rng.choice([0, 0, 1, 2]))]
+            batch.append((page_id, f"{parent}/{rng.randrange(60)}", parent, html(*numbers)))
+        rng.shuffle(batch)
+        batches.append(batch)
+    path = new_path(spark, "busy")
+    for batch in batches:
+        spark.createDataFrame(batch, PAGES).coalesce(1).write.mode("append").parquet(path)
+    return path, batches
+
+
+def test_repeated_urls_over_batches_equal_the_batch_jobs(spark, busy):
+    path, batches = busy
+    pages = [(n, *page) for n, batch in enumerate(batches) for page in batch]
+    kept = {}
+    for page in sorted(pages, key=lambda p: p[:2]):
+        kept.setdefault(page[2], page)
+    once = spark.createDataFrame([(p[1], p[2], p[4], p[0]) for p in kept.values()], "page_id long, url string, html string, batch int")
+    stream = feed.page_hits(inputs.stream_table(spark, path, PAGES, files_per_trigger=1))
+    stored = run(stream, new_path(spark, "hits"))
+    batch = contacts.page_pairs(once, "url", "page_id", "batch")
+    assert {(r.url, r.page_id, len(r.pairs)) for r in stored.collect()} == {(r.url, r.page_id, len(r.pairs)) for r in batch.collect()}
+    hits = lambda: inputs.stream_table(spark, stored.inputFiles()[0].rsplit("/", 1)[0], stream.schema, files_per_trigger=1)
+    ranked = batch.selectExpr("left(url, 1) AS parent_url", "url", "0 AS depth", "page_id AS seed_ord", "0 AS link_ord", "pairs")
+    changes = run(feed.growing_contacts(hits(), parts=4), new_path(spark, "changes"))
+    assert rows(feed.current_contacts(changes)) == rows(contacts.contacts_final(ranked))
+
+
+def test_first_hit_of_a_parent_in_parts_equals_the_batch_job(spark, busy):
+    """All hits in one batch: the parent's first page is in one of its parts."""
+    path, _ = busy
+    stream = feed.page_hits(inputs.stream_table(spark, path, PAGES))
+    source = new_path(spark, "hits")
+    stored = run(stream, source)
+    ranked = stored.selectExpr("parent_url", "url", "0 AS depth", "page_id AS seed_ord", "0 AS link_ord", "pairs")
+    want = rows(contacts.contacts_first_hit(ranked))
+    for parts in (1, 5):
+        first = run(feed.first_hits(inputs.stream_table(spark, source, stream.schema), parts), new_path(spark, "first"))
+        assert rows(first) == want and len(want) == 3
+
+
+@pytest.mark.parametrize("job", ["page_hits", "distinct_urls"])
+def test_urls_are_forgotten_behind_the_watermark(spark, job):
+    """With a time column the state holds the urls of the last hour only, and a later copy counts anew."""
+    schema = f"{PAGES}, seen timestamp"
+    source, out, checkpoint = (new_path(spark, n) for n in ("pages", "out", "ck"))
+
+    def arrive(page_id, url, hour):
+        row = (page_id, url, "a", html("202-555-0100"), datetime(2024, 1, 1, hour))
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(source)
+
+    arrive(1, "a/1", 0)
+    arrive(2, "a/1", 0)
+    arrive(3, "a/2", 9)
+    arrive(4, "a/3", 12)
+    arrive(5, "a/1", 13)
+    pages = inputs.stream_table(spark, source, schema, files_per_trigger=1)
+    stream = feed.page_hits(pages, time="seen") if job == "page_hits" else feed.distinct_urls(pages, "seen").select("url", "page_id")
+    query = feed.start(stream, checkpoint, path=out)
+    query.awaitTermination()
+    got = sorted((r.url, r.page_id) for r in spark.read.schema(stream.schema).parquet(out).collect())
+    assert got == [("a/1", 1), ("a/1", 5), ("a/2", 3), ("a/3", 4)]
+    kept = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+    assert kept[-1] < max(kept) + 1 and kept[-1] <= 4
+
+
+def test_zips_are_looked_up_in_the_row(spark):
+    codes = [("00001", "US"), ("00002", "US"), ("00003", "CA"), ("00007", "US"), ("K1A0B1", "CA"), ("99999", "CA")]
+    look = feed.zip_country_of(spark.createDataFrame(codes, "zip string, country string"))
+    zips = [["00002"], ["00003", "00001"], ["00004", "99999"], ["00008"], [], ["K1A0B1"], ["１２３４５", "00007"], None]
+    df = spark.createDataFrame([(z,) for z in zips], "zips array<string>")
+    assert [r[0] for r in df.select(look(F.col("zips"))).collect()] == ["US", "CA", "CA", None, None, None, "US", None]
+    nothing = feed.zip_country_of(spark.createDataFrame([], "zip string, country string"))
+    assert {r[0] for r in df.select(nothing(F.col("zips"))).collect()} == {None}
