@@ -36,9 +36,9 @@ SPACE = "▁"
 _BITS = 20  # of the table that tells most absent substrings without a search
 _PAIR_BITS = 20  # of the table of pairs already compared
 NEVER = 1 << 40
-RUN_BYTES = 1 << 21  # text whose new words are searched together
-CACHE_WORDS = 150_000
-PART_ROWS = 500  # rows of a batch whose ids are held at once
+RUN_BYTES = 1 << 22  # text whose new words are searched together
+CACHE_WORDS, CACHE_PARTS = 800_000, 400_000
+PART_ROWS = 2_000  # rows of a batch whose ids are held at once
 
 
 class Pieces:
@@ -256,7 +256,7 @@ class Encoder:
     def __init__(self, path: str):
         self.pieces = Pieces(path)
         self.dtype = np.dtype("<u2" if self.pieces.n <= 1 << 16 else "<u4")
-        self.parts = Remembered(self._search, CACHE_WORDS)
+        self.parts = Remembered(self._search, CACHE_PARTS)
         self.words = Remembered(self._cut_and_search, CACHE_WORDS)
 
     def _as_bytes(self, path: list[int]) -> bytes:
@@ -392,7 +392,7 @@ def digests(docs: DataFrame, path: str, text: str = "text", id_col: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
-        for given in in_parts(batches):
+        for given in batches:
             texts = [t or "" for t in given.column(1).to_pylist()]
             sizes, crcs, same = [], [], []
             for text_, found in zip(texts, encoded(texts, own), strict=True):

@@ -37,6 +37,7 @@ from contactloom.sources.shared import new_path, shared_table
 #: Text bytes of a shard; it decides how many there are.
 SHARD_BYTES = 64_000_000
 RUN_BYTES = 1 << 22  # text whose new words are encoded together
+CACHE_WORDS, CACHE_CHUNKS = 400_000, 800_000
 MANIFEST = "shard long, temporary string, n_docs long, n_tokens long"
 #: What a task notes of each document of a shard, in order.
 NOTE = np.dtype([("doc_id", "<i8"), ("n_tokens", "<u8")])
@@ -54,8 +55,8 @@ class Encoder:
             raise ValueError(f"{dtype} is too small for {library.get_vocab_size()} ids")
         self.model, self.dtype = library.model, np.dtype(dtype).newbyteorder("<")
         self.special = {s: self._bytes([i]) for s, i in self.bpe.special.items()}
-        self.words = Remembered(self._encode_words)
-        self.chunks = Remembered(self._encode_chunks)
+        self.words = Remembered(self._encode_words, CACHE_WORDS)
+        self.chunks = Remembered(self._encode_chunks, CACHE_CHUNKS)
 
     def _bytes(self, ids: list[int]) -> bytes:
         return pack(f"<{len(ids)}{self.dtype.char}", *ids)

@@ -137,20 +137,28 @@ def groups(texts: list[str], size: int = PIECE_BYTES) -> Iterator[list[str]]:
 
 
 class Remembered:
-    """Values of words or chunks; ``fill`` computes those of new ones, many at a time."""
+    """Values of words or chunks; ``fill`` computes those of new ones, many at a time.
+
+    Two generations of up to half of ``limit`` words each: when the younger one is full it becomes the
+    older one, and what is asked for again moves back. So rare words go and frequent ones stay.
+    """
 
     def __init__(self, fill: Callable[[list[str]], list], limit: int = CACHE_WORDS):
-        self.fill, self.limit, self.known = fill, limit, {}
+        self.fill, self.limit, self.known, self.older = fill, limit, {}, {}
 
     def learn(self, *lists: list[str]) -> None:
         """See to it that all keys are known, until the next call."""
         keys = set().union(*lists)
-        fresh = list(keys.difference(self.known))
+        fresh = keys.difference(self.known)
         if fresh:
-            if len(self.known) + len(fresh) > self.limit:
-                # what is asked for now stays, and with it the frequent words
-                self.known = {k: self.known[k] for k in keys if k in self.known}
-            self.known.update(zip(fresh, self.fill(fresh), strict=True))
+            if len(self.known) + len(fresh) > self.limit // 2:
+                held = self.known
+                self.known = {k: held[k] for k in keys if k in held}
+                self.older = held
+            again = fresh.intersection(self.older)
+            self.known.update((k, self.older[k]) for k in again)
+            new = list(fresh - again)
+            self.known.update(zip(new, self.fill(new), strict=True))
 
     def of(self, keys: list[str]) -> Iterator:
         """The value of each key, in order."""
