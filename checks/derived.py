@@ -75,6 +75,15 @@ SELECT 2000000000 + n_nationkey AS page_id,
 FROM nation
 """
 
+# Pages whose numbers are split over nested elements: one per order.
+NESTED_PAGES = f"""
+SELECT o_orderkey AS page_id, 'https://nest' || CAST(o_orderkey AS string) || '.example.com' AS url,
+  '<html><body><div class="a > b">Call <section><p>' || {_AREA.format(k='o_custkey')} || '-555-</p><p>'
+  || {_LINE.format(k='o_orderkey')} || '</p></section> or <span>' || {_AREA.format(k='o_orderkey')} || '</span></div><ul><li>'
+  || {_AREA.format(k='o_orderkey')} || '.555.' || {_LINE.format(k='o_custkey')} || '<li>2</ul>3125550142</body></html>' AS html
+FROM orders
+"""
+
 # Texts with postal codes, numbers of other lengths and codes inside words.
 POSTAL_TEXTS = """
 SELECT doc_id, text || ' Office ' || lpad(CAST(doc_id * 37 % 100000 AS string), 5, '0') || ', or '

@@ -174,6 +174,14 @@ CTES = {
     "copy_texts": _texts("copies", K),
     "copy_blocks": _blocks("copy_texts", K),
     "copy_candidates": _candidates("copy_blocks", f"{K}, block_ord"),
+    # texts of nested elements, as the pages are made
+    "nested_facts": f"""SELECT 'https://nest' || CAST(o_orderkey AS string) || '.example.com' AS url,
+          {derived._AREA.format(k='o_custkey')} AS a, {derived._LINE.format(k='o_orderkey')} AS b,
+          {derived._AREA.format(k='o_orderkey')} AS c, {derived._LINE.format(k='o_custkey')} AS d FROM orders""",
+    "nested_texts": """SELECT url, unnest(range(1, 8)) AS nth, unnest(['div', 'section', 'p', 'p', 'span', 'li', 'li']) AS tag,
+          unnest(['Call ' || a || '-555-' || b || ' or ' || c, a || '-555-' || b, a || '-555-', b, c, c || '.555.' || d, '2']) AS text
+        FROM nested_facts""",
+    "nested_candidates": _candidates("nested_texts", "url, nth"),
     # documents and given pages
     "doc_candidates": _candidates("documents", "doc_id"),
     "doc_numbers": _numbers(
@@ -363,6 +371,18 @@ BODIES = {
     "stream_visited": "SELECT DISTINCT target AS url FROM edges",
     "stream_contacts": _wide(f"({_top3('feed_pairs', 'parent_url')})", "parent_url", "url"),
     "stream_first_hit": f"SELECT {_FINAL_COLUMNS} FROM feed_first",
+    "nested_text_blocks": "SELECT url, CAST(nth AS INTEGER) AS nth, tag, text FROM nested_texts",
+    "nested_numbers": f"""SELECT url, CAST(row_number() OVER (PARTITION BY url ORDER BY first) - 1 AS INTEGER) AS number_ord, number
+        FROM (SELECT url, number, min(rank) AS first FROM (
+                SELECT url, {_format('raw')} AS number, [nth, pattern_ord, match_ord] AS rank FROM nested_candidates)
+              WHERE ({_reason('number')}) IS NULL GROUP BY url, number)""",
+    "nested_parent_filter": "SELECT pattern_ord, count(*) AS n, 0::BIGINT AS n_left FROM nested_candidates GROUP BY pattern_ord",
+    "stream_csv_feed": "SELECT url, " + ", ".join(
+        f"coalesce({c}, '') AS {c}" for c in _FINAL_COLUMNS.split(", ")[1:]
+    ) + " FROM feed_first",
+    "pages_cached": """SELECT url, length(html) AS html_chars FROM pages
+        QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1""",
+    "contacts_resumed": f"SELECT {_FINAL_COLUMNS} FROM final",
     "stream_totals": f"""{_TOTALS} (SELECT (phone_number_1 IS NOT NULL)::INT
         + (phone_number_2 IS NOT NULL)::INT + (phone_number_3 IS NOT NULL)::INT AS found
         FROM feed_first)""",

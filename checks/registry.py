@@ -1,10 +1,11 @@
 """One runnable query per operator, over whole tables."""
 
+import contextlib
 import time
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from checks import derived
@@ -12,8 +13,8 @@ from contactloom.functions import phone
 from contactloom.functions.dialing import country_of_number
 from contactloom.operators import country, extract, links, metrics, rollup
 from contactloom.plans import contacts
-from contactloom.sources import inputs, outputs
-from contactloom.sources.shared import new_path, shared_table
+from contactloom.sources import cache, inputs, outputs
+from contactloom.sources.shared import input_mark, new_path, resumable, shared_table
 from contactloom.streaming import feed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -129,6 +130,15 @@ def pages_scan(spark, sf):
     return given_pages(spark, sf).select("page_id", "url", F.length("html").alias("html_chars"))
 
 
+@query
+def pages_cached(spark, sf):
+    """The given pages, each url's first copy, through a response cache."""
+    pages = given_pages(spark, sf)
+    folder = new_path(spark, "responses")
+    cache.write_cache(links.first_copies(pages, pages), folder)
+    return cache.read_cache(spark, folder, "url", "html").select("url", F.length("html").alias("html_chars"))
+
+
 # --- links --------------------------------------------------------------------------------------
 
 
@@ -187,6 +197,32 @@ def text_blocks(spark, sf):
     return extract.text_blocks(_all_pages(spark, sf), *KEYS)
 
 
+def nested_pages(spark, sf):
+    return derive(spark, sf, derived.NESTED_PAGES, spread_table)
+
+
+@query
+def nested_text_blocks(spark, sf):
+    texts = extract.element_texts(nested_pages(spark, sf), "url")
+    order = F.row_number().over(Window.partitionBy("url").orderBy("element_ord"))
+    return texts.select("url", order.alias("nth"), "tag", "text")
+
+
+@query
+def nested_numbers(spark, sf):
+    return extract.page_numbers(extract.numbers_of_elements(nested_pages(spark, sf), "url"), "url")
+
+
+@query
+def nested_parent_filter(spark, sf):
+    """Of how many candidates of each pattern the number stands in the text around its element: all."""
+    texts = extract.element_texts(nested_pages(spark, sf), "url")
+    raw = extract.pattern_candidates(texts, "url", "element_ord", "parent_text")
+    left = extract.outside_parent(raw).select("pattern_ord", F.lit(1).alias("left"))
+    every = raw.select("pattern_ord", F.lit(0).alias("left")).unionAll(left)
+    return every.groupBy("pattern_ord").agg(F.count(F.when(F.col("left") == 0, 1)).alias("n"), F.sum("left").alias("n_left"))
+
+
 @query
 def pattern_candidates(spark, sf):
     return extract.pattern_candidates(documents(spark, sf), "doc_id")
@@ -338,6 +374,26 @@ def contacts_final(spark, sf):
     return contacts.contacts_final(_reached(spark, sf))
 
 
+class _Stopped(Exception):
+    pass
+
+
+@query
+def contacts_resumed(spark, sf):
+    """``contacts_final`` of a crawl that is stopped when it knows its home pages, and taken up again."""
+    inputs_of = crawl_pages(spark, sf), seeds(spark, sf), postal(spark, sf)
+    mark = f"{input_mark(inputs_of[0].drop('html'), *inputs_of[1:])}-{uuid.uuid4().hex}"
+
+    def until_home_is_known(name, make):
+        if name == "visited":
+            raise _Stopped
+        return resumable(spark, mark)(name, make)
+
+    with contextlib.suppress(_Stopped):
+        contacts.crawl(*inputs_of, keep=until_home_is_known)
+    return contacts.contacts_final(contacts.crawl(*inputs_of, keep=resumable(spark, mark)))
+
+
 @query
 def contacts_first_hit(spark, sf):
     return contacts.contacts_first_hit(_reached(spark, sf))
@@ -491,6 +547,16 @@ def stream_contacts(spark, sf):
     return feed.current_contacts(_stored(spark, *_feed(spark, sf, feed.growing_contacts)))
 
 
+@query
+def stream_csv_feed(spark, sf):
+    """First hits, written as CSV as they come and read back."""
+    path, first = _feed(spark, sf, feed.first_hits)
+    folder = new_path(spark, "csv-feed")
+    items = inputs.stream_table(spark, path, first.schema)
+    _start(items, new_path(spark, "checkpoint"), each=outputs.csv_feed(folder)).awaitTermination()
+    return outputs.read_feed(spark, folder, first.columns)
+
+
 @query
 def stream_totals(spark, sf):
     path, first = _feed(spark, sf, feed.first_hits)

@@ -106,13 +106,17 @@ def after_last_tel(href: Column) -> Column:
     return F.element_at(F.split(href, "tel:"), -1)
 
 
-def valid_numbers(tel_hrefs: Column | None, blocks: Column | None) -> Column:
-    """Distinct valid numbers in order of sighting: tel: links, then block, pattern, match."""
+def valid_numbers(tel_hrefs: Column | None, blocks: Column | None, runs: Column | None = None) -> Column:
+    """Distinct valid numbers in order of sighting: tel: links, then block, pattern, match.
+
+    ``runs`` are the blocks' digit runs, where they are known already.
+    """
     found = []
     if tel_hrefs is not None:
         found.append(F.transform(tel_hrefs, lambda h: after_last_tel(h)))
     if blocks is not None:
         runs = F.filter(F.transform(blocks, lambda b: digit_runs(b)), lambda r: r != "")
+    if runs is not None:
         matches = F.transform(runs, lambda r: F.concat(*pattern_matches(r, LIVE_PATTERNS)))
         found.append(F.flatten(matches))
     raw = F.array_distinct(F.concat(*found))

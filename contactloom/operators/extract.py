@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contactloom.functions import html, phone
+from contactloom.functions import elements, html, phone
 
 
 def tel_link_numbers(links: DataFrame, *keys: str) -> DataFrame:
@@ -132,6 +132,50 @@ def numbers_and_links(pages: DataFrame, *keys: str, parent_filter: bool = False)
     return found.select(*keys, "numbers", zips.alias("zips"), "links")
 
 
+def _page_elements(pages: DataFrame, *keys: str) -> DataFrame:
+    visible = pages.select(*keys, html.visible_html(F.col("html")).alias("visible"))
+    return visible.select(*keys, "visible", elements.text_and_elements(F.col("visible")).alias("page"))
+
+
+def element_texts(pages: DataFrame, *keys: str) -> DataFrame:
+    """``(keys, element_ord, tag, text, parent_text)``: every text element's own text, nested ones included.
+
+    In document order, so an element comes before those inside it and its text holds theirs.
+    ``parent_text`` is the text of the element around it, the whole page's if there is none.
+    """
+    found = _page_elements(pages, *keys).select(*keys, "page.text", F.col("page.elements").alias("every"))
+    one = F.col("one")
+    parent = F.get(F.filter("every", lambda e: e["ord"] == F.col("one.parent")), F.lit(0))
+    return found.select(*keys, "text", "every", F.explode(F.filter("every", elements.is_text_tag)).alias("one")).select(
+        *keys, F.col("one.ord").alias("element_ord"), F.col("one.tag").alias("tag"),
+        elements.text_of(F.col("text"), one).alias("text"),
+        F.when(F.col("one.parent") < 0, F.col("text")).otherwise(elements.text_of(F.col("text"), parent)).alias("parent_text"),
+    )
+
+
+def numbers_of_elements(pages: DataFrame, *keys: str) -> DataFrame:
+    """``(keys, numbers, zips)`` of the pages with a valid number, read element by element.
+
+    Every text element is read with all that is nested in it: tel: links first, then the elements in
+    document order, so a number that is split over two blocks is found in the element around them.
+    Text outside all text elements is not read. A row-to-row step, like ``numbers_of_pages``.
+    """
+    page = F.col("page")
+    hrefs = html.decode_entities(F.col("hrefs"))
+    parts = _page_elements(pages, *keys).select(*keys, "page", html.joined_hrefs(F.col("visible")).alias("hrefs")).select(
+        *keys, "page", hrefs.alias("hrefs"), elements.runs_of_elements(page).alias("runs")
+    )
+    numbers = phone.valid_numbers(html.tel_hrefs(F.col("hrefs")), None, F.col("runs"))
+    texts = F.transform(F.filter(page["elements"], elements.is_text_tag), lambda e: elements.text_of(page["text"], e))
+    zips = F.array_distinct(F.flatten(F.transform(texts, lambda t: phone.zip_codes(t))))
+    return parts.select(*keys, "page", _if_any(numbers)).select(*keys, "numbers", zips.alias("zips"))
+
+
+def outside_parent(candidates: DataFrame) -> DataFrame:
+    """Candidates ``(raw, parent_text, ...)`` that do not stand in the text of the element around theirs."""
+    return candidates.filter(~F.col("parent_text").contains(F.trim("raw")))
+
+
 def page_numbers(found: DataFrame, *keys: str) -> DataFrame:
     """``(keys, number_ord, number)``: a page's distinct numbers in order of first sighting."""
     return found.select(*keys, F.posexplode("numbers").alias("number_ord", "number"))

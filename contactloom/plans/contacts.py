@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 from contactloom.operators import extract, links, rollup
 from contactloom.operators.country import numbered, pair_array, zip_country
 from contactloom.sources.inputs import seed_urls
-from contactloom.sources.shared import shared_table
+from contactloom.sources.shared import Keep, input_mark, kept_once, resumable, shared_table
 
 PAGE_RANK = ["depth", "seed_ord", "link_ord"]
+#: Bits of a filter of urls at most (16 MB as a table), and the number of urls from which there is one.
+FILTER_BITS, FILTER_FROM = 1 << 26, 500_000
 
 
 def _with_pairs(found: DataFrame, postal: DataFrame | None) -> DataFrame:
@@ -59,13 +61,37 @@ def asked(pages: DataFrame) -> DataFrame:
     return pages.withColumn("asked", F.regexp_replace(requested, r"^(https?://[^/?#]+)/\z", "$1"))
 
 
-def first_pages(pages: DataFrame, wanted: DataFrame) -> DataFrame:
+def likely(keys: DataFrame, wanted: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFrame:
+    """Rows of ``keys`` whose ``key`` may be in ``wanted(url)``, and few others; none is shuffled.
+
+    A Bloom filter of one hash: a stored table of words of 64 bits, at most ``bits`` in all, which is
+    broadcast. With sixteen bits a url one row in sixteen passes by chance; where the bound leaves
+    fewer, more do.
+    """
+    size = wanted.count()
+    width = min(bits, 1 << max(10, (16 * size).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(width))
+    mask = F.expr("shiftleft(1L, CAST(place % 64 AS int))")
+    words = wanted.select(place("url").alias("place")).select(F.floor(F.col("place") / 64).alias("word"), mask.alias("bit"))
+    words = shared_table(words.groupBy("word").agg(F.bit_or("bit").alias("bits")), "url-filter")
+    at = place(key)
+    hit = (F.floor(at / 64) == F.col("word")) & (
+        F.col("bits").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))) != 0
+    )
+    return keys.join(F.broadcast(words), hit, "left_semi")
+
+
+def first_pages(pages: DataFrame, wanted: DataFrame, filter_from: int = FILTER_FROM) -> DataFrame:
     """``(asked, url, page_id, html)`` of the ``wanted`` urls, the copy with the lowest ``page_id``.
 
     Two joins of key columns decide which copies are read; ``wanted`` is a stored table, so Spark
-    knows its size. HTML is read only through the second one.
+    knows its size. Where it is too large to be broadcast (``filter_from`` urls), a Bloom filter of it
+    goes before the joins, so that urls which are not wanted are not shuffled. HTML is read only
+    through the second join.
     """
     known = asked(links.drop_unwanted_extensions(pages))
+    if wanted.count() >= filter_from:
+        known = likely(known, wanted, "asked")
     first = (
         known.select("asked", "page_id").join(wanted.select(F.col("url").alias("asked")), "asked", "left_semi")
         .groupBy("asked").agg(F.min("page_id").alias("page_id"))
@@ -134,29 +160,39 @@ def visited(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def crawl(
-    pages: DataFrame, seeds: DataFrame, postal: DataFrame | None = None, parent_filter: bool = False
+    pages: DataFrame, seeds: DataFrame, postal: DataFrame | None = None, parent_filter: bool = False, keep: Keep = kept_once,
 ) -> DataFrame:
     """``(parent_url, url, depth, seed_ord, link_ord, pairs)`` of every page the crawl reaches.
 
     Seeds first: their pages are read for numbers and links, the links say which other pages are
     reached, and only those are read, for their numbers. All pairs of a page are kept.
     """
-    home = shared_table(_with_pairs(home_facts(pages, seeds, parent_filter), postal), "home-facts")
-    reached = shared_table(visited(link_targets(open_parents(home)), seeds), "visited")
-    children = first_pages(pages, reached.filter("depth = 1"))
-    found = extract.numbers_and_links(children, "asked", parent_filter=parent_filter).drop("links").dropDuplicates(
-        ["asked"]
-    )
-    others = _with_pairs(found, postal).select(F.col("asked").alias("url"), "pairs")
+    home = keep("home-facts", lambda: _with_pairs(home_facts(pages, seeds, parent_filter), postal))
+    reached = keep("visited", lambda: visited(link_targets(open_parents(home)), seeds))
+
+    def found() -> DataFrame:
+        children = first_pages(pages, reached.filter("depth = 1"))
+        facts = extract.numbers_and_links(children, "asked", parent_filter=parent_filter)
+        return _with_pairs(facts.drop("links").dropDuplicates(["asked"]), postal)
+
+    others = keep("child-facts", found).select(F.col("asked").alias("url"), "pairs")
     known = home.select(F.col("parent_url").alias("url"), "pairs").unionByName(others)
     return reached.join(known, "url").select("parent_url", "url", *PAGE_RANK, "pairs")
 
 
 def stored_crawl(
-    pages: DataFrame, seeds: DataFrame, postal: DataFrame | None = None, parent_filter: bool = False
+    pages: DataFrame, seeds: DataFrame, postal: DataFrame | None = None, parent_filter: bool = False, resume: bool = False,
 ) -> DataFrame:
-    """``crawl``, its result stored in the shared folder."""
-    return shared_table(crawl(pages, seeds, postal, parent_filter), "crawl")
+    """``crawl``, its result stored in the shared folder.
+
+    ``resume`` goes on with the stages that an earlier run over the same pages, seeds and postal codes
+    has finished; pages are told apart by all their columns but the html.
+    """
+    keep = kept_once
+    if resume:
+        inputs = [pages.drop("html"), seeds, f"parent_filter={parent_filter}", *([] if postal is None else [postal])]
+        keep = resumable(pages.sparkSession, input_mark(*inputs))
+    return keep("crawl", lambda: crawl(pages, seeds, postal, parent_filter, keep))
 
 
 def contacts_final(reached: DataFrame) -> DataFrame:

@@ -224,3 +224,50 @@ def test_no_folder_is_guessed_on_a_cluster():
             shared_folder(session(master))
     assert shared_folder(session("yarn", "hdfs://x/y/")) == "hdfs://x/y"
     assert shared_folder(session("local[4]"))
+
+
+# --- resumed crawls and filtered frontiers --------------------------------------------------------
+
+
+def rows_of(df):
+    return sorted(str(tuple(r)) for r in df.collect())
+
+
+def test_a_stopped_crawl_goes_on_from_its_last_finished_table(spark, frames, monkeypatch):
+    # a mark of its own for this test: the pages' ids
+    pages, seeds, postal = frames[0].withColumn("page_id", F.col("page_id") + 1_000_000), *frames[1:]
+    want = rows_of(contacts.stored_crawl(pages, seeds, postal))
+
+    def stop(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as patch:
+        patch.setattr(contacts, "visited", stop)
+        with pytest.raises(KeyboardInterrupt):
+            contacts.stored_crawl(pages, seeds, postal, resume=True)
+    with monkeypatch.context() as patch:
+        patch.setattr(contacts, "home_facts", stop)  # not made again
+        assert rows_of(contacts.stored_crawl(pages, seeds, postal, resume=True)) == want
+        patch.setattr(contacts, "crawl", stop)  # the whole result is there
+        assert rows_of(contacts.stored_crawl(pages, seeds, postal, resume=True)) == want
+        with pytest.raises(KeyboardInterrupt):  # other inputs are another run
+            contacts.stored_crawl(pages, seeds.filter("seed_ord > 0"), postal, resume=True)
+
+
+@pytest.mark.parametrize("bits", [1 << 10, contacts.FILTER_BITS])
+def test_urls_that_are_not_wanted_stay_out_of_the_shuffle(spark, bits):
+    keys = spark.range(20_000).selectExpr("concat('u', id) AS asked", "id")
+    wanted = spark.range(0, 20_000, 100).selectExpr("concat('u', id) AS url")
+    passed = contacts.likely(keys, wanted, "asked", bits)
+    found = {r.asked for r in passed.collect()}
+    assert {r.url for r in wanted.collect()} <= found
+    assert len(found) < (20_000 if bits == 1 << 10 else 2_500)
+    assert "Exchange hashpartitioning" not in passed._jdf.queryExecution().executedPlan().toString()
+    none = contacts.likely(keys, wanted.limit(0), "asked")
+    assert none.collect() == []
+
+
+def test_filtered_frontier_finds_the_same_pages(spark, frames):
+    pages, seeds, _ = frames
+    wanted = seeds.selectExpr("concat('https://', domain) AS url").distinct()
+    assert rows_of(contacts.first_pages(pages, wanted, filter_from=0)) == rows_of(contacts.first_pages(pages, wanted))

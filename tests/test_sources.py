@@ -1,10 +1,15 @@
+import uuid
+
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from contactloom.functions.fixed_values import EXPORT_COLUMNS
 from contactloom.operators import metrics
 from contactloom.operators.country import numbered, zip_country
-from contactloom.sources import inputs, outputs
+from contactloom.sources import cache, inputs, outputs
+from contactloom.sources.shared import input_mark, new_path, resumable
+from contactloom.streaming import feed
 
 
 def test_seeds_keep_file_order_and_drop_blanks(spark, tmp_path):
@@ -107,3 +112,121 @@ def test_nothing_is_written_for_an_empty_result(spark, rows, tmp_path):
 def test_array_to_columns(spark):
     df = spark.createDataFrame([("u", ["1", "2", "3", "4"]), ("v", [])], "url string, phone_numbers array<string>")
     assert [tuple(r) for r in outputs.array_to_columns(df).collect()] == [("u", "1", "2", "3"), ("v", "", "", "")]
+
+
+# --- response cache ---------------------------------------------------------------------------
+
+
+PAGES = [(1, "https://a/é?x=1", "<p>é 😀</p>"), (2, "https://b", ""), (3, "https://c", None), (4, None, "x"), (5, "https://d", "d" * 100_000)]
+
+
+@pytest.fixture(scope="module")
+def responses(spark):
+    folder = new_path(spark, "responses")
+    table = spark.createDataFrame(PAGES, "page_id long, url string, html string").repartition(3)
+    assert cache.write_cache(table, folder) == 4
+    return folder
+
+
+def test_responses_are_read_as_pages(spark, responses):
+    rows = cache.read_cache(spark, responses).collect()
+    assert {(r.url, r.requested_url, r.status, r.html) for r in rows} == {(u, u, 200, h or "") for _, u, h in PAGES if u}
+    assert len({r.page_id for r in rows}) == 4 and all(r.page_id >= 0 for r in rows)
+    again = {r.page_id for r in cache.read_cache(spark, responses, "page_id").collect()}
+    assert again == {r.page_id for r in rows}
+
+
+def test_bodies_are_read_for_html_only_and_responses_are_whole(spark, tmp_path):
+    table = spark.createDataFrame([("https://a", "x"), ("https://b", "y"), ("https://c", "z")], "url string, html string")
+    cache.write_cache(table, str(tmp_path))
+    entries = {url: next(tmp_path.glob(f"*/{cache.fingerprint(url)}")) for url in ("https://a", "https://b", "https://c")}
+    (entries["https://b"] / "meta").unlink()
+    assert {r.url for r in cache.read_cache(spark, str(tmp_path)).collect()} == {"https://a", "https://c"}
+    assert {r.url for r in cache.read_cache(spark, str(tmp_path), "url", "status").collect()} == {"https://a", "https://c"}
+    meta = entries["https://c"] / "meta"
+    meta.write_text(repr({"url": "https://c", "response_url": "https://www.c", "status": 301}))
+    moved = [r for r in cache.read_cache(spark, str(tmp_path), "url", "requested_url", "status").collect() if r.status == 301]
+    assert [(r.url, r.requested_url) for r in moved] == [("https://www.c", "https://c")]
+
+
+def test_an_empty_cache_has_no_pages(spark, tmp_path):
+    assert cache.read_cache(spark, str(tmp_path / "none")).collect() == []
+
+
+# --- the feed of CSV files ----------------------------------------------------------------------
+
+
+def test_a_repeated_batch_overwrites_itself(spark, rows):
+    folder = new_path(spark, "feed")
+    write = outputs.csv_feed(folder, delimiter=";")
+    write(rows, 0)
+    write(rows.limit(0), 1)
+    write(rows.withColumn("url", F.concat("url", F.lit("/2"))), 2)
+    write(rows.withColumn("url", F.concat("url", F.lit("/2"))), 2)
+    back = outputs.read_feed(spark, folder, rows.columns, ";")
+    assert sorted(r.url for r in back.collect()) == sorted(["https://a", 'https://b,"q"', "https://a/2", 'https://b,"q"/2'])
+    assert {r.phone_number_3 for r in back.collect()} == {""}
+
+
+def test_a_stream_that_fails_after_a_batch_writes_it_again_once(spark, rows):
+    """The writer is stopped between a batch's files and its commit; the restart repeats the batch."""
+    source, folder, checkpoint = (new_path(spark, n) for n in ("items", "feed", "ck"))
+    for n in range(3):
+        rows.withColumn("url", F.concat("url", F.lit(f"/{n}"))).coalesce(1).write.mode("append").parquet(source)
+    write = outputs.csv_feed(folder)
+
+    def fails_once(items, batch):
+        write(items, batch)
+        if batch == 1:
+            raise RuntimeError("stopped")
+
+    def run(each):
+        items = inputs.stream_table(spark, source, rows.schema, files_per_trigger=1)
+        query = feed.start(items, checkpoint, each=each)
+        try:
+            query.awaitTermination()
+        except StreamingQueryException:
+            return False
+        return True
+
+    assert not run(fails_once)
+    assert outputs.read_feed(spark, folder, rows.columns).count() == 4
+    assert run(write)
+    back = [r.url for r in outputs.read_feed(spark, folder, rows.columns).collect()]
+    assert len(back) == len(set(back)) == 6
+
+
+# --- resumable stages ---------------------------------------------------------------------------
+
+
+def test_finished_stages_are_found_again(spark):
+    mark = input_mark("x", uuid.uuid4().hex)
+    made = []
+
+    def make(n):
+        def table():
+            made.append(n)
+            return spark.range(n).selectExpr("id", "named_struct('a', array(id)) AS `odd name`")
+        return table
+
+    assert resumable(spark, mark)("one", make(3)).count() == 3
+    again = resumable(spark, mark)("one", make(4))
+    assert again.count() == 3 and again.columns == ["id", "odd name"]
+    assert resumable(spark, mark)("two", make(5)).count() == 5
+    assert resumable(spark, mark + "0")("one", make(6)).count() == 6
+    assert made == [3, 5, 6]
+
+
+def test_a_stage_that_failed_is_made_again(spark):
+    keep = resumable(spark, input_mark(uuid.uuid4().hex))
+    with pytest.raises(Exception, match="no good"):
+        keep("one", lambda: spark.range(3).select(F.raise_error(F.lit("no good"))))
+    assert keep("one", lambda: spark.range(2)).count() == 2
+
+
+def test_the_mark_depends_on_rows_not_on_their_order(spark):
+    one = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "n long, t string")
+    assert input_mark(one) == input_mark(one.orderBy(F.desc("n")).repartition(3))
+    others = [one.limit(1), one.withColumn("t", F.upper("t")), one.withColumnRenamed("n", "m"), one.dropDuplicates()]
+    assert len({input_mark(df) for df in [one, *others]}) == 5
+    assert input_mark(one, "x") != input_mark(one, "y")
