@@ -9,15 +9,23 @@ prefix thus asks for more matches before a pair is verified. Steps:
    represented by its smallest row number. Up to the end only these numbers are compared and joined.
 2. Every set sends a prefix in hash order with ``m = 1 + n // 20``. Sets with fewer shared prefix
    shingles than that are linked with nothing, which is most of them, and end here.
-3. The others' shingles are counted exactly and ordered rarest first. Each document takes the
-   ``m`` of 1, 2, 4 or 8 whose prefix has the least estimated cost: postings to read plus
-   candidates to verify, both from the counts.
-4. In each posting list every document is verified against the list's smallest one, and links are
-   joined into components. Only pairs of different components that share enough prefix shingles
-   are left, and all of them are verified; pairs inside one component can add nothing.
+3. The others' shingles are dealt to buckets by hash, and a bucket's shingles together are one token.
+   Linked sets differ in at most ``n // 4`` shingles, so of ``b`` buckets in use they have at least
+   ``b - n // 4`` in common, while sets that only share a passage have next to none. Buckets are
+   as many as the sizes of a class ask for; a set sends those of its class and the next lower one, as
+   linked sizes are at most one class apart.
+4. These tokens are counted exactly and ordered rarest first. Each document takes the ``m`` of 1, 2,
+   4 or 8 whose prefix has the least estimated cost: postings to read plus candidates to verify,
+   both from the counts.
+5. In each posting list every document meets the list's smallest one; those that share enough
+   prefix tokens with it are verified, and links are joined into components. Only pairs of different
+   components that share enough prefix tokens are left, and all of them are verified; pairs inside one
+   component can add nothing.
 
 A large group of near copies so costs a few links per document, not all its pairs, and no list is
-gathered in a task. Hashes have 64 bits; a set is named by 128 bits.
+gathered in a task. Texts are never shuffled: the second reading, for whole sets, picks its rows with a
+Bloom filter of bounded size, and rows too many change nothing. Hashes have 64 bits; a set is named by
+128 bits.
 
 Defined cases: null, empty and blank texts have no shingles and link with nothing; rows without a
 doc_id link like all others but name no component and have a null component_id; of rows that repeat
@@ -33,8 +41,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contactloom.llm.components import components
-from contactloom.llm.shingles import column_bytes, set_digest, shingle_set
-from contactloom.llm.text import row_key
+from contactloom.llm.shingles import U, column_bytes, mix, set_digest, shingle_set
+from contactloom.llm.text import boxed, row_key
 from contactloom.sources.shared import shared_table
 
 SHINGLE = 5
@@ -45,6 +53,12 @@ VERIFY_COST = 0.25
 
 SET_FIELDS = "doc_id long, key long, n int, d1 long, d2 long, tokens array<long>"
 BATCH_ROWS = 256
+#: Sizes of a class lie within this factor; linked sizes too. Classes of smaller sets than SMALL keep
+#: their shingles as tokens; beyond, a bucket holds 1 / BUCKETS_PER_SHINGLE shingles of a class's largest sets.
+CLASS_FACTOR = 100 / PERCENT
+SMALL, BUCKETS_PER_SHINGLE = 64, 0.4
+#: Bits of the Bloom filter a row, two of which are set, and at most.
+BLOOM_BITS, BLOOM_MOST = 32, 1 << 27
 
 
 def least_overlap(n):
@@ -130,57 +144,161 @@ def alive(sets: DataFrame, members: DataFrame) -> DataFrame:
     )
 
 
+def bloom(keys: DataFrame) -> np.ndarray:
+    """A bit map of 64-bit ``key``s, as words; at most BLOOM_MOST bits come to the driver."""
+    width = min(BLOOM_MOST, max(1 << 12, 1 << (BLOOM_BITS * keys.count()).bit_length()))
+    places = F.array(F.col("key"), F.shiftrightunsigned("key", 32))
+    found = keys.select(F.explode(places).alias("at")).select(F.col("at").bitwiseAND(width - 1).alias("at"))
+    words = found.groupBy(F.shiftright("at", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS int))")).alias("bits")
+    ).toArrow()
+    bits = np.zeros(width // 64, np.uint64)
+    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return bits
+
+
+def maybe_in(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each key may be in the filter; it never misses one."""
+    own = keys.view(np.uint64)
+    hit = np.ones(len(own), bool)
+    for at in (own, own >> np.uint64(32)):
+        at = at & np.uint64(len(bits) * 64 - 1)
+        hit &= (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return hit
+
+
+def size_class(n: int) -> int:
+    return int(np.floor(np.log(n) / np.log(CLASS_FACTOR) + 1e-9))
+
+
+def class_buckets(group: int) -> int | None:
+    """Buckets for the sizes of class ``group`` and the next; None where every shingle is one of its own."""
+    most = CLASS_FACTOR ** (group + 2)
+    return None if most < SMALL else int(np.ceil(most * BUCKETS_PER_SHINGLE))
+
+
+def bucket_tokens(found: np.ndarray, group: int) -> tuple[np.ndarray, int]:
+    """Tokens of a set's buckets, and how many of them a linked set of one of the two classes has at least.
+
+    A set with too few buckets in use to promise one adds its shingles, which two such sets have in
+    common; the promise of its other partners is their own.
+    """
+    salt = U(group + 1000)
+    own = mix(found.view(U) ^ mix(np.full(1, salt, U)))
+    buckets = class_buckets(group)
+    spare = len(found) // 4
+    if buckets is None:
+        return own, len(own) - spare
+    place = own % U(buckets)
+    order = np.argsort(place, kind="stable")
+    edge = np.flatnonzero(np.diff(place[order], prepend=U(buckets)))
+    sums = np.add.reduceat(mix(own)[order], edge)
+    tokens = mix(sums + place[order][edge] * U(0x9E3779B97F4A7C15) + salt)
+    need = len(tokens) - spare
+    return (tokens, need) if need >= 1 else (np.concatenate([tokens, own]), 1)
+
+
+FULL_FIELDS = "n int, d1 long, d2 long, tokens array<long>, lists array<struct<need:int,tokens:array<long>>>"
+
+
+def _full_sets(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """``(key, text)`` -> whole sets, with their buckets' tokens, of the rows that may be wanted."""
+
+    def listed(arrays: list[np.ndarray]) -> pa.ListArray:
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+        flat = np.concatenate(arrays).view(np.int64) if arrays else np.empty(0, np.int64)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+
+    def batch(rows, sets, needs, lists):
+        ns, d1, d2 = zip(*rows, strict=True)
+        both = pa.StructArray.from_arrays([pa.array(needs, pa.int32()), listed(lists)], ["need", "tokens"])
+        ends = pa.array(np.arange(0, 2 * len(rows) + 1, 2), pa.int32())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ns, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), listed(sets),
+             pa.ListArray.from_arrays(ends, both)],
+            names=["n", "d1", "d2", "tokens", "lists"],
+        )
+
+    for given in batches:
+        wanted = given.filter(pa.array(maybe_in(bits, given.column(0).to_numpy(zero_copy_only=False))))
+        rows, sets, needs, lists, held = [], [], [], [], 0
+        for data in column_bytes(wanted.column(1)):
+            found = shingle_set(data, SHINGLE)
+            if not len(found):
+                continue
+            rows.append((len(found), *set_digest(found)))
+            sets.append(found)
+            for group in (size_class(len(found)) - 1, size_class(len(found))):
+                tokens, need = bucket_tokens(found, group)
+                lists.append(tokens)
+                needs.append(need)
+            held += 2 * len(found)
+            if held > 1 << 18:
+                yield batch(rows, sets, needs, lists)
+                rows, sets, needs, lists, held = [], [], [], [], 0
+        if rows:
+            yield batch(rows, sets, needs, lists)
+
+
 def full_sets(docs: DataFrame, left_over: DataFrame, text: str, id_col: str) -> DataFrame:
-    """``(node, n, tokens)``: all shingles of the representatives, each once."""
+    """``(node, n, d1, d2, tokens, lists)``: the sets of ``left_over`` and maybe others, each once.
+
+    ``node`` is a number of this table's own; the reading is not shuffled.
+    """
     _, key = row_key(id_col, text)
-    texts = docs.join(left_over.select(F.col("key").alias("_alive")), key == F.col("_alive"), "left_semi")
-    found = shingle_sets(texts, text, id_col, prefix_only=False).join(
-        left_over.select("node", "n", "d1", "d2"), ["n", "d1", "d2"]
-    ).select("node", "n", "tokens", F.monotonically_increasing_id().alias("copy"))
-    found = shared_table(found, "sets")
-    # a representative that stands there several times, by rows of one id and text
-    first = found.groupBy("node").agg(F.min("copy").alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1")
-    spare = shared_table(found.select("node", "copy").join(first, "node").filter("copy != first").select("copy"), "spare-sets")
-    return found.join(spare, "copy", "left_anti").select("node", "n", "tokens")
+    bits = docs.sparkSession.sparkContext.broadcast(bloom(left_over.select("key")))
+    found = docs.select(key.alias("key"), F.col(text).alias("text")).mapInArrow(
+        lambda b: _full_sets(b, bits.value), FULL_FIELDS
+    )
+    found = shared_table(found.withColumn("node", F.monotonically_increasing_id()), "sets")
+    # sets that stand there several times, by rows of one id and text
+    name = ["n", "d1", "d2"]
+    first = found.groupBy(*name).agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1")
+    spare = shared_table(found.select("node", *name).join(first, name).filter("node != first").select("node"), "spare-sets")
+    return found.join(spare, "node", "left_anti")
 
 
-def ordered_sets(full: DataFrame) -> DataFrame:
-    """``(node, n, toks)``: shingles that other sets have too, rarest first, as ``(df, token)``.
+def ordered_lists(full: DataFrame) -> DataFrame:
+    """``(node, n, need, toks)``: a list's tokens that other lists have too, rarest first, as ``(df, token)``.
 
-    Sets that share too few of their shingles with all others together are gone.
+    Lists that share fewer tokens with all others together than they need to share with one are gone.
     """
-    tokens = full.select("node", "n", F.explode("tokens").alias("token"))
-    common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df >= 2")
+    lists = full.select("node", "n", F.posexplode("lists").alias("side", "list")).select(
+        "node", "n", "side", "list.need", F.explode("list.tokens").alias("token")
+    )
+    common = lists.groupBy("token").agg(
+        F.count(F.lit(1)).alias("df"), F.min("n").alias("low"), F.max("n").alias("high")
+    ).filter("df >= 2").filter((F.col("df") > 2) | _lengths_fit(F.col("low"), F.col("high"))).select("token", "df")
     return (
-        tokens.join(common, "token")
-        .groupBy("node", "n")
+        lists.join(common, "token")
+        .groupBy("node", "side", "n", "need")
         .agg(F.array_sort(F.collect_set(F.struct("df", "token"))).alias("toks"))
-        .filter(F.size("toks") >= _need(F.col("n")))
+        .filter(F.size("toks") >= F.col("need"))
     )
 
 
-def _prefix_end(n: Column, shared: Column, m) -> Column:
-    """How many of the shared shingles stand in the prefix for m matches; unshared ones come first."""
-    return F.least(shared, shared - _need(n) + m)
+def _prefix_end(need: Column, shared: Column, m) -> Column:
+    """How many of the shared tokens stand in the prefix for m matches."""
+    return F.least(shared, shared - need + m)
 
 
-def chosen_matches(n: Column, toks: Column) -> Column:
+def chosen_matches(n: Column, need: Column, toks: Column) -> Column:
     """The number of matches with the least estimated cost."""
     shared = F.size(toks)
 
     def cost(m: int) -> Column:
-        taken = F.slice(toks, F.lit(1), _prefix_end(n, shared, F.lit(m)))
+        taken = F.slice(toks, F.lit(1), _prefix_end(need, shared, F.lit(m)))
         read = F.aggregate(taken, F.lit(0).cast("long"), lambda a, t: a + t["df"])
         candidates = (read - F.size(taken)) / m
-        return F.when(F.lit(m) <= _need(n), F.struct((read + candidates * n * VERIFY_COST).alias("cost"), F.lit(m).alias("m")))
+        return F.when(F.lit(m) <= need, F.struct((read + candidates * n * VERIFY_COST).alias("cost"), F.lit(m).alias("m")))
 
     return F.array_min(F.array_compact(F.array(*[cost(m) for m in MATCHES])))["m"]
 
 
 def postings(ordered: DataFrame) -> DataFrame:
-    """``(token, node, n, m)`` of every prefix shingle."""
-    chosen = ordered.withColumn("m", chosen_matches(F.col("n"), F.col("toks")))
-    end = _prefix_end(F.col("n"), F.size("toks"), F.col("m"))
+    """``(token, node, n, m)`` of every prefix token."""
+    chosen = ordered.withColumn("m", chosen_matches(F.col("n"), F.col("need"), F.col("toks")))
+    end = _prefix_end(F.col("need"), F.size("toks"), F.col("m"))
     return chosen.select(
         "node", "n", "m", F.explode(F.transform(F.slice("toks", F.lit(1), end), lambda t: t["token"])).alias("token")
     )
@@ -190,9 +308,8 @@ def _lengths_fit(n1: Column, n2: Column) -> Column:
     return (n1 * PERCENT <= n2 * 100) & (n2 * PERCENT <= n1 * 100)
 
 
-def verified(pairs: DataFrame, ordered: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The ``(a, b)`` that link."""
-    sets = ordered.select("node", "n", F.transform("toks", lambda t: t["token"]).alias("tokens"))
     left = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("t_a"))
     right = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("t_b"))
     both = F.size(F.array_intersect("t_a", "t_b"))
@@ -204,15 +321,22 @@ def verified(pairs: DataFrame, ordered: DataFrame) -> DataFrame:
     )
 
 
+def _enough(met: DataFrame) -> DataFrame:
+    """The ``(a, b)`` that met in as many lists as the smaller of their two ``m`` asks for."""
+    return met.groupBy("a", "b").agg(
+        F.count(F.lit(1)).alias("shared"), F.min(F.least("m1", "m2")).alias("asked")
+    ).filter("shared >= asked").select("a", "b")
+
+
 def leader_pairs(posted: DataFrame) -> DataFrame:
-    """``(a, b)``: every document with the smallest document of each of its posting lists."""
-    leaders = posted.groupBy("token").agg(F.min(F.struct("node", "n")).alias("l"))
-    return (
+    """``(a, b)``: every document with the smallest document of its posting lists, if they share enough."""
+    leaders = posted.groupBy("token").agg(F.min(F.struct("node", "n", "m")).alias("l"))
+    met = (
         posted.join(leaders, "token")
         .filter((F.col("l.node") < F.col("node")) & _lengths_fit(F.col("n"), F.col("l.n")))
-        .select(F.col("l.node").alias("a"), F.col("node").alias("b"))
-        .distinct()
+        .select(F.col("l.node").alias("a"), F.col("node").alias("b"), F.col("l.m").alias("m1"), F.col("m").alias("m2"))
     )
+    return _enough(met)
 
 
 def pairs_between(labelled: DataFrame) -> DataFrame:
@@ -231,13 +355,8 @@ def pairs_between(labelled: DataFrame) -> DataFrame:
     ).filter("c1 < c2")
     first = open_lists.select("token", F.col("component").alias("c1"), F.col("node").alias("a"), F.col("n").alias("n1"), F.col("m").alias("m1"))
     second = open_lists.select("token", F.col("component").alias("c2"), F.col("node").alias("b"), F.col("n").alias("n2"), F.col("m").alias("m2"))
-    return (
-        met.join(first, ["token", "c1"]).join(second, ["token", "c2"])
-        .filter(_lengths_fit(F.col("n1"), F.col("n2")))
-        .groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("m1", "m2")).alias("asked"))
-        .filter("shared >= asked")
-        .select("a", "b")
-    )
+    both = met.join(first, ["token", "c1"]).join(second, ["token", "c2"])
+    return _enough(both.filter(_lengths_fit(F.col("n1"), F.col("n2"))))
 
 
 def _labelled(df: DataFrame, labels: DataFrame, by: str) -> DataFrame:
@@ -253,16 +372,26 @@ def grouped_rows(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
     )
     members = shared_table(members_of_sets(sets), "set-members")
     left_over = shared_table(alive(sets, members), "set-alive")
-    ordered = shared_table(ordered_sets(full_sets(docs, left_over, text, id_col)), "sets-ordered")
+    full = full_sets(docs, left_over, text, id_col)
+    ordered = shared_table(ordered_lists(full), "lists-ordered")
+    # what is verified: whole sets of the lists that are left, a table of known size
+    candidates = shared_table(ordered.select("node").distinct(), "candidates")
+    whole_sets = shared_table(full.select("node", "n", "tokens").join(candidates, "node", "left_semi"), "candidate-sets")
     posted = shared_table(postings(ordered), "postings")
-    links = shared_table(verified(leader_pairs(posted), ordered), "leader-links")
+    links = shared_table(verified(leader_pairs(posted), whole_sets), "leader-links")
     labels = shared_table(components(links, "a", "b"), "leader-groups")
     labelled = shared_table(_labelled(posted, labels, "node"), "labelled-postings")
-    more = shared_table(verified(pairs_between(labelled), ordered), "more-links")
+    more = shared_table(verified(pairs_between(labelled), whole_sets), "more-links")
     if not more.isEmpty():
         edges = more.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
         labels = shared_table(components(edges, "a", "b"), "groups")
-    grouped = _labelled(members.select("doc_id", "key", "n", "rep"), labels, "rep")
+    # from numbers of full sets back to representatives, by the sets' names
+    name = ["n", "d1", "d2"]
+    rep = full.select("node", *name).join(left_over.withColumnRenamed("node", "rep"), name).select("node", "rep")
+    named = labels.join(rep, "node").select("rep", F.col("component").alias("node")).join(
+        rep.withColumnRenamed("rep", "of"), "node"
+    ).select(F.col("rep").alias("node"), F.col("of").alias("component"))
+    grouped = _labelled(members.select("doc_id", "key", "n", "rep"), shared_table(named, "named-groups"), "rep")
     return shared_table(grouped.select("doc_id", "key", "n", "component"), "grouped-rows")
 
 
@@ -287,10 +416,10 @@ def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Dat
     Rows without an id stay. The ids that go are a table of known size, which Spark broadcasts if it
     is small. Where ids may repeat or be null, ``keep_one_row`` judges every row by its own text.
     """
-    gone = linked_groups(docs, text, id_col).filter(F.col(id_col) != F.col("component_id")).select(
-        F.col(id_col).alias("_gone")
-    )
-    return docs.join(shared_table(gone, "near-copies"), F.col(id_col) == F.col("_gone"), "left_anti")
+    gone = linked_groups(docs.select(id_col, text), text, id_col).filter(F.col(id_col) != F.col("component_id"))
+    gone = shared_table(gone.select(F.col(id_col).cast("long").alias("gone")), "near-copies")
+    rows = boxed(docs, id=F.col(f"`{id_col}`").cast("long"))
+    return rows.join(gone, F.col("id") == F.col("gone"), "left_anti").select("_r.*")
 
 
 def keep_one_row(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -309,27 +438,27 @@ def keep_one_row(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
         rows.join(first, "component", "left").select("doc_id", "key", "n", stays.alias("stays")), "judged-rows"
     )
     ids = shared_table(
-        judged.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_gone"))
-        .agg(F.max("stays").alias("some")).filter("NOT some").select("_gone"), "near-copies",
+        judged.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("gone"))
+        .agg(F.max("stays").alias("some")).filter("NOT some").select("gone"), "near-copies",
     )
     keys = shared_table(
-        judged.filter("NOT stays").join(ids, F.col("doc_id") == F.col("_gone"), "left_anti")
-        .select(F.col("doc_id").alias("_id"), F.col("key").alias("_row")).distinct(), "near-copies-by-text",
+        judged.filter("NOT stays").join(ids, F.col("doc_id") == F.col("gone"), "left_anti")
+        .select(F.col("doc_id").alias("of_id"), F.col("key").alias("of_row")).distinct(), "near-copies-by-text",
     )
     again = shared_table(
-        judged.filter("stays AND n > 0").groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_row"))
-        .agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("_id", "_row"), "repeated-rows",
+        judged.filter("stays AND n > 0").groupBy(F.col("doc_id").alias("of_id"), F.col("key").alias("of_row"))
+        .agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("of_id", "of_row"), "repeated-rows",
     )
     _, key = row_key(id_col, text)
+    listed = boxed(docs, id=F.col(f"`{id_col}`").cast("long"), row=key)
 
     def named(table: DataFrame):
-        return F.col(id_col).cast("long").eqNullSafe(table["_id"]) & (key == table["_row"])
+        return F.col("id").eqNullSafe(table["of_id"]) & (F.col("row") == table["of_row"])
 
-    kept = docs.join(ids, F.col(id_col) == F.col("_gone"), "left_anti").join(keys, named(keys), "left_anti")
+    kept = listed.join(ids, F.col("id") == F.col("gone"), "left_anti").join(keys, named(keys), "left_anti")
     if again.isEmpty():
-        return kept
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    one = kept.join(again, named(again), "left_semi").groupBy(F.col(id_col).alias("_id"), key.alias("_row")).agg(
-        F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("_r")
+        return kept.select("_r.*")
+    one = kept.join(again, named(again), "left_semi").groupBy("id", "row").agg(
+        F.min_by("_r", F.xxhash64("_r")).alias("_r")
     )
-    return kept.join(again, named(again), "left_anti").unionByName(one.select("_r.*"))
+    return kept.join(again, named(again), "left_anti").select("_r.*").unionByName(one.select("_r.*"))

@@ -2,7 +2,7 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What separates words of letters and digits, once A-Z are lower case. Other code points are word characters.
@@ -85,3 +85,11 @@ def spaced_words(text: Column) -> Column:
 def row_key(id_col: str, text_col: str) -> list[Column]:
     """Names a row by its id and text, so that repeated and null ids join with their own rows."""
     return [F.col(id_col).alias("_id"), F.xxhash64(id_col, text_col).alias("_row")]
+
+
+def boxed(df: DataFrame, **beside: Column) -> DataFrame:
+    """The rows of ``df`` as one struct ``_r`` beside further columns, so that no name of theirs can clash.
+
+    ``select("_r.*")`` gives the rows back.
+    """
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_r"), *[c.alias(n) for n, c in beside.items()])
