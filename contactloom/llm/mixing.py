@@ -136,7 +136,7 @@ def streams(docs: DataFrame, text: str = "text", source: str = "source", id_col:
     ``place`` is where the document begins in its source's stream, in words; ``row`` is a number of its own.
     """
     documents = sized(docs, text, source, id_col, seed)
-    shares = shared_table(targets(shared_table(ranked_sources(documents), "mix-ranks")), "mix-targets")
+    shares = targets(ranked_sources(documents))
     n_ranges = max(64, documents.count() // RANGE_ROWS)
     # of 32 bits of the hash, so ranges are in the order of the hash
     hashed = F.conv(F.substring("order", 1, 8), 16, 10).cast("long")
