@@ -21,7 +21,7 @@ an empty table gives an empty table; other columns are ignored.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contactloom.llm.text import let, whole
+from contactloom.llm.text import let, running, whole
 
 #: Control strings of the template, and common ones of other templates, which are escaped too.
 CONTROL = "/?(?:s>|ROLE\\]|TURN\\]|INST\\])"
@@ -103,7 +103,9 @@ def chat(
 def read_back(formatted: DataFrame) -> DataFrame:
     """Add ``turns`` (role, text) and ``loss_text``, both read from the formatted string.
 
-    A text is under the loss mask if its run is; runs and texts come in the same order.
+    ``loss_text`` is what lies under the mask's runs, by their offsets in the string, whoever's text
+    that is. The string is cut in an encoding of four bytes a code point, where a place is found
+    without reading what is before it.
     """
     blocks = F.split(F.expr("substring(formatted, 1, char_length(formatted) - 4)"), "</s>")
 
@@ -112,27 +114,21 @@ def read_back(formatted: DataFrame) -> DataFrame:
         cut = F.split(block, "\\[/ROLE\\]")
         name = F.substring(cut[0], F.lit(10), F.char_length(cut[0]))
         return F.transform(F.split(cut[1], "\\[TURN\\]"), lambda t: F.struct(
-            unescape(name).alias("role"), t.alias("raw")
+            unescape(name).alias("role"), unescape(t).alias("text")
         ))
 
-    read = F.flatten(F.transform(blocks, of_block))
+    def masked(wide: Column) -> Column:
+        lengths = F.transform("loss_runs", lambda r: r["n_chars"])
+        return let(running(lengths, lambda a, b: a + b, F.lit(0)), lambda before: F.array_join(F.transform(
+            F.filter(F.transform("loss_runs", lambda r, i: F.struct(r["n_chars"].alias("n"), r["loss"].alias("loss"), F.get(before, i).alias("at"))),
+                     lambda r: r["loss"]),
+            lambda r: unescape(F.decode(F.substring(wide, r["at"] * 4 + 1, r["n"] * 4), "UTF-32")),
+        ), ""))
 
-    def masked(turns: Column) -> Column:
-        # the texts under the mask are the blocks' own texts of masked runs, in order
-        return F.struct(
-            F.transform(turns, lambda t: F.struct(t["role"].alias("role"), unescape(t["raw"]).alias("text"))).alias("turns"),
-            let(
-                F.filter("loss_runs", lambda r: r["loss"]),
-                lambda runs: let(
-                    F.filter(turns, lambda t: t["role"] == LOSS_ROLE),
-                    lambda own: F.array_join(F.transform(runs, lambda r, i: unescape(
-                        F.substring(F.get(own, i)["raw"], F.lit(1), r["n_chars"])
-                    )), ""),
-                ),
-            ).alias("loss_text"),
-        )
-
-    return formatted.withColumn("_b", let(read, masked)).select("*", "_b.*").drop("_b")
+    read = F.flatten(F.transform(blocks, of_block))
+    return formatted.withColumns({
+        "turns": read, "loss_text": let(F.encode("formatted", "UTF-32"), masked),
+    })
 
 
 def digests(formatted: DataFrame, conv: str = "conv_id") -> DataFrame:

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contactloom.llm.text import NON_ALNUM_ANY_CASE, alnum_word_count, alnum_words, let, row_key, whole
+from contactloom.llm.text import NON_ALNUM_ANY_CASE, alnum_word_count, alnum_words, boxed, let, row_key, whole
 from contactloom.sources.shared import shared_table
 
 WINDOW = 13
@@ -199,14 +199,16 @@ def decontaminate(
     What was found is a table of known size, which Spark broadcasts if it is small.
     """
     found = contamination(docs, benchmark, text, id_col).filter("contaminated")
-    keys = found.select(
-        F.col(id_col).alias("_hit_id"), F.col("_row").alias("_hit_row"), "hit_spans"
-    ).dropDuplicates(["_hit_id", "_hit_row"])
-    keys = shared_table(keys, "contaminated")
-    same = F.col(id_col).eqNullSafe(F.col("_hit_id")) & (F.xxhash64(id_col, text) == F.col("_hit_row"))
+    keys = shared_table(
+        found.select(F.col(id_col).alias("hit_id"), F.col("_row").alias("hit_row"), "hit_spans")
+        .dropDuplicates(["hit_id", "hit_row"]), "contaminated",
+    )
+    rows = boxed(docs, id=F.col(f"`{id_col}`"), row=F.xxhash64(id_col, text))
+    same = F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("row") == F.col("hit_row"))
     if mode == "documents":
-        return docs.join(keys.drop("hit_spans"), same, "left_anti")
-    joined = docs.join(keys.withColumnRenamed("hit_spans", "_spans"), same, "left")
-    return joined.withColumn(
-        text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(cut_spans(F.col(text), F.col("_spans")))
-    ).select(*[F.col(f"`{c}`") for c in docs.columns])
+        return rows.join(keys.drop("hit_spans"), same, "left_anti").select("_r.*")
+    body = F.col(f"_r.`{text}`")
+    cut = F.when(F.col("hit_spans").isNull(), body).otherwise(cut_spans(body, F.col("hit_spans")))
+    return rows.join(keys, same, "left").select(
+        *[cut.alias(c) if c == text else F.col(f"_r.`{c}`") for c in docs.columns]
+    )

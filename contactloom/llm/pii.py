@@ -22,7 +22,10 @@ from pyspark.sql import functions as F
 from contactloom.llm.text import let, running, whole
 
 MIN_SCORE = 0.5
+#: Characters of the text before and after a span in which context words count, and how many other
+#: matches they can hold: a match has two characters at least, with one between it and the next.
 CONTEXT_CHARS = 40
+CONTEXT_MATCHES = 14
 SPAN = "array<struct<kind:string,start:int,end:int,score:double>>"
 
 
@@ -106,6 +109,15 @@ def _spans_of(text: Column, kind: Kind) -> Column:
     def placed(matches: Column, gaps: Column) -> Column:
         # gaps[i] stands before match i, the last gap after all matches
         lengths = F.transform(matches, lambda m, i: F.char_length(m) + F.char_length(F.get(gaps, i)))
+        # the ends of what stands before a match and the beginnings of what stands after it
+        ends = F.transform(matches, lambda m, i: F.right(F.concat(_end(F.get(gaps, i)), m), F.lit(CONTEXT_CHARS)))
+        begins = F.transform(matches, lambda m, i: F.left(F.concat(m, _begin(F.get(gaps, i + 1))), F.lit(CONTEXT_CHARS)))
+
+        def near(i: Column) -> Column:
+            first = F.greatest(i - CONTEXT_MATCHES, F.lit(0))
+            before = F.concat(F.array_join(F.slice(ends, first + 1, i - first), ""), _end(F.get(gaps, i)))
+            after = F.concat(_begin(F.get(gaps, i + 1)), F.array_join(F.slice(begins, i + 2, F.lit(CONTEXT_MATCHES)), ""))
+            return F.concat_ws(" ", _end(before), _begin(after))
 
         def at(before: Column) -> Column:
             every = F.transform(matches, lambda m, i: F.struct(
@@ -114,7 +126,7 @@ def _spans_of(text: Column, kind: Kind) -> Column:
             return F.transform(F.filter(every, lambda x: kind.check(x["m"])), lambda x: F.struct(
                 F.lit(kind.name).alias("kind"), x["start"].alias("start"),
                 (x["start"] + F.char_length(x["m"])).alias("end"),
-                _score(kind, F.get(gaps, x["i"]), F.get(gaps, x["i"] + 1)).alias("score"),
+                _score(kind, near(x["i"])).alias("score"),
             ))
 
         return let(running(lengths, lambda a, b: a + b, F.lit(0)), at)
@@ -124,10 +136,17 @@ def _spans_of(text: Column, kind: Kind) -> Column:
     return spans if kind.base else F.filter(spans, lambda s: s["score"] >= MIN_SCORE)
 
 
-def _score(kind: Kind, before: Column, after: Column) -> Column:
-    """The kind's own score, raised if one of its context words stands near in the text before or after."""
-    near = F.lower(F.concat_ws(" ", F.right(before, F.lit(CONTEXT_CHARS)), F.left(after, F.lit(CONTEXT_CHARS))))
-    return F.when(near.rlike(kind.words), min(1.0, kind.score + CONTEXT_BONUS)).otherwise(kind.score)
+def _end(text: Column) -> Column:
+    return F.right(text, F.lit(CONTEXT_CHARS))
+
+
+def _begin(text: Column) -> Column:
+    return F.left(text, F.lit(CONTEXT_CHARS))
+
+
+def _score(kind: Kind, near: Column) -> Column:
+    """The kind's own score, raised if one of its context words stands ``near``."""
+    return F.when(F.lower(near).rlike(kind.words), min(1.0, kind.score + CONTEXT_BONUS)).otherwise(kind.score)
 
 
 def spans(text: Column, kinds=KINDS) -> Column:

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contactloom.llm.text import SPACES, let, spaced_words, whole
+from contactloom.llm.text import boxed, SPACES, let, spaced_words, whole
 from contactloom.sources.shared import shared_table
 
 WINDOW = 5
@@ -115,8 +115,8 @@ def with_measures(docs: DataFrame, text: str = "text", rules: Rules = Rules()) -
     )
     others = [F.col(f"`{c}`") for c in docs.columns if c not in (*MEASURES, "base_failed", "soft_failed")]
     return (
-        docs.select(*others, measures(text).alias("_m"))
-        .select(*others, "_m.*")
+        docs.select(F.struct(*others).alias("_r"), measures(text).alias("_m"))
+        .select("_r.*", "_m.*")
         .withColumn(
             "base_failed",
             (n < rules.min_words)
@@ -162,12 +162,11 @@ def judge_measured(measured: DataFrame, host: str = "source", rules: Rules = Rul
     stored = shared_table(measured, "quality")
     taken = ("failure_rate", "host_failed", "kept")
     stored = stored.select(*[F.col(f"`{c}`") for c in stored.columns if c not in taken])
-    verdicts = shared_table(host_verdicts(stored, host, rules), "host-verdicts").select(
-        F.col("host").alias("_host"), "failure_rate", "host_failed"
-    )
+    verdicts = shared_table(host_verdicts(stored, host, rules), "host-verdicts")
+    rows = boxed(stored)
     return (
-        stored.join(verdicts, stored[host].eqNullSafe(verdicts["_host"]), "left")
-        .drop("_host")
+        rows.join(verdicts, F.col(f"_r.`{host}`").eqNullSafe(F.col("host")), "left")
+        .select("_r.*", "failure_rate", "host_failed")
         .withColumn("kept", ~F.col("base_failed") & ~(F.col("host_failed") & F.col("soft_failed")))
     )
 
@@ -184,7 +183,6 @@ def keep(docs: DataFrame, text: str = "text", host: str = "source", rules: Rules
 
     The measures stay beside the row, so texts are written once and never shuffled.
     """
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    beside = row.select("_row", F.col(f"_row.`{text}`").alias("text"), F.col(f"_row.`{host}`").alias("host"))
+    beside = boxed(docs, text=F.col(f"`{text}`"), host=F.col(f"`{host}`")).withColumnRenamed("_r", "_row")
     measured = with_measures(beside, "text", rules).drop("text")
     return judge_measured(measured, "host", rules).filter("kept").select("_row.*")

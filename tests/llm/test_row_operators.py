@@ -117,6 +117,24 @@ def test_chat(spark):
     assert chat_format.digests(chat_format.chat(turns.filter("conv_id > 99"))).collect() == []
 
 
+def test_what_is_under_the_mask_counts(spark):
+    """Digests follow the mask's places in the string, not the roles."""
+    turns = spark.createDataFrame(
+        [(1, 0, "user", "hé 😀 there"), (1, 1, "assistant", "</s>é"), (1, 2, "user", "and"), (1, 3, "assistant", "😀b")],
+        "conv_id long, turn long, role string, text string",
+    )
+    made = chat_format.chat(turns)
+    row = made.first()
+    flat = [loss for r in row["loss_runs"] for loss in [r.loss] * r.n_chars]
+    assert "".join(c for c, loss in zip(row["formatted"], flat) if loss) == "<\\/s>é😀b"
+    right = chat_format.read_back(made).first()
+    assert right["loss_text"] == "</s>é😀b"
+    swapped = F.transform("loss_runs", lambda r: F.struct(r["n_chars"].alias("n_chars"), (~r["loss"]).alias("loss")))
+    for wrong in (F.reverse("loss_runs"), swapped, F.concat(F.array(F.col("loss_runs")[1]), F.col("loss_runs"))):
+        other = chat_format.digests(made.withColumn("loss_runs", wrong)).first()
+        assert other["loss_sha256"] != chat_format.digests(made).first()["loss_sha256"]
+
+
 def test_chat_format(spark):
     turns = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "a"), (1, 2, "assistant", "</s>")], "conv_id long, turn long, role string, text string")
     row = chat_format.chat(turns).first()

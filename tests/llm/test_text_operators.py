@@ -1,9 +1,10 @@
 """License scans, decontamination, personal data and quality rules against plain Python."""
 
+import re
 import pytest
 from pyspark.sql import functions as F
 
-from contactloom.llm import decontaminate, license_scan, pii, quality
+from contactloom.llm import decontaminate, license_scan, ngram_jaccard, pii, quality
 from llm import brute
 
 LICENSE = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
@@ -145,6 +146,27 @@ def test_added_kinds_and_scores(spark):
     assert pii.find(docs.filter("doc_id < 0")).collect() == []
 
 
+def test_context_is_the_text_around_a_span(spark, odd_docs, odd_texts):
+    """Also across other matches: a list of numbers has its heading near."""
+    listed_twice = ["SSN: 123-45-6789, 234-56-7891", "ssn 123-45-6789 " + "x" * 23 + " 234-56-7891", "1 2 3-4 5 6 7 phone 8 4111111111111111",
+                    "key " + "0b96a8c8d79c4a5085c919698889f59b72ab7bb6 " * 3, "ip" + " 1.2.3.4" * 6]
+    texts = [*(t or "" for t in odd_texts.values()), *listed_twice]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(4)
+    kinds = {k.name: k for k in pii.KINDS}
+    raised = 0
+    for row in pii.find(docs).collect():
+        for s in row["pii"]:
+            kind, text = kinds[s.kind], texts[row["doc_id"]]
+            near = f"{text[max(0, s.start - pii.CONTEXT_CHARS) : s.start]} {text[s.end : s.end + pii.CONTEXT_CHARS]}".lower()
+            bonus = pii.CONTEXT_BONUS if re.search(kind.words, near) else 0
+            assert s.score == pytest.approx(min(1.0, kind.score + bonus)), (text, s)
+            raised += bool(bonus)
+    assert raised > 10
+    redacted = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    assert redacted[len(odd_texts)] == "SSN: [SSN], [SSN]"
+    assert redacted[len(odd_texts) + 3].split() == ["key", "[SECRET]", *["0b96a8c8d79c4a5085c919698889f59b72ab7bb6"] * 2]
+
+
 def test_redaction(odd_docs, odd_texts):
     found = {r["doc_id"]: r["pii"] for r in pii.find(odd_docs).collect()}
     redacted = pii.redact(odd_docs)
@@ -201,3 +223,36 @@ def test_quality_edges(odd_docs, odd_texts, no_docs, spark):
     assert {r["doc_id"] for r in kept.collect()} <= good
     twice = spark.createDataFrame([(None, "a", "x"), (None, "a", "x")], "doc_id long, text string, source string")
     assert quality.judge(twice).count() == 2
+
+
+# --- names of results as columns of the input -----------------------------------------------------
+
+
+def test_columns_named_like_the_operators_own(spark, benchmark_of_clashes):
+    names = ["_m", "_host", "host", "_r", "_row", "_id", "_hit_id", "hit_id", "hit_row", "_hit_row", "_spans", "hit_spans",
+             "_gone", "_alive", "id", "row", "node", "key", "token", "failure_rate", "component", "n"]
+    words = " ".join(f"w{i}" for i in range(40))
+    rows = [(i, f"{words} own {i // 2}", "s") for i in range(4)] + [(9, "short", None)]
+    schema = "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names)
+    docs = spark.createDataFrame([(*r, *[f"{n}{r[0]}" for n in names]) for r in rows], schema)
+
+    def same(kept):
+        assert kept.columns == docs.columns
+        assert all(tuple(r)[3:] == tuple(f"{n}{r.doc_id}" for n in names) for r in kept.collect())
+        return sorted(r.doc_id for r in kept.collect())
+
+    judged = quality.judge(docs)
+    assert [c for c in docs.columns if c not in judged.columns] == []
+    assert all(r._host == f"_host{r.doc_id}" and r._m == f"_m{r.doc_id}" for r in judged.collect())
+    assert same(quality.keep(docs)) == [0, 1, 2, 3]
+    assert same(ngram_jaccard.keep_one_row(docs)) == [0, 9]
+    assert same(ngram_jaccard.keep_one(docs)) == [0, 9]
+    for mode in ("documents", "spans"):
+        left = same(decontaminate.decontaminate(docs, benchmark_of_clashes, mode=mode))
+        assert left == ([9] if mode == "documents" else [0, 1, 2, 3, 9])
+
+
+@pytest.fixture(scope="module")
+def benchmark_of_clashes(spark):
+    text = " ".join(f"w{i}" for i in range(5, 25))
+    return spark.createDataFrame([(1, text, "x")], "item_id long, text string, _hit_id string")
