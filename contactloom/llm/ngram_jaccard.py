@@ -9,18 +9,18 @@ prefix thus asks for more matches before a pair is verified. Steps:
    represented by its smallest row number. Up to the end only these numbers are compared and joined.
 2. Every set sends a prefix in hash order with ``m = 1 + n // 20``. Sets with fewer shared prefix
    shingles than that are linked with nothing, which is most of them, and end here.
-3. The others' shingles are dealt to buckets by hash, and a bucket's shingles together are one token.
-   Linked sets differ in at most ``n // 4`` shingles, so of ``b`` buckets in use they have at least
-   ``b - n // 4`` in common, while sets that only share a passage have next to none. Buckets are
-   as many as the sizes of a class ask for; a set sends those of its class and the next lower one, as
-   linked sizes are at most one class apart.
-4. These tokens are counted exactly and ordered rarest first. Each document takes the ``m`` of 1, 2,
-   4 or 8 whose prefix has the least estimated cost: postings to read plus candidates to verify,
-   both from the counts.
-5. In each posting list every document meets the list's smallest one; those that share enough
-   prefix tokens with it are verified, and links are joined into components. Only pairs of different
-   components that share enough prefix tokens are left, and all of them are verified; pairs inside one
-   component can add nothing.
+3. The others' shingles are counted exactly and ordered rarest first. Sets that hold fewer of them in
+   common with all others together than they need to share with one are gone. Each document takes the
+   ``m`` of 1, 2, 4 or 8 whose prefix has the least estimated cost: postings to read plus candidates
+   to verify, both from the counts.
+4. In each posting list every document meets the list's leader: first the document whose shingles are
+   the most common, which of a family of copies is the least changed, then in further rounds documents
+   chosen by hash, the same in all lists. Those that share enough prefix shingles are verified, and links
+   are joined into components. Only pairs of different components that share enough prefix shingles are
+   left, and all of them are verified; pairs inside one component can add nothing.
+5. A shared shingle counts for a pair only where both can still have enough in common behind it, by their
+   sizes and the shingle's places in their orders. So a changed copy, whose changes come first in its
+   order, does not meet all other copies through what is common to them.
 
 A large group of near copies so costs a few links per document, not all its pairs, and no list is
 gathered in a task. Texts are never shuffled: the second reading, for whole sets, picks its rows with a
@@ -41,22 +41,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contactloom.llm.components import components
-from contactloom.llm.shingles import U, column_bytes, mix, set_digest, shingle_set
+from contactloom.llm.shingles import column_bytes, set_digest, shingle_set
 from contactloom.llm.text import boxed, row_key
 from contactloom.sources.shared import shared_table
 
 SHINGLE = 5
 PERCENT = 80
 MATCHES = (1, 2, 4, 8)
-#: Cost of verifying a candidate, in postings read, per shingle of the set.
-VERIFY_COST = 0.25
+#: Rounds of leaders; they decide how many pairs are left to verify one by one, not what is found.
+LEADER_ROUNDS = 4
+#: Cost of verifying a candidate, in postings read.
+VERIFY_COST = 4
 
 SET_FIELDS = "doc_id long, key long, n int, d1 long, d2 long, tokens array<long>"
 BATCH_ROWS = 256
-#: Sizes of a class lie within this factor; linked sizes too. Classes of smaller sets than SMALL keep
-#: their shingles as tokens; beyond, a bucket holds 1 / BUCKETS_PER_SHINGLE shingles of a class's largest sets.
-CLASS_FACTOR = 100 / PERCENT
-SMALL, BUCKETS_PER_SHINGLE = 64, 0.4
 #: Bits of the Bloom filter a row, two of which are set, and at most.
 BLOOM_BITS, BLOOM_MOST = 32, 1 << 27
 
@@ -167,81 +165,40 @@ def maybe_in(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return hit
 
 
-def size_class(n: int) -> int:
-    return int(np.floor(np.log(n) / np.log(CLASS_FACTOR) + 1e-9))
-
-
-def class_buckets(group: int) -> int | None:
-    """Buckets for the sizes of class ``group`` and the next; None where every shingle is one of its own."""
-    most = CLASS_FACTOR ** (group + 2)
-    return None if most < SMALL else int(np.ceil(most * BUCKETS_PER_SHINGLE))
-
-
-def bucket_tokens(found: np.ndarray, group: int) -> tuple[np.ndarray, int]:
-    """Tokens of a set's buckets, and how many of them a linked set of one of the two classes has at least.
-
-    A set with too few buckets in use to promise one adds its shingles, which two such sets have in
-    common; the promise of its other partners is their own.
-    """
-    salt = U(group + 1000)
-    own = mix(found.view(U) ^ mix(np.full(1, salt, U)))
-    buckets = class_buckets(group)
-    spare = len(found) // 4
-    if buckets is None:
-        return own, len(own) - spare
-    place = own % U(buckets)
-    order = np.argsort(place, kind="stable")
-    edge = np.flatnonzero(np.diff(place[order], prepend=U(buckets)))
-    sums = np.add.reduceat(mix(own)[order], edge)
-    tokens = mix(sums + place[order][edge] * U(0x9E3779B97F4A7C15) + salt)
-    need = len(tokens) - spare
-    return (tokens, need) if need >= 1 else (np.concatenate([tokens, own]), 1)
-
-
-FULL_FIELDS = "n int, d1 long, d2 long, tokens array<long>, lists array<struct<need:int,tokens:array<long>>>"
+FULL_FIELDS = "n int, d1 long, d2 long, tokens array<long>"
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """``(key, text)`` -> whole sets, with their buckets' tokens, of the rows that may be wanted."""
+    """``(key, text)`` -> whole sets of the rows that may be wanted."""
 
-    def listed(arrays: list[np.ndarray]) -> pa.ListArray:
-        ends = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
-        flat = np.concatenate(arrays).view(np.int64) if arrays else np.empty(0, np.int64)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-
-    def batch(rows, sets, needs, lists):
+    def batch(rows, sets):
         ns, d1, d2 = zip(*rows, strict=True)
-        both = pa.StructArray.from_arrays([pa.array(needs, pa.int32()), listed(lists)], ["need", "tokens"])
-        ends = pa.array(np.arange(0, 2 * len(rows) + 1, 2), pa.int32())
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+        listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
         return pa.RecordBatch.from_arrays(
-            [pa.array(ns, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), listed(sets),
-             pa.ListArray.from_arrays(ends, both)],
-            names=["n", "d1", "d2", "tokens", "lists"],
+            [pa.array(ns, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), listed],
+            names=["n", "d1", "d2", "tokens"],
         )
 
     for given in batches:
         wanted = given.filter(pa.array(maybe_in(bits, given.column(0).to_numpy(zero_copy_only=False))))
-        rows, sets, needs, lists, held = [], [], [], [], 0
+        rows, sets, held = [], [], 0
         for data in column_bytes(wanted.column(1)):
             found = shingle_set(data, SHINGLE)
             if not len(found):
                 continue
             rows.append((len(found), *set_digest(found)))
             sets.append(found)
-            for group in (size_class(len(found)) - 1, size_class(len(found))):
-                tokens, need = bucket_tokens(found, group)
-                lists.append(tokens)
-                needs.append(need)
-            held += 2 * len(found)
+            held += len(found)
             if held > 1 << 18:
-                yield batch(rows, sets, needs, lists)
-                rows, sets, needs, lists, held = [], [], [], [], 0
+                yield batch(rows, sets)
+                rows, sets, held = [], [], 0
         if rows:
-            yield batch(rows, sets, needs, lists)
+            yield batch(rows, sets)
 
 
 def full_sets(docs: DataFrame, left_over: DataFrame, text: str, id_col: str) -> DataFrame:
-    """``(node, n, d1, d2, tokens, lists)``: the sets of ``left_over`` and maybe others, each once.
+    """``(node, n, d1, d2, tokens)``: the sets of ``left_over`` and maybe others, each once.
 
     ``node`` is a number of this table's own; the reading is not shuffled.
     """
@@ -258,58 +215,74 @@ def full_sets(docs: DataFrame, left_over: DataFrame, text: str, id_col: str) ->
     return found.join(spare, "node", "left_anti")
 
 
-def ordered_lists(full: DataFrame) -> DataFrame:
-    """``(node, n, need, toks)``: a list's tokens that other lists have too, rarest first, as ``(df, token)``.
+def ordered_sets(full: DataFrame) -> DataFrame:
+    """``(node, n, toks)``: shingles that other sets have too, rarest first, as ``(df, token)``.
 
-    Lists that share fewer tokens with all others together than they need to share with one are gone.
+    Sets that share too few of their shingles with all others together are gone.
     """
-    lists = full.select("node", "n", F.posexplode("lists").alias("side", "list")).select(
-        "node", "n", "side", "list.need", F.explode("list.tokens").alias("token")
-    )
-    common = lists.groupBy("token").agg(
-        F.count(F.lit(1)).alias("df"), F.min("n").alias("low"), F.max("n").alias("high")
-    ).filter("df >= 2").filter((F.col("df") > 2) | _lengths_fit(F.col("low"), F.col("high"))).select("token", "df")
+    tokens = full.select("node", "n", F.explode("tokens").alias("token"))
+    common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df >= 2")
     return (
-        lists.join(common, "token")
-        .groupBy("node", "side", "n", "need")
+        tokens.join(common, "token")
+        .groupBy("node", "n")
         .agg(F.array_sort(F.collect_set(F.struct("df", "token"))).alias("toks"))
-        .filter(F.size("toks") >= F.col("need"))
+        .filter(F.size("toks") >= _need(F.col("n")))
     )
 
 
-def _prefix_end(need: Column, shared: Column, m) -> Column:
-    """How many of the shared tokens stand in the prefix for m matches."""
-    return F.least(shared, shared - need + m)
+def _least_common(n1: Column, n2: Column) -> Column:
+    """Shingles that linked sets of these sizes have in common at least."""
+    return F.ceil((n1 + n2) * PERCENT / (100 + PERCENT))
+
 
+def chosen_matches(n: Column, toks: Column) -> Column:
+    """The number of matches with the least estimated cost.
 
-def chosen_matches(n: Column, need: Column, toks: Column) -> Column:
-    """The number of matches with the least estimated cost."""
+    It is estimated over the prefix that counts for partners of the same size. Shingles that no other
+    set has come before the shared ones.
+    """
     shared = F.size(toks)
 
     def cost(m: int) -> Column:
-        taken = F.slice(toks, F.lit(1), _prefix_end(need, shared, F.lit(m)))
+        counts = F.greatest(F.lit(1), F.least(shared, shared - _least_common(n, n) + m)).cast("int")
+        taken = F.slice(toks, F.lit(1), counts)
         read = F.aggregate(taken, F.lit(0).cast("long"), lambda a, t: a + t["df"])
-        candidates = (read - F.size(taken)) / m
-        return F.when(F.lit(m) <= need, F.struct((read + candidates * n * VERIFY_COST).alias("cost"), F.lit(m).alias("m")))
+        candidates = (read - counts) / m
+        return F.when(F.lit(m) <= _need(n), F.struct((read + candidates * VERIFY_COST).alias("cost"), F.lit(m).alias("m")))
 
     return F.array_min(F.array_compact(F.array(*[cost(m) for m in MATCHES])))["m"]
 
 
 def postings(ordered: DataFrame) -> DataFrame:
-    """``(token, node, n, m)`` of every prefix token."""
-    chosen = ordered.withColumn("m", chosen_matches(F.col("n"), F.col("need"), F.col("toks")))
-    end = _prefix_end(F.col("need"), F.size("toks"), F.col("m"))
+    """``(token, node, n, m, left, common)`` of every prefix shingle.
+
+    ``left`` is how many of the set's shared shingles are not before it, itself included; ``common`` is
+    how common the set's shingles are.
+    """
+    shared = F.size("toks")
+    end = F.least(shared, shared - _need(F.col("n")) + F.col("m"))
+    chosen = ordered.withColumn("m", chosen_matches(F.col("n"), F.col("toks"))).withColumn(
+        "common", F.aggregate("toks", F.lit(0).cast("long"), lambda a, t: a + t["df"]) / F.col("n")
+    )
     return chosen.select(
-        "node", "n", "m", F.explode(F.transform(F.slice("toks", F.lit(1), end), lambda t: t["token"])).alias("token")
+        "node", "n", "m", "common", F.inline(F.transform(F.slice("toks", F.lit(1), end), lambda t, i: F.struct(
+            t["token"].alias("token"), (shared - i).alias("left")
+        )))
     )
 
 
-def _lengths_fit(n1: Column, n2: Column) -> Column:
-    return (n1 * PERCENT <= n2 * 100) & (n2 * PERCENT <= n1 * 100)
+def _counts(n1: str, left1: str, m1: str, n2: str, left2: str, m2: str) -> Column:
+    """Whether a shared shingle can be one of the first ``m`` that linked sets have in common.
+
+    Of these the k-th has k - 1 others before it and at most the lesser ``left`` from it on.
+    """
+    n1, left1, m1, n2, left2, m2 = map(F.col, (n1, left1, m1, n2, left2, m2))
+    return F.least(left1, left2) + F.least(m1, m2) - 1 >= _least_common(n1, n2)
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, ordered: DataFrame) -> DataFrame:
     """The ``(a, b)`` that link."""
+    sets = ordered.select("node", "n", F.transform("toks", lambda t: t["token"]).alias("tokens"))
     left = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("t_a"))
     right = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("t_b"))
     both = F.size(F.array_intersect("t_a", "t_b"))
@@ -328,13 +301,28 @@ def _enough(met: DataFrame) -> DataFrame:
     ).filter("shared >= asked").select("a", "b")
 
 
-def leader_pairs(posted: DataFrame) -> DataFrame:
-    """``(a, b)``: every document with the smallest document of its posting lists, if they share enough."""
-    leaders = posted.groupBy("token").agg(F.min(F.struct("node", "n", "m")).alias("l"))
+def open_lists(labelled: DataFrame) -> DataFrame:
+    """The lists with documents of several components."""
+    mixed = labelled.groupBy("token").agg(
+        F.min("component").alias("low"), F.max("component").alias("high")
+    ).filter("low < high").select("token")
+    return labelled.join(mixed, "token")
+
+
+def leader_pairs(labelled: DataFrame, turn: int = 0) -> DataFrame:
+    """``(a, b)``: every document with the leaders of its posting lists, if they share enough.
+
+    ``labelled`` is ``(token, node, n, m, left, common, component)``; pairs inside a component are not made.
+    """
+    order = (-F.col("common")) if not turn else F.xxhash64("node", F.lit(turn))
+    leaders = labelled.groupBy("token").agg(F.min(F.struct(order.alias("order"), "node", "n", "left", "m", "component")).alias("l"))
     met = (
-        posted.join(leaders, "token")
-        .filter((F.col("l.node") < F.col("node")) & _lengths_fit(F.col("n"), F.col("l.n")))
-        .select(F.col("l.node").alias("a"), F.col("node").alias("b"), F.col("l.m").alias("m1"), F.col("m").alias("m2"))
+        labelled.join(leaders, "token")
+        .filter((F.col("l.component") != F.col("component")) & _counts("n", "left", "m", "l.n", "l.left", "l.m"))
+        .select(
+            F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b"),
+            F.col("l.m").alias("m1"), F.col("m").alias("m2"),
+        )
     )
     return _enough(met)
 
@@ -342,21 +330,20 @@ def leader_pairs(posted: DataFrame) -> DataFrame:
 def pairs_between(labelled: DataFrame) -> DataFrame:
     """``(a, b)`` of different components that share enough prefix shingles.
 
-    ``labelled`` is ``(token, node, n, m, component)``. Lists of one component end first; in the
+    ``labelled`` is ``(token, node, n, m, left, component)``. Lists of one component end first; in the
     others components are paired, then their documents, so no pair inside a component is made.
     """
-    mixed = labelled.groupBy("token").agg(
-        F.min("component").alias("low"), F.max("component").alias("high")
-    ).filter("low < high").select("token")
-    open_lists = labelled.join(mixed, "token")
-    sides = open_lists.select("token", "component").distinct()
-    met = sides.select("token", F.col("component").alias("c1")).join(
-        sides.select("token", F.col("component").alias("c2")), "token"
-    ).filter("c1 < c2")
-    first = open_lists.select("token", F.col("component").alias("c1"), F.col("node").alias("a"), F.col("n").alias("n1"), F.col("m").alias("m1"))
-    second = open_lists.select("token", F.col("component").alias("c2"), F.col("node").alias("b"), F.col("n").alias("n2"), F.col("m").alias("m2"))
+    mixed = open_lists(labelled)
+    # of a component's documents in a list, the one that allows most in every respect
+    sides = mixed.groupBy("token", "component").agg(F.min("n").alias("n"), F.max("left").alias("left"), F.max("m").alias("m"))
+    one, two = (sides.select("token", *[F.col(c).alias(f"{c}{i}") for c in ("component", "n", "left", "m")]) for i in (1, 2))
+    met = one.join(two, "token").filter(
+        (F.col("component1") < F.col("component2")) & _counts("n1", "left1", "m1", "n2", "left2", "m2")
+    ).select("token", F.col("component1").alias("c1"), F.col("component2").alias("c2"))
+    first = mixed.select("token", F.col("component").alias("c1"), F.col("node").alias("a"), F.col("n").alias("n1"), F.col("left").alias("left1"), F.col("m").alias("m1"))
+    second = mixed.select("token", F.col("component").alias("c2"), F.col("node").alias("b"), F.col("n").alias("n2"), F.col("left").alias("left2"), F.col("m").alias("m2"))
     both = met.join(first, ["token", "c1"]).join(second, ["token", "c2"])
-    return _enough(both.filter(_lengths_fit(F.col("n1"), F.col("n2"))))
+    return _enough(both.filter(_counts("n1", "left1", "m1", "n2", "left2", "m2")))
 
 
 def _labelled(df: DataFrame, labels: DataFrame, by: str) -> DataFrame:
@@ -373,18 +360,16 @@ def grouped_rows(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
     members = shared_table(members_of_sets(sets), "set-members")
     left_over = shared_table(alive(sets, members), "set-alive")
     full = full_sets(docs, left_over, text, id_col)
-    ordered = shared_table(ordered_lists(full), "lists-ordered")
-    # what is verified: whole sets of the lists that are left, a table of known size
-    candidates = shared_table(ordered.select("node").distinct(), "candidates")
-    whole_sets = shared_table(full.select("node", "n", "tokens").join(candidates, "node", "left_semi"), "candidate-sets")
+    ordered = shared_table(ordered_sets(full), "sets-ordered")
     posted = shared_table(postings(ordered), "postings")
-    links = shared_table(verified(leader_pairs(posted), whole_sets), "leader-links")
-    labels = shared_table(components(links, "a", "b"), "leader-groups")
-    labelled = shared_table(_labelled(posted, labels, "node"), "labelled-postings")
-    more = shared_table(verified(pairs_between(labelled), whole_sets), "more-links")
-    if not more.isEmpty():
-        edges = more.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        labels = shared_table(components(edges, "a", "b"), "groups")
+    labels = posted.sparkSession.createDataFrame([], "node long, component long")
+    for turn in range(LEADER_ROUNDS + 1):
+        labelled = shared_table(_labelled(posted, labels, "node"), "labelled-postings")
+        pairs = leader_pairs(open_lists(labelled), turn) if turn < LEADER_ROUNDS else pairs_between(labelled)
+        links = shared_table(verified(pairs, ordered), "links-found")
+        if not links.isEmpty():
+            edges = links.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
+            labels = shared_table(components(edges, "a", "b"), "groups")
     # from numbers of full sets back to representatives, by the sets' names
     name = ["n", "d1", "d2"]
     rep = full.select("node", *name).join(left_over.withColumnRenamed("node", "rep"), name).select("node", "rep")
