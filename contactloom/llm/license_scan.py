@@ -1,16 +1,17 @@
 """License scans: an exact set-similarity join between text blocks and license templates.
 
-A block is a line, or a window of consecutive words wherever it lies, so that a notice wrapped
-over lines is compared as a whole; its tokens are its distinct words. A template's windows have as
-many words as the template and a quarter more, for words that lines of comments begin with. A
+A block is a window of consecutive words wherever it lies, over line ends too, so that a wrapped
+notice is compared as a whole; its tokens are its distinct words. A template's windows have as
+many words as the template and a quarter more, for words that lines of comments begin with, so a
+template's words strewn over a long line are no notice. A
 template is found in a block when the block holds at least ``threshold`` of the template's distinct
 tokens. Tokens are ordered by their
 document frequency in the whole corpus, rarest first; tokens of no template come last, where they
 cannot matter. A template with m tokens that needs o of them must share one of its m - o + 1 rarest
 (prefix filter); the block needs o template tokens at all (length filter); and the tokens after
 the first shared ones must be able to make up o (positional filter). Every pair that passes is
-verified, so no block that meets the threshold is missed. Of windows, only those around a token of
-a prefix are looked at, and of those, the ones that begin with a token of the template. Licence names at fixed places ("base"
+verified, so no block that meets the threshold is missed. Only windows around a token of a prefix
+are looked at, and of those, the ones that begin with a token of the template. Licence names at fixed places ("base"
 phrases) are looked up beside it. DataFrame functions only.
 
 Defined cases: null and empty texts have no words, no labels and score 0; repeated rows are each
@@ -110,32 +111,6 @@ def token_order(seen: DataFrame, vocabulary: list[str]) -> list[str]:
     return sorted(vocabulary, key=lambda t: (counts.get(t, 0), t))
 
 
-def matching_lines(
-    docs: DataFrame, order: list[str], prefixes: DataFrame, rare: list[str], least: int, text: str, id_col: str
-) -> DataFrame:
-    """``(_id, _row, label, score)`` of every line that meets a template's threshold."""
-    ranked = F.filter(
-        F.transform(F.array_distinct(alnum_words(F.col("line"))), lambda w: F.array_position(_texts(order), w)),
-        lambda p: p > 0,
-    )
-    blocks = (
-        docs.filter(F.arrays_overlap(alnum_words(F.col(text)), _texts(rare)))
-        .select(*row_key(id_col, text), F.explode(F.split(F.col(text), "\n")).alias("line"))
-        .select("_id", "_row", F.array_sort(F.transform(ranked, lambda p: (p - 1).cast("int"))).alias("tokens"))
-        .filter(F.size("tokens") >= least)
-    )
-    shared = F.size(F.array_intersect("tokens", "t_tokens"))
-    return (
-        blocks.select("*", F.posexplode("tokens").alias("b_pos", "token"))
-        .join(F.broadcast(prefixes), "token")
-        .filter(F.size("tokens") >= F.col("needed"))
-        .filter(F.least(F.col("t_size") - F.col("t_pos"), F.size("tokens") - F.col("b_pos")) >= F.col("needed"))
-        .withColumn("shared", shared)
-        .filter(F.col("shared") >= F.col("needed"))
-        .select("_id", "_row", "label", (F.col("shared") / F.col("t_size")).alias("score"))
-    )
-
-
 def matching_windows(
     docs: DataFrame, order: list[str], prefixes: DataFrame, rare: list[str], longest: int, text: str, id_col: str
 ) -> DataFrame:
@@ -203,7 +178,7 @@ def matching_windows(
 def matching_blocks(
     docs: DataFrame, order: list[str], templates: list[Template], text: str, id_col: str
 ) -> DataFrame:
-    """``(_id, _row, label, score)`` of lines and windows that meet a template's threshold."""
+    """``(_id, _row, label, score)`` of windows that meet a template's threshold."""
     spark = docs.sparkSession
     rank = {t: i for i, t in enumerate(order)}
     index = []  # one row per template and prefix token; its size is that of the template list
@@ -216,11 +191,7 @@ def matching_blocks(
         "token int, template int, label string, t_pos int, t_size int, needed int, window int, t_tokens array<int>",
     )
     rare = [order[r] for r in sorted({row[0] for row in index})]
-    least = min(t.needed for t in templates)
-    longest = max(t.window for t in templates)
-    return matching_lines(docs, order, prefixes, rare, least, text, id_col).unionByName(
-        matching_windows(docs, order, prefixes, rare, longest, text, id_col)
-    )
+    return matching_windows(docs, order, prefixes, rare, max(t.window for t in templates), text, id_col)
 
 
 def scan(
@@ -230,9 +201,9 @@ def scan(
     """One row per document: ``id_col``, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     ``score`` is 1 where a base phrase stands, else the largest containment found, else 0. Texts
-    are read three times and never shuffled: once for what is counted per document and for the token
-    frequencies, then for the lines and for the windows of documents that hold a prefix token. Only
-    found labels meet per document.
+    are read twice and never shuffled: once for what is counted per document and for the token
+    frequencies, then for the windows of documents that hold a prefix token. Only found labels meet
+    per document.
     """
     wanted = prepared(templates, threshold)
     vocabulary = sorted({w for t in wanted for w in t.tokens})

@@ -31,17 +31,19 @@ def license_sql() -> str:
             f"list_transform(list_filter(range(len(w)), lambda i: {same}), lambda i: {{'s': i, 'l': {_text(label)}}})"
         )
     templates = ", ".join(
-        f"({n}, {_text(t.label)}, {_list(t.tokens)}, {t.needed})" for n, t in enumerate(license_scan.prepared())
+        f"({n}, {_text(t.label)}, {_list(t.tokens)}, {t.needed}, {t.window})" for n, t in enumerate(license_scan.prepared())
     )
     return f"""
-WITH templates(n, label, tokens, needed) AS (VALUES {templates}),
+WITH templates(n, label, tokens, needed, win) AS (VALUES {templates}),
 words AS (SELECT doc_id, text, {alnum('text')} AS w FROM documents),
 placed AS (SELECT doc_id, len(w) AS n_words, {' || '.join(places)} AS p FROM words),
-lines AS (SELECT doc_id, list_distinct({alnum('line')}) AS w
-          FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)),
-found AS (SELECT doc_id, list(DISTINCT label) AS found,
-                 max(len(list_intersect(w, tokens)) / len(tokens)) AS best
-          FROM lines, templates WHERE len(list_intersect(w, tokens)) >= needed GROUP BY doc_id)
+candidates AS (SELECT doc_id, w, label, tokens, needed, win FROM words, templates WHERE len(list_intersect(w, tokens)) >= needed),
+measured AS (SELECT doc_id, label, tokens, needed, list_max(list_transform(
+               list_filter(range(len(w)), lambda i: list_contains(tokens, w[i + 1])),
+               lambda i: len(list_intersect(w[i + 1:i + win], tokens)))) AS shared
+             FROM candidates),
+found AS (SELECT doc_id, list(DISTINCT label) AS found, max(shared / len(tokens)) AS best
+          FROM measured WHERE shared >= needed GROUP BY doc_id)
 SELECT doc_id, n_words::BIGINT AS n_words, len(p)::BIGINT AS n_base,
        list_min(list_transform(p, lambda x: x.s))::BIGINT AS first_word,
        list_max(list_transform(p, lambda x: x.s))::BIGINT AS last_word,

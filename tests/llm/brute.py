@@ -30,13 +30,12 @@ def license_row(text, templates, phrases):
     ]
     base = sorted({label for _, label in places})
     found, best = set(base), 0.0
-    for line in (text or "").split("\n"):
-        own = set(alnum(line))
-        for t in templates:
-            both = len(own & set(t.tokens))
-            if both >= t.needed:
-                found.add(t.label)
-                best = max(best, both / len(t.tokens))
+    for t in templates:
+        tokens = set(t.tokens)
+        both = max((len(tokens.intersection(words[i : i + t.window])) for i, w in enumerate(words) if w in tokens), default=0)
+        if both >= t.needed:
+            found.add(t.label)
+            best = max(best, both / len(t.tokens))
     starts = [i for i, _ in places]
     return (
         len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(base),
