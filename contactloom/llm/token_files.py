@@ -1,6 +1,6 @@
 """Token ids in flat binary files, in ascending order of document, with 64-bit document offsets.
 
-A shard is a range of doc_ids. It is three files: ``tokens-<shard>.bin``, the ids as little-endian
+A shard is a range of doc_ids of about SHARD_BYTES of text, however the ids lie. It is three files: ``tokens-<shard>.bin``, the ids as little-endian
 unsigned integers of one width; ``offsets-<shard>.bin``, one little-endian unsigned 64-bit number
 per document and one more at the end: where the document begins in the whole corpus, in ids; and
 ``docs-<shard>.bin``, the 64-bit doc_ids. A shard's own base is the sum of all shards before it, so the files of all shards in order
@@ -11,8 +11,8 @@ count are a table (the manifest), and files that it does not name are never read
 or a repeated task leaves a file behind, not a wrong one. Bases are prefix sums over the manifest's
 counts; a second pass of tasks writes the offsets with them and moves the ids to their final names.
 
-Defined cases: null texts count as empty (only the end id); null ids come first, in a shard of
-their own; rows that repeat an id stand side by side, by text; an empty table gives no shards;
+Defined cases: null texts count as empty (only the end id); null ids come first, in shards of
+their own, which texts are dealt to by hash; rows that repeat an id stand side by side, by text; an empty table gives no shards;
 other columns are ignored.
 """
 
@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from contactloom.llm.storage import id_shards, opened, settle
+from contactloom.llm.text import whole
 from contactloom.llm.word_bpe import Remembered, chunks, groups, pieces, word_bpe
 from contactloom.sources.shared import new_path, shared_table
 
@@ -163,11 +164,9 @@ def write_token_files(
     spark = docs.sparkSession
     system, base = opened(folder)
     system.create_dir(base, recursive=True)
-    shard, n = id_shards(docs, id_col, F.octet_length(text), shard_bytes)
+    shard, n = id_shards(docs, id_col, F.octet_length(whole(F.col(text))), shard_bytes, F.col(text))
     rows = docs.select(shard.alias("shard"), F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    sorted_rows = rows.repartitionByRange(
-        max(n, spark.sparkContext.defaultParallelism), "shard"
-    ).sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "text")
+    sorted_rows = rows.repartitionByRange(n, "shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "text")
     written = shared_table(
         sorted_rows.mapInArrow(lambda b: _write_shards(b, folder, path, dtype, end_id), MANIFEST),
         "token-shards",
@@ -218,7 +217,7 @@ def read_token_files(manifest: DataFrame, folder: str, dtype: str = "uint16") ->
                         for a, b in zip(part[:-1] - base, part[1:] - base, strict=True)
                     ]
                     yield pa.RecordBatch.from_arrays(
-                        [names if shard else pa.nulls(len(names), pa.int64()), pa.array(part[:-1]),
+                        [names if shard >= 0 else pa.nulls(len(names), pa.int64()), pa.array(part[:-1]),
                          pa.array(np.diff(part)), pa.array(crcs, pa.int64())],
                         ["doc_id", "start", "n_tokens", "ids_crc32"],
                     )

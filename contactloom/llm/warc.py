@@ -151,14 +151,14 @@ def write_archive(
     )
     # a table of known size, which Spark broadcasts if it is small, so that html is shuffled once
     revisits = shared_table(revisits, "warc-revisits")
-    shard, n = id_shards(rows, "id", F.col("size"), shard_bytes)
+    shard, n = id_shards(rows, "id", F.col("size"), shard_bytes, F.col("payload"))
     told = rows.join(
         revisits, rows["id"].eqNullSafe(revisits["_id"]) & (rows["payload"] == revisits["_payload"]), "left"
     ).select(
         shard.alias("shard"), "id", "url", F.when(F.col("first").isNull(), F.col("html")).alias("html"),
         "first", "size", "sha1",
     )
-    sorted_rows = told.repartitionByRange(max(n, spark.sparkContext.defaultParallelism), "shard").sortWithinPartitions(
+    sorted_rows = told.repartitionByRange(n, "shard").sortWithinPartitions(
         "shard", F.col("id").asc_nulls_first(), "sha1", "url"
     )
     written = shared_table(sorted_rows.mapInArrow(lambda b: _write(b, folder, roll_bytes), WRITTEN), "warc-files")
