@@ -1,0 +1,209 @@
+"""The registered queries without SQL, and the pipeline, over small tables of files: all rows against plain Python."""
+
+import hashlib
+import random
+import re
+import statistics
+import zlib
+
+import pytest
+
+import corpus_pipeline
+from contactloom.llm import license_scan, oracle, pii, quality
+from contactloom.llm.queries import QUERIES, tokenizer_file
+from llm import brute
+from llm.conftest import TEXTS
+
+
+def words(rng, n):
+    return " ".join(f"word{rng.randrange(900)}" for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    """``(folder, documents, items)``; hosts good and bad, copies, benchmark passages, personal data."""
+    rng = random.Random(9)
+    items = [(i, words(rng, 40)) for i in range(6)] + [(7, "short item here"), (8, None), (9, "")]
+    texts = list(TEXTS)
+    for i in range(30):
+        base = words(rng, 80)
+        texts += [base, base, f"{base} tail", f"{words(rng, 70)}. Mail me: a{i}@b.example.com, ssn 123-45-67{i:02d} or +1 714 555 93{i:02d}"]
+        texts.append(f"{words(rng, 60)} {items[i % 6][1]} {words(rng, 20)}" if i % 2 else f"{words(rng, 900)} {items[i % 6][1]}")
+        texts.append("# $ % & " * 12 + words(rng, 5) if i % 3 else "same five words again here " * 6)
+    texts += ["key 0b96a8c8d79c4a5085c919698889f59b72ab7bb6 " + words(rng, 30), "bank account DE89 3704 0044 0532 0130 00 " + words(rng, 30)]
+    rows = [
+        (i, t, "en" if i % 2 else None, f"host{i % 4}" if i % 9 else "bad" if t and "#" in t else None, len(t or ""))
+        for i, t in enumerate(texts)
+    ]
+    folder = str(tmp_path_factory.mktemp("tables"))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return folder, rows, items
+
+
+def got(spark, tables, name, *columns):
+    df = QUERIES[name](spark, tables[0])
+    return {r["doc_id"]: tuple(r[c] for c in columns) for r in df.collect()}
+
+
+@pytest.fixture(scope="module")
+def word_library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer_file("word_bpe_49k.json"))
+
+
+@pytest.fixture(scope="module")
+def piece_library():
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=tokenizer_file("piece_bpe_32k.model"))
+
+
+def test_op2(spark, tables, word_library):
+    want = {}
+    for i, text, *_ in tables[1]:
+        n = len(word_library.encode(text or "", add_special_tokens=False).ids)
+        want[i] = (len((text or "").encode()), n, n > 2048)
+    assert got(spark, tables, "op2_token_counts", "n_bytes", "n_tokens", "over_limit") == want
+
+
+def test_op5(spark, tables, piece_library):
+    want = {}
+    for i, text, *_ in tables[1]:
+        ids = piece_library.encode(text or "")
+        want[i] = (len((text or "").encode()), len(ids), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids)))
+    assert got(spark, tables, "op5_sentencepiece", "n_bytes", "n_tokens", "ids_crc32") == want
+
+
+def test_op10(spark, tables, word_library):
+    want, start = {}, 0
+    for i, text, *_ in sorted(tables[1]):
+        ids = [*word_library.encode(text or "", add_special_tokens=False).ids, 2]
+        want[i] = (start, len(ids), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids)))
+        start += len(ids)
+    assert got(spark, tables, "op10_token_files", "start", "n_tokens", "ids_crc32") == want
+
+
+def mod97(iban):
+    turned = iban[4:] + iban[:4]
+    return int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
+
+
+#: The added kinds: pattern, check, score and context, stated again.
+ADDED = (
+    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}+(?:[ ]?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])",
+     lambda m: 15 <= len(m.replace(" ", "")) <= 34 and mod97(m.replace(" ", "")), 0.6),
+    ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", lambda m: not re.search("^(?:000|666|9..)-|-00-|-0000$", m), 0.3),
+    ("secret", r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|[0-9a-f]{32,64})(?![A-Za-z0-9])",
+     lambda m: bool(re.search("[0-9]", m) and re.search("[A-Za-z]", m)), 0.3),
+)
+
+
+def all_spans(text):
+    order = {k.name: n for n, k in enumerate(pii.KINDS)}
+    spans = [s.split(":") for s in brute.base_spans(text)]
+    found = [(int(start), order[kind], kind, int(end)) for kind, start, end in spans]
+    for kind, pattern, check, score in ADDED:
+        hint = next(k.words for k in pii.KINDS if k.name == kind)
+        for m in re.finditer(pattern, text or ""):
+            near = f"{text[max(0, m.start() - 40) : m.start()]} {text[m.end() : m.end() + 40]}".lower()
+            if check(m.group()) and score + (0.3 if re.search(hint, near) else 0) >= 0.5:
+                found.append((m.start(), order[kind], kind, m.end()))
+    return [(kind, start, end) for start, _, kind, end in sorted(found)]
+
+
+def test_op6(spark, tables):
+    names = ("email", "ip", "card", "phone")
+    want = {}
+    for i, text, *_ in tables[1]:
+        base = brute.base_spans(text)
+        counts = tuple(sum(s.startswith(f"{n}:") for s in base) for n in names)
+        every = ",".join(f"{k}:{a}:{b}" for k, a, b in all_spans(text))
+        want[i] = (*counts, hashlib.sha256(",".join(base).encode()).hexdigest(), every)
+    columns = ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+    assert got(spark, tables, "op6_pii", *columns) == want
+    assert {s.split(":")[0] for w in want.values() for s in w[-1].split(",") if s} >= {"iban", "ssn", "secret", *names}
+
+
+def good(rows):
+    """The ids that the quality rules keep."""
+    rules, measured = quality.Rules(), {}
+    for i, text, _, source, _ in rows:
+        n, chars, symbols, dup, _, base = brute.quality_row(text)
+        soft = base or (
+            100 * symbols > n * rules.max_symbol_percent or 100 * dup > n * rules.max_dup_line_percent
+            or 10 * chars < n * rules.min_word_chars_x10 or 10 * chars > n * rules.max_word_chars_x10
+        )
+        measured[i] = source, base, soft
+    hosts = {}
+    for source, _, soft in measured.values():
+        n, k = hosts.get(source, (0, 0))
+        hosts[source] = n + 1, k + soft
+    mean = sum(k for _, k in hosts.values()) / sum(n for n, _ in hosts.values())
+    var = statistics.variance([k / n for n, k in hosts.values()])
+    weight = max(2.0, mean * (1 - mean) / var - 1)
+    bad = {s for s, (n, k) in hosts.items() if (k + mean * weight) / (n + weight) > rules.bad_host_rate}
+    return {i for i, (source, base, soft) in measured.items() if not base and not (source in bad and soft)}, bad
+
+
+def redacted(text):
+    at, out = 0, []
+    for kind, start, end in all_spans(text):
+        if start >= at:
+            out.append(text[at:start] + f"[{kind.upper()}]")
+        at = max(at, end)
+    return "".join(out) + (text or "")[at:]
+
+
+def test_pipeline(spark, tables, piece_library):
+    folder, rows, items = tables
+    keep, bad = good(rows)
+    assert bad and len(keep) < len(rows)
+    kept = {r[0]: r for r in rows if r[0] in keep}
+    groups = brute.groups({i: r[1] for i, r in kept.items()})
+    kept = {i: r for i, r in kept.items() if groups[i][1] == i}
+    assert len(kept) < len(keep)
+    clean = {i: r for i, r in kept.items() if not brute.contamination_row(r[1], items)[-1]}
+    assert 0 < len(clean) < len(kept)
+    want = {}
+    for i, text, lang, source, _ in clean.values():
+        ids = piece_library.encode(redacted(text))
+        want[i] = lang, source, len(ids), ids
+    assert any("[EMAIL]" in redacted(r[1]) for r in clean.values())
+    found = corpus_pipeline.run(spark, folder)
+    assert found.columns == ["doc_id", "lang", "source", "n_tokens", "token_ids"]
+    assert {r.doc_id: (r.lang, r.source, r.n_tokens, r.token_ids) for r in found.collect()} == want
+
+
+def test_stages_keep_the_columns(spark, tables):
+    docs = spark.read.parquet(f"{tables[0]}/documents.parquet")
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontaminate", "pii", "tokenize"]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        some = stage(spark, docs, tables[0])
+        assert some.columns == docs.columns and dict(some.dtypes) == dict(docs.dtypes), name
+        assert stage(spark, docs.limit(0), tables[0]).count() == 0, name
+    redacted_docs = dict(corpus_pipeline.STAGES)["pii"](spark, docs, tables[0])
+    assert all(r.n_chars == len(r.text or "") for r in redacted_docs.collect() if r.text is not None)
+
+
+def test_license_sql_has_the_same_blocks(spark):
+    import duckdb
+    import pandas as pd
+
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files"
+    texts = [
+        mit, mit.replace(" ", "\n# "), "We reserved seats for all; equal rights matter", "rights all\nreserved", "", None,
+        "the license office of MIT staff was released from work under rain", "Released under the MIT License", "cc by " * 3,
+        "licensed under x y the Apache z License, Version 2.0", "licensed under the Apache License 2 0 version " * 3, " ".join(f"f{i}" for i in range(5000)) + " " + mit,
+    ]
+    documents = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})
+    con = duckdb.connect()
+    con.register("documents", documents)
+    rows = con.execute(oracle.license_sql()).fetchall()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {tuple(r) for r in license_scan.scan(docs).collect()}
+    assert found == set(rows)
+    labels = {r[0]: r[6] for r in rows}
+    assert (labels[0], labels[1], labels[2], labels[3], labels[6], labels[7], labels[11]) == ("mit", "mit", "", "reserved", "", "mit", "mit")

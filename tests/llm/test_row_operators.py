@@ -195,3 +195,45 @@ def test_settling_twice(tmp_path):
         storage.settle(str(tmp_path), "t", "g", 2)
     with pytest.raises(OSError):
         storage.settle(str(tmp_path), "t", "f", 3)
+
+
+# --- shards -------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("ids", [
+    [*range(1000), 10**12], [*range(0, 10**15, 10**12), -(2**63), 2**63 - 1], [5] * 1000, [*range(500), *[None] * 500], [None] * 300, [0], [],
+])
+def test_shards_are_level_wherever_the_ids_lie(spark, ids):
+    docs = spark.createDataFrame([(i, f"t{n}") for n, i in enumerate(ids)], "doc_id long, text string").repartition(3)
+    shard, tasks = storage.id_shards(docs, "doc_id", F.lit(84), 2_000, F.col("text"))
+    rows = docs.select("doc_id", shard.alias("shard")).collect()
+    assert all((r.doc_id is None) == (r.shard < 0) for r in rows)
+    named = sorted((r.doc_id, r.shard) for r in rows if r.doc_id is not None)
+    assert [s for _, s in named] == sorted(s for _, s in named)  # ranges of ids, in order
+    assert all(len({s for i, s in named if i == x}) == 1 for x in set(ids[:5]) if x is not None)
+    sizes = {}
+    for r in rows:
+        sizes[r.shard] = sizes.get(r.shard, 0) + 1
+    if len(set(ids)) > 400:
+        assert len(sizes) >= 50 or None in ids
+        assert max(n for s, n in sizes.items() if s >= 0) <= 20  # of 100 bytes each
+    if None in ids:
+        assert sum(s < 0 for s in sizes) == ids.count(None) // 20 and max(n for s, n in sizes.items() if s < 0) < 60
+    assert tasks >= len(sizes)
+
+
+def test_token_files_and_archives_with_an_outlying_id(spark):
+    from contactloom.llm import token_files
+    from contactloom.llm.queries import tokenizer_file
+
+    texts = {i: f"some words of {i}" for i in [*range(300), 10**12, -7]}
+    docs = spark.createDataFrame([*texts.items(), (None, "no id"), (None, None)], "doc_id long, text string").repartition(4)
+    rows = token_files.token_files(docs, tokenizer_file("word_bpe_49k.json"), shard_bytes=500).collect()
+    assert sorted(r.doc_id for r in rows if r.doc_id is not None) == sorted(texts)
+    assert sum(r.doc_id is None for r in rows) == 2
+    ordered = sorted(rows, key=lambda r: r.start)
+    assert [r.doc_id for r in ordered[2:]] == sorted(texts)
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(ordered, ordered[1:]))
+    pages_ = spark.createDataFrame([(i, "u", t) for i, t in texts.items()], "page_id long, url string, html string")
+    found = warc.archive(pages_, shard_bytes=500, roll_bytes=2_000).collect()
+    assert sorted(r.page_id for r in found) == sorted(texts)
