@@ -49,7 +49,7 @@ SHINGLE = 5
 PERCENT = 80
 MATCHES = (1, 2, 4, 8)
 #: Rounds of leaders; they decide how many pairs are left to verify one by one, not what is found.
-LEADER_ROUNDS = 4
+LEADER_ROUNDS = 2
 #: Cost of verifying a candidate, in postings read.
 VERIFY_COST = 4
 
@@ -364,7 +364,10 @@ def grouped_rows(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
     posted = shared_table(postings(ordered), "postings")
     labels = posted.sparkSession.createDataFrame([], "node long, component long")
     for turn in range(LEADER_ROUNDS + 1):
-        labelled = shared_table(_labelled(posted, labels, "node"), "labelled-postings")
+        if not turn:
+            labelled = posted.withColumn("component", F.col("node"))
+        else:
+            labelled = shared_table(_labelled(posted, labels, "node"), "labelled-postings")
         pairs = leader_pairs(open_lists(labelled), turn) if turn < LEADER_ROUNDS else pairs_between(labelled)
         links = shared_table(verified(pairs, ordered), "links-found")
         if not links.isEmpty():
