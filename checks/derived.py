@@ -31,7 +31,7 @@ HOME_PAGES = f"""
 SELECT o_orderkey AS page_id,
   'https://site' || CAST(o_orderkey AS string) || '.example.com' AS url,
   '<html><head><title>Call 2025550199</title><script>var n="3125550142";</script></head><body><nav>'
-  || '<a href="/contact/1">Contact</a><!-- <a href="/contact/99">old</a> -->'
+  || '<a title="us > them" href="/contact/1">Contact</a><!-- <a href="/contact/99">old</a> -->'
   || '<a href="/About-Us/2">About</a><a href="/SUPPORT/3.PDF">Manual</a>'
   || '<a href="/products/4">Products</a><a href="https://facebook.com/contact/'
   || CAST(o_orderkey AS string) || '">fb</a><a href="https://Facebook.com/help">fb</a>'
@@ -50,7 +50,7 @@ SELECT 1000000000 + l_partkey AS page_id,
     WHEN 1 THEN '/contact/1' WHEN 2 THEN '/About-Us/2' WHEN 3 THEN '/SUPPORT/3.PDF'
     WHEN 4 THEN '/products/4' WHEN 5 THEN '/service/5?x=1&y=2' WHEN 6 THEN '/store/6'
     ELSE '/legal/7' END AS url,
-  '<html><body><div><p>Office ' || CASE WHEN l_partkey % 3 = 0
+  '<html><body><div data-x="1 > 2025550109"><p>Office ' || CASE WHEN l_partkey % 3 = 0
     THEN lpad(CAST(l_partkey % 1000 AS string), 5, '0') || ' and 99999' ELSE 'HQ' END
   || '</p><p>Call ' || CASE l_partkey % 8
     WHEN 0 THEN '(' || {_AREA.format(k='l_partkey')} || ')&nbsp;555-' || {_LINE.format(k='l_partkey')}

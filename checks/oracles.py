@@ -3,7 +3,7 @@
 import re
 
 from checks import derived
-from contactloom.functions import html, phone
+from contactloom.functions import phone
 from contactloom.functions.dialing import dial_plan
 from contactloom.functions.fixed_values import (
     LINK_KEYWORDS,
@@ -29,22 +29,33 @@ def _decode(s: str) -> str:
     return f"replace({numeric}, '&amp;', '&')"
 
 
+# How the SQL reads tags: a quote opens a value after "=" only, and may hold ">".
+_REST = """(?:[^>=]|=\\s*(?:"[^"]*"|'[^']*')?)*(?:>|$)"""
+_BREAKS = "p|div|li|footer|section|header|aside|blockquote|address|nav|article|h[1-6]|ul|ol|table|tr|td|br"
+A_TAG = rf"(?i)<a\b{_REST}"
+BREAK_TAG = rf"(?i)</?(?:{_BREAKS})\b{_REST}"
+ANY_TAG = rf"<[a-zA-Z/!?]{_REST}"
+HREF = r"""(?i)\shref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+UNSEEN = r"(?is)<!--.*?(?:-->|$)|<script\b.*?(?:</script\s*>|$)|<style\b.*?(?:</style\s*>|$)|<title\b.*?(?:</title\s*>|$)"
+
+
 def _visible(s: str) -> str:
-    return f"regexp_replace({s}, {_q(html.INVISIBLE)}, '', 'g')"
+    return f"regexp_replace({s}, {_q(UNSEEN)}, '', 'g')"
 
 
 def _links(pages: str, keys: str) -> str:
     return f"""
     SELECT {keys}, link_ord, {_decode("regexp_replace(quoted, '^[''\"]|[''\"]$', '', 'g')")} AS href
     FROM (SELECT {keys}, unnest(range(len(h))) AS link_ord, unnest(h) AS quoted
-          FROM (SELECT {keys}, list_filter(
-                  regexp_extract_all({_visible('html')}, {_q(html.HREF)}, 1), lambda x: x <> '') AS h
+          FROM (SELECT {keys}, list_filter(list_transform(
+                  regexp_extract_all({_visible('html')}, {_q(A_TAG)}), lambda t: regexp_extract(t, {_q(HREF)}, 1)),
+                  lambda x: x <> '') AS h
                 FROM {pages}))"""
 
 
 def _texts(pages: str, keys: str) -> str:
-    marked = f"regexp_replace({_visible('html')}, {_q(html.BLOCK_TAG)}, chr(1), 'g')"
-    stripped = f"regexp_replace({marked}, {_q(html.ANY_TAG)}, '', 'g')"
+    marked = f"regexp_replace({_visible('html')}, {_q(BREAK_TAG)}, chr(1), 'g')"
+    stripped = f"regexp_replace({marked}, {_q(ANY_TAG)}, '', 'g')"
     return f"SELECT {keys}, {_decode('s')} AS text FROM (SELECT {keys}, {stripped} AS s FROM {pages})"
 
 
@@ -182,6 +193,10 @@ CTES = {
           unnest(['Call ' || a || '-555-' || b || ' or ' || c, a || '-555-' || b, a || '-555-', b, c, c || '.555.' || d, '2']) AS text
         FROM nested_facts""",
     "nested_candidates": _candidates("nested_texts", "url, nth"),
+    "nested_found": f"""SELECT url, CAST(row_number() OVER (PARTITION BY url ORDER BY first) - 1 AS INTEGER) AS number_ord, number
+        FROM (SELECT url, number, min(rank) AS first FROM (
+                SELECT url, {_format('raw')} AS number, [nth, pattern_ord, match_ord] AS rank FROM nested_candidates)
+              WHERE ({_reason('number')}) IS NULL GROUP BY url, number)""",
     # documents and given pages
     "doc_candidates": _candidates("documents", "doc_id"),
     "doc_numbers": _numbers(
@@ -198,7 +213,7 @@ CTES = {
     "given_candidates": _candidates("given_blocks", f"{K}, block_ord"),
     "given_numbers": _numbers(f"{_tel('given_links', K)} UNION ALL {_text('given_candidates', K)}", K),
     "all_numbers": """SELECT number FROM numbers UNION SELECT number FROM doc_numbers
-        UNION SELECT number FROM given_numbers""",
+        UNION SELECT number FROM given_numbers UNION SELECT number FROM nested_found""",
     "e164": """SELECT number, CASE WHEN length(digits) >= 8 THEN digits END AS digits
         FROM (SELECT number, CASE
             WHEN regexp_full_match(number, '1?[0-9]{10}') THEN '1' || right(number, 10)
@@ -372,10 +387,9 @@ BODIES = {
     "stream_contacts": _wide(f"({_top3('feed_pairs', 'parent_url')})", "parent_url", "url"),
     "stream_first_hit": f"SELECT {_FINAL_COLUMNS} FROM feed_first",
     "nested_text_blocks": "SELECT url, CAST(nth AS INTEGER) AS nth, tag, text FROM nested_texts",
-    "nested_numbers": f"""SELECT url, CAST(row_number() OVER (PARTITION BY url ORDER BY first) - 1 AS INTEGER) AS number_ord, number
-        FROM (SELECT url, number, min(rank) AS first FROM (
-                SELECT url, {_format('raw')} AS number, [nth, pattern_ord, match_ord] AS rank FROM nested_candidates)
-              WHERE ({_reason('number')}) IS NULL GROUP BY url, number)""",
+    "nested_numbers": "SELECT url, number_ord, number FROM nested_found",
+    "contacts_nested": _wide("""(SELECT url, number, number_country AS country, number_ord + 1 AS rn FROM nested_found
+        LEFT JOIN number_countries USING (number) WHERE number_ord < 3)""", "url", "url"),
     "nested_parent_filter": "SELECT pattern_ord, count(*) AS n, 0::BIGINT AS n_left FROM nested_candidates GROUP BY pattern_ord",
     "stream_csv_feed": "SELECT url, " + ", ".join(
         f"coalesce({c}, '') AS {c}" for c in _FINAL_COLUMNS.split(", ")[1:]

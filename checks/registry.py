@@ -213,6 +213,13 @@ def nested_numbers(spark, sf):
     return extract.page_numbers(extract.numbers_of_elements(nested_pages(spark, sf), "url"), "url")
 
 
+@query
+def contacts_nested(spark, sf):
+    """Contacts of pages whose numbers are split over nested blocks."""
+    pairs = contacts.page_pairs(nested_pages(spark, sf), "url", nested=True)
+    return rollup.array_to_pairs(rollup.first_pairs(pairs), "url")
+
+
 @query
 def nested_parent_filter(spark, sf):
     """Of how many candidates of each pattern the number stands in the text around its element: all."""

@@ -16,11 +16,6 @@ INVISIBLE = (
     r"(?is)<(?:!--.*?(?:-->|\z)|script\b.*?(?:</script\s*>|\z)"
     r"|style\b.*?(?:</style\s*>|\z)|title\b.*?(?:</title\s*>|\z))"
 )
-# Tags whose attributes hold no '>', as the SQL of checks has them; where none does, they are the same as those below.
-BLOCK_TAG = rf"(?i)</?(?:{'|'.join(BLOCK_TAGS + SEPARATOR_TAGS)})\b[^>]*(?:>|\z)"
-ANY_TAG = r"<[a-zA-Z/!?][^>]*(?:>|\z)"
-# A whole <a> tag, so that each tag is read once; group 1 is '' for a tag without href.
-HREF = r"""(?i)<a\b(?:[^>]*?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?[^>]*(?:>|\z)"""
 # The rest of a tag. A quote opens a value after '=' only, and may hold '>'; one that is never closed is
 # a character like others. Every repetition is possessive, so the matcher neither backtracks nor recurses.
 _VALUE = r"""=\s*+(?:"[^"]*+"|'[^']*+')?+"""
@@ -40,10 +35,10 @@ def visible_html(html: Column) -> Column:
 
 
 def _entity_char(reference: Column) -> Column:
-    """Character of ``65`` or ``x41``; a code that is no printable character gives U+FFFD."""
-    code = F.when(
+    """Character of ``65`` or ``x41``; a code that is no printable character gives U+FFFD, however long it is."""
+    code = F.when(F.length(reference) <= 7, F.when(
         reference.rlike("^[xX]"), F.conv(F.substring(reference, 2, 6), 16, 10)
-    ).otherwise(reference).cast("int")
+    ).otherwise(reference).cast("int"))
     printable = code.isin(9, 10, 13) | code.between(32, 0xD7FF) | code.between(0xE000, 0x10FFFF)
     return F.when(
         printable, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
@@ -53,8 +48,8 @@ def _entity_char(reference: Column) -> Column:
 def _decode_piece(encoded: Column, i: Column) -> Column:
     """A text after ``&#`` with the reference it begins with decoded; leading zeros don't count."""
     piece = F.when(i == 0, encoded).otherwise(F.regexp_replace(encoded, "^([xX]?)0+(?=[0-9a-fA-F])", "$1"))
-    reference = F.regexp_extract(piece, r"^([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});?", 1)
-    rest = F.regexp_replace(piece, r"^(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});?", "")
+    reference = F.regexp_extract(piece, r"^([0-9]++|[xX][0-9a-fA-F]++);?", 1)
+    rest = F.regexp_replace(piece, r"^(?:[0-9]++|[xX][0-9a-fA-F]++);?", "")
     return (
         F.when(i == 0, piece)
         .when(reference == "", F.concat(F.lit("&#"), encoded))

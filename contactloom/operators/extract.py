@@ -119,16 +119,23 @@ def numbers_of_pages(pages: DataFrame, *keys: str, parent_filter: bool = False)
     )
 
 
-def numbers_and_links(pages: DataFrame, *keys: str, parent_filter: bool = False) -> DataFrame:
-    """``(keys, numbers, zips, links)`` of all HTML pages; ``links`` are raw hrefs with their place."""
+def numbers_and_links(pages: DataFrame, *keys: str, parent_filter: bool = False, nested: bool = False) -> DataFrame:
+    """``(keys, numbers, zips, links)`` of all HTML pages; ``links`` are raw hrefs with their place.
+
+    ``nested`` reads numbers and zips element by element, as ``numbers_of_elements`` does.
+    """
     links = F.transform(
         html.hrefs(F.col("hrefs")), lambda h, i: F.struct(i.alias("link_ord"), h.alias("href"))
     )
-    found = _page_parts(pages, *keys).select(
-        *keys, "text", links.alias("links"), _page_numbers(parent_filter).alias("numbers")
-    )
     none = F.array().cast("array<string>")
-    zips = F.when(F.size("numbers") > 0, _page_zips()).otherwise(none)
+    if nested and not parent_filter:
+        parts, numbers, page_zips = _element_parts(pages, *keys), _element_numbers(), _element_zips()
+        text = "page"
+    else:
+        parts, numbers, page_zips = _page_parts(pages, *keys), _page_numbers(parent_filter), _page_zips()
+        text = "text"
+    found = parts.select(*keys, text, links.alias("links"), numbers.alias("numbers"))
+    zips = F.when(F.size("numbers") > 0, page_zips).otherwise(none)
     return found.select(*keys, "numbers", zips.alias("zips"), "links")
 
 
@@ -153,6 +160,24 @@ def element_texts(pages: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def _element_parts(pages: DataFrame, *keys: str) -> DataFrame:
+    """``(keys, page, hrefs, runs)``: text and elements of a page, its links, and its elements' digit runs."""
+    hrefs = html.joined_hrefs(F.col("visible"))
+    return _page_elements(pages, *keys).select(*keys, "page", hrefs.alias("hrefs")).select(
+        *keys, "page", html.decode_entities(F.col("hrefs")).alias("hrefs"), elements.runs_of_elements(F.col("page")).alias("runs")
+    )
+
+
+def _element_numbers() -> Column:
+    return phone.valid_numbers(html.tel_hrefs(F.col("hrefs")), None, F.col("runs"))
+
+
+def _element_zips() -> Column:
+    page = F.col("page")
+    texts = F.transform(F.filter(page["elements"], elements.is_text_tag), lambda e: elements.text_of(page["text"], e))
+    return F.array_distinct(F.flatten(F.transform(texts, lambda t: phone.zip_codes(t))))
+
+
 def numbers_of_elements(pages: DataFrame, *keys: str) -> DataFrame:
     """``(keys, numbers, zips)`` of the pages with a valid number, read element by element.
 
@@ -160,15 +185,9 @@ def numbers_of_elements(pages: DataFrame, *keys: str) -> DataFrame:
     document order, so a number that is split over two blocks is found in the element around them.
     Text outside all text elements is not read. A row-to-row step, like ``numbers_of_pages``.
     """
-    page = F.col("page")
-    hrefs = html.decode_entities(F.col("hrefs"))
-    parts = _page_elements(pages, *keys).select(*keys, "page", html.joined_hrefs(F.col("visible")).alias("hrefs")).select(
-        *keys, "page", hrefs.alias("hrefs"), elements.runs_of_elements(page).alias("runs")
+    return _element_parts(pages, *keys).select(*keys, "page", _if_any(_element_numbers())).select(
+        *keys, "numbers", _element_zips().alias("zips")
     )
-    numbers = phone.valid_numbers(html.tel_hrefs(F.col("hrefs")), None, F.col("runs"))
-    texts = F.transform(F.filter(page["elements"], elements.is_text_tag), lambda e: elements.text_of(page["text"], e))
-    zips = F.array_distinct(F.flatten(F.transform(texts, lambda t: phone.zip_codes(t))))
-    return parts.select(*keys, "page", _if_any(numbers)).select(*keys, "numbers", zips.alias("zips"))
 
 
 def outside_parent(candidates: DataFrame) -> DataFrame:

@@ -28,11 +28,16 @@ def text_pairs(texts: DataFrame, *keys: str, postal: DataFrame | None = None) ->
 
 
 def page_pairs(
-    pages: DataFrame, *keys: str, postal: DataFrame | None = None, parent_filter: bool = False
+    pages: DataFrame, *keys: str, postal: DataFrame | None = None, parent_filter: bool = False, nested: bool = False,
 ) -> DataFrame:
-    """``(keys, numbers, pairs)`` of HTML pages that hold a number."""
-    found = extract.numbers_of_pages(pages, *keys, parent_filter=parent_filter)
-    return _with_pairs(found, postal)
+    """``(keys, numbers, pairs)`` of HTML pages that hold a number.
+
+    ``nested`` reads every element with what is nested in it, so that numbers which are split over
+    blocks count; the parent filter leaves tel: links only, however elements are read.
+    """
+    if nested and not parent_filter:
+        return _with_pairs(extract.numbers_of_elements(pages, *keys), postal)
+    return _with_pairs(extract.numbers_of_pages(pages, *keys, parent_filter=parent_filter), postal)
 
 
 def contacts_per_site(
@@ -100,18 +105,26 @@ def first_pages(pages: DataFrame, wanted: DataFrame, filter_from: int = FILTER_F
     return known.select("asked", "url", "page_id", "html").join(first, ["asked", "page_id"], "left_semi")
 
 
-def home_facts(pages: DataFrame, seeds: DataFrame, parent_filter: bool = False) -> DataFrame:
+def one_of_each(facts: DataFrame, key: str) -> DataFrame:
+    """One whole row for each ``key``: of several the one with the smallest hash, so the choice is the rows' own."""
+    row = F.struct(*facts.columns)
+    return facts.groupBy(F.col(key).alias("of")).agg(F.min_by(row, F.xxhash64(*facts.columns)).alias("row")).select("row.*")
+
+
+def home_facts(pages: DataFrame, seeds: DataFrame, parent_filter: bool = False, nested: bool = False) -> DataFrame:
     """``(parent_url, answer_url, seed_ord, numbers, zips, links)`` of the seeds' own pages.
 
     Only these pages' links are read; a domain listed twice keeps its first place. All their
     numbers are kept.
     """
     first = shared_table(seed_urls(seeds).groupBy("url").agg(F.min("seed_ord").alias("seed_ord")), "homes")
-    found = extract.numbers_and_links(first_pages(pages, first), "asked", "url", parent_filter=parent_filter)
+    found = extract.numbers_and_links(
+        first_pages(pages, first), "asked", "url", parent_filter=parent_filter, nested=nested
+    )
     homes = found.select(
         F.col("asked").alias("parent_url"), F.col("url").alias("answer_url"), "numbers", "zips",
         F.filter("links", lambda x: links.is_relevant(x.href) & ~links.is_social(x.href)).alias("links"),
-    ).dropDuplicates(["parent_url"])
+    ).transform(one_of_each, "parent_url")
     return homes.join(first.withColumnRenamed("url", "parent_url"), "parent_url")
 
 
@@ -160,20 +173,21 @@ def visited(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def crawl(
-    pages: DataFrame, seeds: DataFrame, postal: DataFrame | None = None, parent_filter: bool = False, keep: Keep = kept_once,
+    pages: DataFrame, seeds: DataFrame, postal: DataFrame | None = None, parent_filter: bool = False,
+    nested: bool = False, keep: Keep = kept_once,
 ) -> DataFrame:
     """``(parent_url, url, depth, seed_ord, link_ord, pairs)`` of every page the crawl reaches.
 
     Seeds first: their pages are read for numbers and links, the links say which other pages are
     reached, and only those are read, for their numbers. All pairs of a page are kept.
     """
-    home = keep("home-facts", lambda: _with_pairs(home_facts(pages, seeds, parent_filter), postal))
+    home = keep("home-facts", lambda: _with_pairs(home_facts(pages, seeds, parent_filter, nested), postal))
     reached = keep("visited", lambda: visited(link_targets(open_parents(home)), seeds))
 
     def found() -> DataFrame:
         children = first_pages(pages, reached.filter("depth = 1"))
-        facts = extract.numbers_and_links(children, "asked", parent_filter=parent_filter)
-        return _with_pairs(facts.drop("links").dropDuplicates(["asked"]), postal)
+        facts = extract.numbers_and_links(children, "asked", parent_filter=parent_filter, nested=nested)
+        return _with_pairs(one_of_each(facts.drop("links"), "asked"), postal)
 
     others = keep("child-facts", found).select(F.col("asked").alias("url"), "pairs")
     known = home.select(F.col("parent_url").alias("url"), "pairs").unionByName(others)
@@ -181,7 +195,8 @@ def crawl(
 
 
 def stored_crawl(
-    pages: DataFrame, seeds: DataFrame, postal: DataFrame | None = None, parent_filter: bool = False, resume: bool = False,
+    pages: DataFrame, seeds: DataFrame, postal: DataFrame | None = None, parent_filter: bool = False,
+    nested: bool = False, resume: bool = False,
 ) -> DataFrame:
     """``crawl``, its result stored in the shared folder.
 
@@ -190,9 +205,9 @@ def stored_crawl(
     """
     keep = kept_once
     if resume:
-        inputs = [pages.drop("html"), seeds, f"parent_filter={parent_filter}", *([] if postal is None else [postal])]
+        inputs = [pages.drop("html"), seeds, f"{parent_filter=} {nested=}", *([] if postal is None else [postal])]
         keep = resumable(pages.sparkSession, input_mark(*inputs))
-    return keep("crawl", lambda: crawl(pages, seeds, postal, parent_filter, keep))
+    return keep("crawl", lambda: crawl(pages, seeds, postal, parent_filter, nested, keep))
 
 
 def contacts_final(reached: DataFrame) -> DataFrame:

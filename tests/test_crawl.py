@@ -271,3 +271,15 @@ def test_filtered_frontier_finds_the_same_pages(spark, frames):
     pages, seeds, _ = frames
     wanted = seeds.selectExpr("concat('https://', domain) AS url").distinct()
     assert rows_of(contacts.first_pages(pages, wanted, filter_from=0)) == rows_of(contacts.first_pages(pages, wanted))
+
+
+def test_nested_crawl_finds_numbers_that_are_split(spark):
+    home = '<div><a href="/contact">c</a><section><p>202-555-</p><p>0143</p></section></div>'
+    child = "<div><span>416</span>.<span>555</span>.<span>0100</span></div>2025550199"
+    pages = spark.createDataFrame(
+        [(1, "https://a.example.com", home), (2, "https://a.example.com/contact", child)], "page_id long, url string, html string"
+    )
+    seeds = spark.createDataFrame([(0, "a.example.com")], "seed_ord long, domain string")
+    flat, nested = (wide(contacts.contacts_final(contacts.stored_crawl(pages, seeds, nested=n))) for n in (False, True))
+    assert nested == {"https://a.example.com": [("2025550143", "US"), ("4165550100", "CA")]}
+    assert flat == {"https://a.example.com": [("4165550100", "CA"), ("2025550199", "US")]}

@@ -169,3 +169,16 @@ def test_links_that_are_no_pages_are_not_followed(spark):
                                 ["mailto:help@a.com", "tel:1", "javascript:help()", "/contact.pdf"]],
                                "base string, href string")
     assert links.follow(df, "base").count() == 0
+
+
+def test_numeric_entities_of_any_length(spark):
+    from html import unescape
+
+    from contactloom.functions.html import decode_entities
+
+    texts = ["&#50;&#x32;", "&#12345678901;5", "&#x110000;a", "&#xFFFFFFFFFFFFFFFF;z", "&#0000000000000050;2", "&#x;", "&#;", "&#99999999", "&#1114111;"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(decode_entities(F.col("t"))).collect()]
+    want = [unescape(t) for t in texts]
+    want[8] = "\U0010ffff"  # which Python leaves out
+    assert got == want
