@@ -133,9 +133,9 @@ def host_verdicts(measured: DataFrame, host: str, rules: Rules = Rules()) -> Dat
     sums. The prior's two moments are the only values that come to the driver. The prior's weight
     is at least two documents, which keeps hosts of one document near the others' rate.
     """
-    counts = measured.groupBy(F.col(host).alias("host")).agg(
+    counts = shared_table(measured.groupBy(F.col(host).alias("host")).agg(
         F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("soft_failed").cast("long")).alias("n_failed")
-    )
+    ), "host-counts")
     rate = F.col("n_failed") / F.col("n_docs")
     moments = counts.agg(
         (F.sum("n_failed") / F.sum("n_docs")).alias("mean"), F.var_samp(rate).alias("var")
@@ -150,25 +150,27 @@ def host_verdicts(measured: DataFrame, host: str, rules: Rules = Rules()) -> Dat
     )
 
 
+def _judged(measured: DataFrame, verdicts: DataFrame, host: str) -> DataFrame:
+    """Verdicts are a table of known size, joined by Spark's own choice: broadcast if small, else a join
+    whose skewed hosts are split."""
+    taken = ("failure_rate", "host_failed", "kept")
+    rows = boxed(measured.select(*[F.col(f"`{c}`") for c in measured.columns if c not in taken]))
+    return (
+        rows.join(verdicts, F.col(f"_r.`{host}`").eqNullSafe(F.col("host")), "left")
+        .select("_r.*", "failure_rate", "host_failed")
+        .withColumn("kept", ~F.col("base_failed") & ~(F.col("host_failed") & F.col("soft_failed")))
+    )
+
+
 def judge_measured(measured: DataFrame, host: str = "source", rules: Rules = Rules()) -> DataFrame:
     """Measured rows with ``failure_rate``, ``host_failed`` and ``kept``.
 
     A document is rejected if it fails a base rule, or if its host is bad and it fails any rule.
     The measured rows are written once to the shared folder and read for the host counts (two
-    columns) and for the verdicts; neither pass works on the texts again. Host verdicts are a table
-    of known size, joined by Spark's own choice: broadcast if small, else a join whose skewed hosts
-    are split.
+    columns) and for the verdicts; neither pass works on the texts again.
     """
     stored = shared_table(measured, "quality")
-    taken = ("failure_rate", "host_failed", "kept")
-    stored = stored.select(*[F.col(f"`{c}`") for c in stored.columns if c not in taken])
-    verdicts = shared_table(host_verdicts(stored, host, rules), "host-verdicts")
-    rows = boxed(stored)
-    return (
-        rows.join(verdicts, F.col(f"_r.`{host}`").eqNullSafe(F.col("host")), "left")
-        .select("_r.*", "failure_rate", "host_failed")
-        .withColumn("kept", ~F.col("base_failed") & ~(F.col("host_failed") & F.col("soft_failed")))
-    )
+    return _judged(stored, shared_table(host_verdicts(stored, host, rules), "host-verdicts"), host)
 
 
 def judge(
@@ -181,8 +183,10 @@ def judge(
 def keep(docs: DataFrame, text: str = "text", host: str = "source", rules: Rules = Rules()) -> DataFrame:
     """The kept rows of ``docs``, columns unchanged.
 
-    The measures stay beside the row, so texts are written once and never shuffled.
+    Texts are measured twice, for the hosts' counts and for the rows' own verdicts, so that they are
+    neither stored nor shuffled.
     """
     beside = boxed(docs, text=F.col(f"`{text}`"), host=F.col(f"`{host}`")).withColumnRenamed("_r", "_row")
+    verdicts = host_verdicts(with_measures(beside.drop("_row"), "text", rules), "host", rules)
     measured = with_measures(beside, "text", rules).drop("text")
-    return judge_measured(measured, "host", rules).filter("kept").select("_row.*")
+    return _judged(measured, shared_table(verdicts, "host-verdicts"), "host").filter("kept").select("_row.*")
