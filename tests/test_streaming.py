@@ -208,3 +208,20 @@ def test_zips_are_looked_up_in_the_row(spark):
     assert [r[0] for r in df.select(look(F.col("zips"))).collect()] == ["US", "CA", "CA", None, None, None, "US", None]
     nothing = feed.zip_country_of(spark.createDataFrame([], "zip string, country string"))
     assert {r[0] for r in df.select(nothing(F.col("zips"))).collect()} == {None}
+
+
+def test_a_restarted_streams_rows_are_dealt_to_every_core(spark, monkeypatch):
+    """A trigger reads one file; its pages are read by all tasks, not by the file's one."""
+    from checks import registry
+    from tests.conftest import SF
+
+    started = []
+
+    def captured(stream, *args, **options):
+        started.append(stream)
+        raise InterruptedError
+
+    monkeypatch.setattr(registry, "_start", captured)
+    with pytest.raises(InterruptedError):
+        registry.stream_restart(spark, SF)
+    assert "Repartition" in started[0]._jdf.queryExecution().analyzed().toString()
