@@ -225,3 +225,43 @@ def test_a_restarted_streams_rows_are_dealt_to_every_core(spark, monkeypatch):
     with pytest.raises(InterruptedError):
         registry.stream_restart(spark, SF)
     assert "Repartition" in started[0]._jdf.queryExecution().analyzed().toString()
+
+
+def _operators(stream, path):
+    query = feed.start(stream, new_path(stream.sparkSession, "ck"), path=path)
+    query.awaitTermination()
+    return [o.operatorName for o in query.lastProgress.stateOperators]
+
+
+def test_first_copies_and_hits_need_no_python_call_per_key(spark, busy):
+    path, _ = busy
+    out = new_path(spark, "hits")
+    stream = feed.page_hits(inputs.stream_table(spark, path, PAGES))
+    assert _operators(stream, out) == ["dedupe"]
+    first = feed.first_hits(inputs.stream_table(spark, out, stream.schema))
+    assert _operators(first, new_path(spark, "first")) == ["dedupe"]
+
+
+def test_lowest_of_a_batch_takes_null_keys_and_ids(spark):
+    source, out = new_path(spark, "copies"), new_path(spark, "out")
+    rows = [(None, "a", 1), (3, "a", 2), (2, "a", 3), (2, None, 4), (1, None, 5), (None, "b", 6)]
+    schema = "page_id long, url string, n int"
+    for some in (rows, [(0, "a", 7), (1, "c", 8), (0, None, 9)]):
+        spark.createDataFrame(some, schema).repartition(3).write.mode("append").parquet(f"{source}/{len(some)}")
+    streams = (inputs.stream_table(spark, f"{source}/{n}", schema) for n in (6, 3))
+    assert sorted(r.n for r in run(feed.first_copies(next(streams)), out).collect()) == [3, 5, 6]
+    assert sorted(r.n for r in run(feed.first_copies(next(streams)), new_path(spark, "out")).collect()) == [7, 8, 9]
+
+
+@pytest.mark.parametrize("buckets", [1, 7])
+def test_parts_of_a_bucket_are_told_apart(spark, busy, monkeypatch, buckets):
+    """Many parts share a bucket's state; the contacts are those of the batch job."""
+    monkeypatch.setattr(feed, "BUCKETS", buckets)
+    path, _ = busy
+    out = new_path(spark, "hits")
+    stream = feed.page_hits(inputs.stream_table(spark, path, PAGES, files_per_trigger=1))
+    ranked = run(stream, out).selectExpr("parent_url", "url", "0 AS depth", "page_id AS seed_ord", "0 AS link_ord", "pairs")
+    hits = inputs.stream_table(spark, out, stream.schema, files_per_trigger=1)
+    changes = run(feed.growing_contacts(hits, parts=4), new_path(spark, "changes"))
+    assert rows(feed.current_contacts(changes)) == rows(contacts.contacts_final(ranked))
+    assert changes.groupBy("url", "part", "revision").count().filter("count > 1").isEmpty()
