@@ -27,11 +27,20 @@ from contactloom.llm.word_bpe import Remembered, WordBpe, chunks, groups, pieces
 
 
 RUN_BYTES = 1 << 22  # text whose new words are counted together
+KNOWN_PAIRS = 1 << 18  # neighbours whose verdicts are kept
+
+
+def endings(tokens: dict[str, int]) -> dict[str, int]:
+    """Every ending of a token, itself included -> the token it is, -1 if it is none."""
+    found = {text[at:]: -1 for text in tokens for at in range(len(text))}
+    return found | {text: token for text, token in tokens.items() if text}
 
 
 class PrefixCounter:
     def __init__(self, bpe: WordBpe):
         self.bpe = bpe
+        self.inner, self.final = endings(bpe.inner), endings(bpe.final)
+        self.pairs: dict[int, bool] = {}
         self.word_counts = Remembered(self._count_words)
         self.chunk_counts = Remembered(self._count_chunks)
 
@@ -53,11 +62,26 @@ class PrefixCounter:
             else:  # rules of one rank work from the left, so the border's would come first
                 limit, b = rank[b] + 1, self.bpe.left[b]
 
+    def _known_apart(self, a: int, b: int) -> bool:
+        key = a << 20 | b
+        known = self.pairs.get(key)
+        if known is None:
+            if len(self.pairs) >= KNOWN_PAIRS:
+                self.pairs.clear()
+            known = self.pairs[key] = self.apart(a, b)
+        return known
+
     def _last(self, word: str, end: int, tokens: dict[str, int], last: list[int], counts: list[int]):
-        """(token, count) of the prefix word[:end]."""
-        for start in range(max(0, end - self.bpe.longest), end):
+        """(token, count) of the prefix word[:end]; ``tokens`` are ``endings``, so looking stops where no token goes on."""
+        fitting = []
+        for start in range(end - 1, -1, -1):
             token = tokens.get(word[start:end])
-            if token is not None and (start == 0 or self.apart(last[start], token)):
+            if token is None:
+                break
+            if token >= 0:
+                fitting.append((start, token))
+        for start, token in reversed(fitting):
+            if start == 0 or self._known_apart(last[start], token):
                 return token, counts[start] + 1
         raise ValueError(f"no token ends {word[:end]!r}")
 
@@ -67,15 +91,18 @@ class PrefixCounter:
         last, counts = [-1], [0]  # of each prefix inside the word
         for word in sorted(words):
             letters = self.bpe.as_letters(word)
+            if self.final.get(letters, -1) >= 0:
+                found[word] = 1
+                continue
             same, most = 0, min(len(before), len(letters), len(last) - 1)
             while same < most and before[same] == letters[same]:
                 same += 1
             del last[same + 1 :], counts[same + 1 :]
             for end in range(same + 1, len(letters)):
-                token, count = self._last(letters, end, self.bpe.inner, last, counts)
+                token, count = self._last(letters, end, self.inner, last, counts)
                 last.append(token)
                 counts.append(count)
-            found[word] = self._last(letters, len(letters), self.bpe.final, last, counts)[1]
+            found[word] = self._last(letters, len(letters), self.final, last, counts)[1]
             before = letters
         return [found[w] for w in words]
 
@@ -84,8 +111,8 @@ class PrefixCounter:
         letters = self.bpe.as_letters(word)
         last, counts, whole = [-1], [0], []
         for end in range(1, len(letters) + 1):
-            whole.append(self._last(letters, end, self.bpe.final, last, counts)[1])
-            token, count = self._last(letters, end, self.bpe.inner, last, counts)
+            whole.append(self._last(letters, end, self.final, last, counts)[1])
+            token, count = self._last(letters, end, self.inner, last, counts)
             last.append(token)
             counts.append(count)
         ends = accumulate(len(c.encode("utf-8")) for c in word)

@@ -166,3 +166,26 @@ def test_token_files_are_flat(spark, library, tmp_path):
 def test_token_files_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert token_files.token_files(docs, WORDS).collect() == []
+
+
+def test_the_last_token_is_looked_for_among_endings_of_tokens():
+    """Looking stops at the first text that ends no token, however long the longest token is."""
+    from contactloom.llm.token_counts import endings
+
+    found = endings({"abc": 5, "c": 0, "": 9})
+    assert found == {"abc": 5, "bc": -1, "c": 0}
+
+
+def test_long_and_short_words_count_as_the_library_does(library):
+    """Words that begin alike, one behind the other."""
+    import public_tokenizers
+
+    from contactloom.llm.token_counts import PrefixCounter
+    from contactloom.llm.word_bpe import word_bpe
+
+    own = PrefixCounter(word_bpe(public_tokenizers.path("word_bpe_49k.json")))
+    stem = "aershlyatthinonan" * 20
+    words = [stem[:n] + end for n in (5, 9, 199, 260) for end in ("", "eauxq", "zz", "7")]
+    assert list(own.count_all([*words, " ".join(words)])) == [
+        len(library.encode(t, add_special_tokens=False).ids) for t in [*words, " ".join(words)]
+    ]
