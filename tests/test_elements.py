@@ -150,3 +150,36 @@ def test_every_text_match_stands_in_the_text_around_its_element(pages):
 def test_hostile_pages_are_linear(spark, page):
     df = spark.createDataFrame([(page,)], "html string")
     assert len(extract.numbers_of_elements(df).collect()) <= 1
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_candidates_are_made_once(spark):
+    """Runs of a text are found by one expression, and a mark needs no second reading of the pages."""
+    df = spark.createDataFrame([(1, "<div>202-555-0143</div>"), (2, None), (3, "<p>x")], "page_id long, html string")
+    texts = extract.element_texts(df.repartition(2), "page_id").withColumn("at", F.col("element_ord"))
+    raw = extract.pattern_candidates(texts, "page_id", "element_ord", "parent_text")
+    assert _plan(raw).count("array_join(regexp_extract_all") == 1
+    marked = extract.outside_parent(raw, mark="left").collect()
+    assert [(r.page_id, r.pattern_ord, r.raw, r.left) for r in marked] == [
+        (1, 2, "202-555-0143", False), (1, 6, "202-555-0143", False)
+    ]
+    gone = raw.withColumn("parent_text", F.lit("elsewhere"))
+    assert [r.left for r in extract.outside_parent(gone, mark="left").collect()] == [True, True]
+    assert extract.outside_parent(gone).count() == 2
+
+
+def test_nested_parent_filter_reads_its_pages_once(spark, tmp_path):
+    from checks import registry
+
+    spark.createDataFrame([(1, 7)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    assert _plan(registry.nested_parent_filter(spark, str(tmp_path))).count("Scan parquet") == 1
+
+
+def test_a_machine_of_many_steps_is_no_expression(spark):
+    """The stack was an aggregate over tags, hundreds of interpreted expressions for each."""
+    df = spark.createDataFrame([("<div><p>a</p></div>",)], "html string").repartition(1)
+    plan = _plan(df.select(elements.page_elements(F.col("html")).alias("p")))
+    assert "ArrowEvalPython" in plan and "aggregate(" not in plan
