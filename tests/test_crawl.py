@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from contactloom.operators import rollup
+from contactloom.operators import extract, links, rollup
 from contactloom.plans import contacts
 
 SITES = 12
@@ -283,3 +283,48 @@ def test_nested_crawl_finds_numbers_that_are_split(spark):
     flat, nested = (wide(contacts.contacts_final(contacts.stored_crawl(pages, seeds, nested=n))) for n in (False, True))
     assert nested == {"https://a.example.com": [("2025550143", "US"), ("4165550100", "CA")]}
     assert flat == {"https://a.example.com": [("4165550100", "CA"), ("2025550199", "US")]}
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_and_links_are_made_once(spark):
+    """Filters that are pushed below what makes pairs or links would make them again."""
+    found = spark.createDataFrame([("u", 1, ["2025550143"])], "url string, page_id long, numbers array<string>").repartition(2)
+    pairs = found.withColumn("pairs", contacts.pair_array(F.col("numbers"), F.lit(None).cast("string")))
+    rows = rollup.explode_pairs(pairs, "url", "page_id")
+    assert [tuple(r) for r in rows.collect()] == [("u", 1, 0, "2025550143", "US")]
+    assert "size(transform(" not in _plan(rows)
+    page = spark.createDataFrame([("u", '<a href="/contact?a=1&amp;b">x</a><a href=tel:5>y</a>')], "url string, html string")
+    kept = links.not_social_links(links.relevant_links(links.page_links(page.repartition(2), "url")))
+    assert _plan(kept).count("regexp_extract_all") == 1
+    assert [tuple(r) for r in kept.collect()] == [("u", 0, "/contact?a=1&b")]
+
+
+def test_joins_and_groups_by_url_sort_by_a_hash_first(spark):
+    """Urls begin alike, so a sort by url compares whole strings."""
+    pages = spark.createDataFrame([(2, "https://a", "x"), (1, "https://a", "y")], "page_id long, url string, html string")
+    first = links.first_copies(pages.drop("html"), pages)
+    assert first.columns == ["page_id", "url"] and [tuple(r) for r in first.collect()] == [(1, "https://a")]
+    assert "[url_key" in _plan(first).replace("xxhash64(", "[url_key")
+    claims = contacts.visited(
+        spark.createDataFrame([("https://b", 0, 0, "https://a")], "target string, seed_ord long, link_ord int, parent_url string"),
+        spark.createDataFrame([(0, "a")], "seed_ord long, domain string"),
+    )
+    assert "Sort [url_key" in _plan(claims)
+
+
+def test_only_links_that_may_be_numbers_are_decoded(spark):
+    html_ = '<a href="/x">a</a><a href=\'t&#101;l:2025550143\'>b</a><a href="te&#108;&colon;3125550142">c</a><a href="TEL:2125550141">d</a>'
+    page = spark.createDataFrame([("u", html_)], "url string, html string")
+    assert [r.numbers for r in extract.numbers_of_pages(page, "url").collect()] == [["2025550143", "3125550142"]]
+    assert "tel" in _plan(extract.numbers_of_pages(page.repartition(2), "url")).split("array_join(filter(")[1][:3000]
+
+
+def test_home_edges_takes_one_whole_copy(spark):
+    """Two pages of one key are not mixed link by link."""
+    both = ['<a href="/contact/1">a</a><a href="/contact/2">b</a>', '<a href="/help/1">a</a><a href="/help/2">b</a>']
+    pages = spark.createDataFrame([(1, "https://a", h) for h in both], "page_id long, url string, html string")
+    edges = contacts.home_edges(pages, spark.createDataFrame([(0, "a")], "seed_ord long, domain string")).collect()
+    assert len(edges) == 2 and len({r.href.split("/")[1] for r in edges}) == 1
