@@ -155,7 +155,8 @@ class Remembered:
                 held = self.known
                 self.known = {k: held[k] for k in keys if k in held}
                 self.older = held
-            again = fresh.intersection(self.older)
+            # looked up one by one: a set's own intersection with a dict would walk all of the dict
+            again = {k for k in fresh if k in self.older}
             self.known.update((k, self.older[k]) for k in again)
             new = list(fresh - again)
             self.known.update(zip(new, self.fill(new), strict=True))

@@ -189,3 +189,19 @@ def test_long_and_short_words_count_as_the_library_does(library):
     assert list(own.count_all([*words, " ".join(words)])) == [
         len(library.encode(t, add_special_tokens=False).ids) for t in [*words, " ".join(words)]
     ]
+
+
+def test_the_older_generation_is_looked_up_not_walked():
+    """A walk over it for every few new words was most of the time of counting."""
+    from contactloom.llm.word_bpe import Remembered
+
+    class Unwalked(dict):
+        def __iter__(self):
+            raise AssertionError("walked")
+
+        keys = items = values = __iter__
+
+    asked = []
+    kept = Remembered(lambda keys: asked.append(sorted(keys)) or [len(k) for k in keys])
+    kept.older = Unwalked(a=1, bb=2)
+    assert list(kept.of(["bb", "ccc", "a"])) == [2, 3, 1] and asked == [["ccc"]]
