@@ -17,12 +17,13 @@ other columns are ignored.
 """
 
 import os
+import sys
 import tempfile
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from struct import pack
 
 import numpy as np
 import pandas as pd
@@ -37,7 +38,7 @@ from contactloom.sources.shared import new_path, shared_table
 
 #: Text bytes of a shard; it decides how many there are.
 SHARD_BYTES = 64_000_000
-RUN_BYTES = 1 << 22  # text whose new words are encoded together
+RUN_BYTES = 1 << 17  # text whose new words are encoded together; its words should stay in the processor's cache
 CACHE_WORDS, CACHE_CHUNKS = 400_000, 800_000
 MANIFEST = "shard long, temporary string, n_docs long, n_tokens long"
 #: What a task notes of each document of a shard, in order.
@@ -60,23 +61,31 @@ class Encoder:
         self.chunks = Remembered(self._encode_chunks, CACHE_CHUNKS)
 
     def _bytes(self, ids: list[int]) -> bytes:
-        return pack(f"<{len(ids)}{self.dtype.char}", *ids)
+        packed = array(self.dtype.char, ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
         return [self._bytes([t.id for t in self.model.tokenize(self.bpe.as_letters(w))]) for w in words]
 
     def _encode_chunks(self, new: list[str]) -> list[bytes]:
-        odd = [self.bpe.unfamiliar(c) for c in new]
-        words = [self.bpe.words(c) if "<|" not in c and not o else [] for c, o in zip(new, odd, strict=True)]
-        out = [b"".join(ids) for ids in self.words.of_each(words)]
+        out, places, words = [b""] * len(new), [], []
         for i, chunk in enumerate(new):
-            if odd[i]:
+            if not chunk.isascii() and self.bpe.unfamiliar(chunk):
                 out[i] = self._bytes(self.bpe.library_ids(chunk))
             elif "<|" in chunk:
                 out[i] = b"".join(
                     b"".join(self.words.of(self.bpe.words(text))) + self.special.get(special, b"")
                     for text, special in self.bpe.segments(chunk)
                 )
+            else:
+                places.append(i)
+                words.append(self.bpe.words(chunk))
+        self.words.learn(*words)
+        ids = self.words.known
+        for i, own in zip(places, words, strict=True):
+            out[i] = ids[own[0]] if len(own) == 1 else b"".join([ids[w] for w in own])
         return out
 
     def encode(self, text: str) -> bytes:

@@ -10,6 +10,7 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import filterfalse
 
 import regex
 
@@ -84,6 +85,9 @@ class WordBpe:
 
     def words(self, text: str) -> list[str]:
         """The words of an ordinary text."""
+        if text.isascii():
+            low = text.lower()
+            return [low] if low.isalpha() else self.pattern.findall(low)
         low = self.lowered(self.composed(text))
         return [low] if low.isalpha() else self.pattern.findall(low)
 
@@ -148,12 +152,13 @@ class Remembered:
 
     def learn(self, *lists: list[str]) -> None:
         """See to it that all keys are known, until the next call."""
-        keys = set().union(*lists)
-        fresh = keys.difference(self.known)
+        fresh, is_known = set(), self.known.__contains__
+        for keys in lists:  # most keys are known, so they are not put into a set first
+            fresh.update(filterfalse(is_known, keys))
         if fresh:
             if len(self.known) + len(fresh) > self.limit // 2:
                 held = self.known
-                self.known = {k: held[k] for k in keys if k in held}
+                self.known = {k: held[k] for k in set().union(*lists) if k in held}
                 self.older = held
             # looked up one by one: a set's own intersection with a dict would walk all of the dict
             again = {k for k in fresh if k in self.older}

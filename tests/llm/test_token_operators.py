@@ -205,3 +205,24 @@ def test_the_older_generation_is_looked_up_not_walked():
     kept = Remembered(lambda keys: asked.append(sorted(keys)) or [len(k) for k in keys])
     kept.older = Unwalked(a=1, bb=2)
     assert list(kept.of(["bb", "ccc", "a"])) == [2, 3, 1] and asked == [["ccc"]]
+
+
+def _largest_call(memory, monkeypatch):
+    """Characters of the largest call of a memory's ``learn`` so far."""
+    most, learn = [0], memory.learn
+
+    def counted(*lists):
+        most[0] = max(most[0], sum(len(k) for keys in lists for k in keys))
+        learn(*lists)
+
+    monkeypatch.setattr(memory, "learn", counted)
+    return most
+
+
+def test_token_files_work_on_short_runs(monkeypatch):
+    """Texts whose words are looked up together stay small."""
+    own = token_files.Encoder(WORDS, "uint16")
+    most = _largest_call(own.chunks, monkeypatch)
+    text = " ".join(f"Word{i % 500} its plain, words" for i in range(400))
+    assert len(set(own.encode_all([text] * 100))) == 1
+    assert 0 < most[0] <= 1 << 18
