@@ -36,8 +36,8 @@ SPACE = "▁"
 _BITS = 20  # of the table that tells most absent substrings without a search
 _PAIR_BITS = 20  # of the table of pairs already compared
 NEVER = 1 << 40
-RUN_BYTES = 1 << 22  # text whose new words are searched together
-CACHE_WORDS, CACHE_PARTS = 800_000, 400_000
+RUN_BYTES = 1 << 20  # text whose new words are searched together
+CACHE_WORDS, CACHE_PARTS = 400_000, 200_000
 PART_ROWS = 2_000  # rows of a batch whose ids are held at once
 
 

@@ -226,3 +226,13 @@ def test_token_files_work_on_short_runs(monkeypatch):
     text = " ".join(f"Word{i % 500} its plain, words" for i in range(400))
     assert len(set(own.encode_all([text] * 100))) == 1
     assert 0 < most[0] <= 1 << 18
+
+
+def test_sentencepiece_holds_little(monkeypatch):
+    """A worker's memory: short runs, and at most 600,000 remembered words and parts."""
+    own = sentencepiece.Encoder(PIECES)
+    most = _largest_call(own.words, monkeypatch)
+    text = " ".join(f"word{i % 500} its plain, words" for i in range(4000))
+    assert len(set(sentencepiece.encoded([text] * 40, own))) == 1
+    assert 0 < most[0] <= 1 << 21
+    assert own.words.limit + own.parts.limit <= 600_000
