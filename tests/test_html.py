@@ -3,6 +3,7 @@ from urllib.parse import urldefrag, urljoin
 import pytest
 from pyspark.sql import functions as F
 
+from contactloom.functions import html, phone
 from contactloom.operators import extract, links
 
 PAGE = """<!DOCTYPE html><html><head><title>Call 2025550199</title><style>p{width:2025550198px}</style>
@@ -182,3 +183,18 @@ def test_numeric_entities_of_any_length(spark):
     want = [unescape(t) for t in texts]
     want[8] = "\U0010ffff"  # which Python leaves out
     assert got == want
+
+
+def test_digit_runs_of_a_page_in_one_scan(spark):
+    """The blocks' digit runs are those of each block on its own, encoded or not."""
+    texts = [
+        "", "no digits\u0001\u0001", "Call 202-555-0199 or 3125550142\u0001555 01\u0001(202) 555-0100", "202-555-\u00010199\u0001",
+        "Call 202&nbsp;555&#45;0199\u0001&#53;125550142\u000112&#5\u00015550142 2025550142\u0001a &amp; b", "&#1;2025550142|3125550142", None,
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    kept = F.transform(html.blocks(F.col("text")), lambda b: html.decode_entities(b))
+    each = phone.valid_numbers(None, kept)
+    once = phone.valid_numbers(None, None, phone.runs_of_blocks(html.digit_text(F.col("text")), html.BLOCK_MARK))
+    found = rows.select(each.alias("each"), once.alias("once")).collect()
+    assert [r["once"] for r in found] == [r["each"] for r in found]
+    assert found[2]["once"] == ["2025550199", "3125550142", "2025550100"] and found[3]["once"] == []
