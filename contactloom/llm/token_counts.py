@@ -16,7 +16,7 @@ prefixes in code points of the text's NFC form (the text itself, nearly always).
 
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, pairwise
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -28,6 +28,7 @@ from contactloom.llm.word_bpe import Remembered, WordBpe, chunks, groups, pieces
 
 RUN_BYTES = 1 << 22  # text whose new words are counted together
 KNOWN_PAIRS = 1 << 18  # neighbours whose verdicts are kept
+KNOWN_STEPS = 1 << 17  # steps from letter to letter that are kept
 
 
 def endings(tokens: dict[str, int]) -> dict[str, int]:
@@ -40,6 +41,8 @@ class PrefixCounter:
     def __init__(self, bpe: WordBpe):
         self.bpe = bpe
         self.inner, self.final = endings(bpe.inner), endings(bpe.final)
+        self.beginnings = {text[:end] for text in bpe.inner for end in range(len(text) + 1)}
+        self.steps: dict[str, tuple[str, list[tuple[int, int]]]] = {}
         self.pairs: dict[int, bool] = {}
         self.word_counts = Remembered(self._count_words)
         self.chunk_counts = Remembered(self._count_chunks)
@@ -85,10 +88,24 @@ class PrefixCounter:
                 return token, counts[start] + 1
         raise ValueError(f"no token ends {word[:end]!r}")
 
+    def _step(self, text: str) -> tuple[str, list[tuple[int, int]]]:
+        """(longest ending of ``text`` that a token begins with, (length, token) of its endings that are inner tokens).
+
+        The longest token comes first. Every token that a prefix of a word ends with ends this ending too, so a
+        prefix's tokens are known from the ending of the prefix before it and one more letter.
+        """
+        ending = next(text[at:] for at in range(len(text) + 1) if text[at:] in self.beginnings)
+        tokens = ((len(ending) - at, self.bpe.inner.get(ending[at:], -1)) for at in range(len(ending)))
+        if len(self.steps) >= KNOWN_STEPS:
+            self.steps.clear()
+        known = self.steps[text] = ending, [(size, token) for size, token in tokens if token >= 0]
+        return known
+
     def _count_words(self, words: list[str]) -> list[int]:
         """Token counts of words, in the given order; worked on in alphabetical order."""
         found, before = {}, ""
-        last, counts = [-1], [0]  # of each prefix inside the word
+        steps, pairs = self.steps, self.pairs
+        last, counts, ended = [-1], [0], [""]  # of each prefix inside the word
         for word in sorted(words):
             letters = self.bpe.as_letters(word)
             if self.final.get(letters, -1) >= 0:
@@ -97,11 +114,23 @@ class PrefixCounter:
             same, most = 0, min(len(before), len(letters), len(last) - 1)
             while same < most and before[same] == letters[same]:
                 same += 1
-            del last[same + 1 :], counts[same + 1 :]
+            del last[same + 1 :], counts[same + 1 :], ended[same + 1 :]
+            ending = ended[same]
             for end in range(same + 1, len(letters)):
-                token, count = self._last(letters, end, self.inner, last, counts)
-                last.append(token)
-                counts.append(count)
+                text = ending + letters[end - 1]
+                ending, fitting = steps.get(text) or self._step(text)
+                for size, token in fitting:
+                    start = end - size
+                    if start:
+                        known = pairs.get(last[start] << 20 | token)
+                        if not (self._known_apart(last[start], token) if known is None else known):
+                            continue
+                    last.append(token)
+                    counts.append(counts[start] + 1)
+                    ended.append(ending)
+                    break
+                else:
+                    raise ValueError(f"no token ends {letters[:end]!r}")
             found[word] = self._last(letters, len(letters), self.final, last, counts)[1]
             before = letters
         return [found[w] for w in words]
@@ -119,20 +148,21 @@ class PrefixCounter:
         return [whole[e - 1] for e in ends]
 
     def _count_chunks(self, new: list[str]) -> list[int]:
-        words, totals = [], [0] * len(new)
+        bpe, words, totals, ends = self.bpe, [], [0] * len(new), [0]
         for i, chunk in enumerate(new):
-            if self.bpe.unfamiliar(chunk):
-                totals[i] = len(self.bpe.library_ids(chunk))
-                words.append([])
-                continue
-            if "<|" in chunk:
-                parts = list(self.bpe.segments(chunk))
+            if chunk.isascii() and chunk.isalpha():
+                words.append(chunk.lower())
+            elif bpe.unfamiliar(chunk):
+                totals[i] = len(bpe.library_ids(chunk))
+            elif "<|" in chunk:
+                parts = list(bpe.segments(chunk))
                 totals[i] = sum(1 for _, special in parts if special)
-                own = [w for text, _ in parts for w in self.bpe.words(text)]
+                words += [w for text, _ in parts for w in bpe.words(text)]
             else:
-                own = self.bpe.words(chunk)
-            words.append(own)
-        return [n + sum(counts) for n, counts in zip(totals, self.word_counts.of_each(words), strict=True)]
+                words += bpe.words(chunk)
+            ends.append(len(words))
+        before = list(accumulate(self.word_counts.of(words), initial=0))
+        return [n + before[end] - before[start] for n, (start, end) in zip(totals, pairwise(ends), strict=True)]
 
     def count(self, text: str) -> int:
         return sum(sum(self.chunk_counts.of(chunks(p))) for p in pieces(text))
@@ -193,7 +223,7 @@ class PrefixCounter:
     def fitting(self, text: str, budget: int) -> int:
         """Code points of the longest prefix of the text's NFC form with at most ``budget`` tokens."""
         base = at = 0
-        for piece in pieces(self.bpe.composed(text)):
+        for piece in pieces(self.bpe.composed(text), max(4 * budget, 1)):  # a long text is read as far as it fits
             own = chunks(piece)
             counts = list(self.chunk_counts.of(own))
             if base + sum(counts) <= budget:

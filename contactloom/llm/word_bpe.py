@@ -10,7 +10,7 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import filterfalse
+from itertools import chain, filterfalse
 
 import regex
 
@@ -108,11 +108,11 @@ def word_bpe(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def pieces(text: str) -> Iterator[str]:
-    """Parts of about PIECE_BYTES, cut after a space or line end, or not at all if there is none."""
+def pieces(text: str, size: int = PIECE_BYTES) -> Iterator[str]:
+    """Parts of about ``size``, cut after a space or line end, or not at all if there is none."""
     at = 0
-    while len(text) - at > PIECE_BYTES:
-        cut = max(text.rfind(" ", at, at + PIECE_BYTES), text.rfind("\n", at, at + PIECE_BYTES))
+    while len(text) - at > size:
+        cut = max(text.rfind(" ", at, at + size), text.rfind("\n", at, at + size))
         if cut < at:
             near = [c for c in (text.find(" ", at), text.find("\n", at)) if c >= 0]
             cut = min(near, default=len(text) - 1)
@@ -153,8 +153,8 @@ class Remembered:
     def learn(self, *lists: list[str]) -> None:
         """See to it that all keys are known, until the next call."""
         fresh, is_known = set(), self.known.__contains__
-        for keys in lists:  # most keys are known, so they are not put into a set first
-            fresh.update(filterfalse(is_known, keys))
+        # most keys are known, so they are not put into a set first
+        fresh.update(filterfalse(is_known, chain.from_iterable(lists)))
         if fresh:
             if len(self.known) + len(fresh) > self.limit // 2:
                 held = self.known

@@ -236,3 +236,19 @@ def test_sentencepiece_holds_little(monkeypatch):
     assert len(set(sentencepiece.encoded([text] * 40, own))) == 1
     assert 0 < most[0] <= 1 << 21
     assert own.words.limit + own.parts.limit <= 600_000
+
+
+def test_a_long_text_is_read_as_far_as_it_fits(library):
+    own = token_counts.PrefixCounter(word_bpe.word_bpe(WORDS))
+    text = " ".join(f"word{i}\n" for i in range(20_000))
+    end = own.fitting(text, 50)
+    assert len(own.chunk_counts.known) < 500
+    assert len(ids(library, text[:end])) == 50 < len(ids(library, text[: end + 1]))
+
+
+def test_steps_from_letter_to_letter_are_kept(library, monkeypatch):
+    monkeypatch.setattr(token_counts, "KNOWN_STEPS", 5)
+    own = token_counts.PrefixCounter(word_bpe.word_bpe(WORDS))
+    for text in ["unbelievably unbelieving antidisestablishment", "zzqxj 日本語 éé 'tis it's", "", "a"]:
+        assert own.count(text) == len(ids(library, text))
+    assert 0 < len(own.steps) <= 5
