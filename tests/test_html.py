@@ -198,3 +198,32 @@ def test_digit_runs_of_a_page_in_one_scan(spark):
     found = rows.select(each.alias("each"), once.alias("once")).collect()
     assert [r["once"] for r in found] == [r["each"] for r in found]
     assert found[2]["once"] == ["2025550199", "3125550142", "2025550100"] and found[3]["once"] == []
+
+
+def test_pages_are_read_without_their_links_where_only_numbers_count(spark, page):
+    """The same numbers and zips; links are looked for only in pages that may hold a tel: link."""
+    more = spark.createDataFrame(
+        [(2, "u", '<a href="/x?a&amp;b">a</a><p>202&nbsp;555&period;0100 10001</p>'), (3, "v", "<p>none</p>"), (4, "w", None)],
+        "page_id long, url string, html string",
+    )
+    pages = page.unionByName(more)
+    read = extract.numbers_of_all_pages(pages, "page_id")
+    both = extract.numbers_and_links(pages, "page_id")
+    assert sorted(map(str, read.collect())) == sorted(map(str, both.drop("links").collect()))
+    plan = extract.numbers_of_all_pages(more.repartition(2), "page_id")._jdf.queryExecution().executedPlan().toString()
+    assert "CASE WHEN (Contains(visible" in plan and plan.count("regexp_extract_all(visible") == 1
+
+
+def test_names_are_replaced_only_where_there_is_one(spark):
+    texts = ["a &amp; b", "&amp;nbsp;", "&#38;nbsp;1", "2&nbsp;&amp;&lpar;", "&unknown;", "&", "&amp", "none", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(html.decode_entities(F.col("t"))).collect()]
+    assert got == ["a & b", "&nbsp;", " 1", "2 &(", "&unknown;", "&", "&amp", "none", None]
+
+
+def test_relevant_words_are_found_anywhere_in_any_case(spark):
+    from contactloom.functions.fixed_values import LINK_KEYWORDS
+
+    df = spark.createDataFrame([(f"x{a}{word[:1]}{b}{word.upper()}y",) for word in LINK_KEYWORDS for a in "cs" for b in ("", "a")], "href string")
+    assert links.relevant_links(df).count() == df.count()
+    assert links.relevant_links(spark.createDataFrame([("/product",), ("/cal",), ("",)], "href string")).count() == 0
