@@ -265,3 +265,45 @@ def test_parts_of_a_bucket_are_told_apart(spark, busy, monkeypatch, buckets):
     changes = run(feed.growing_contacts(hits, parts=4), new_path(spark, "changes"))
     assert rows(feed.current_contacts(changes)) == rows(contacts.contacts_final(ranked))
     assert changes.groupBy("url", "part", "revision").count().filter("count > 1").isEmpty()
+
+
+def test_blocks_of_a_bucket_split_as_it_grows(spark, busy, monkeypatch):
+    """Parts move to other blocks with all they hold: the contacts are the batch job's, revisions count on."""
+    monkeypatch.setattr(feed, "BUCKETS", 2)
+    monkeypatch.setattr(feed, "BLOCK_PARTS", 1)
+    path, _ = busy
+    out = new_path(spark, "hits")
+    stream = feed.page_hits(inputs.stream_table(spark, path, PAGES, files_per_trigger=1))
+    # one more parent a batch, so that blocks that hold something are split
+    odd = F.when(F.col("page_id") % 7 == 0, F.concat("parent_url", (F.col("page_id") / 60).cast("int"), F.lit('"ä\n'))).otherwise(F.col("parent_url"))
+    named = stream.withColumn("parent_url", F.when(F.col("page_id") % 11 != 0, odd))
+    stored = run(named, out)
+    hits = inputs.stream_table(spark, out, named.schema, files_per_trigger=1)
+    changes = run(feed.growing_contacts(hits, parts=16), new_path(spark, "changes"))
+    ranked = stored.selectExpr("parent_url", "url", "0 AS depth", "page_id AS seed_ord", "0 AS link_ord", "pairs")
+    assert sorted(map(str, feed.current_contacts(changes).collect())) == sorted(map(str, contacts.contacts_final(ranked).collect()))
+    counts = changes.groupBy("url", "part").agg(F.count("*").alias("n"), F.max("revision").alias("last"))
+    assert counts.filter("n != last").isEmpty() and counts.count() > 40
+
+
+def test_a_bucket_of_growing_contacts_asks_the_state_once_for_many_parts():
+    """Reads and writes of state, counted: 200 parts in one bucket take few."""
+    import json
+    from types import SimpleNamespace
+
+    calls = []
+
+    def kept(of):
+        return SimpleNamespace(
+            get=lambda: calls.append("get") or of.get(()), exists=lambda: () in of, update=lambda v: calls.append("update") or of.update({(): v}),
+            getValue=lambda k: calls.append("get") or of.get(k), updateValue=lambda k, v: calls.append("update") or of.update({k: v}),
+            containsKey=lambda k: k in of,
+        )
+
+    job = feed.GrowingContacts()
+    job.init(SimpleNamespace(getValueState=lambda *_: kept({}), getMapState=lambda *_: kept({})))
+    pages = [{"parent_url": f"p{i}", "part": i % 3, "page_id": i, "pairs": [{"number": str(i), "country": None}]} for i in range(200)]
+    rows = [SimpleNamespace(page=json.dumps(p)) for p in pages]
+    first = [c for row in job.handleInputRows((0,), rows, None) for c in json.loads(row.changes)]
+    assert len(first) == 200 and {c["revision"] for c in first} == {1} and len(calls) < 30
+    assert list(job.handleInputRows((0,), rows, None)) == []
