@@ -328,3 +328,28 @@ def test_home_edges_takes_one_whole_copy(spark):
     pages = spark.createDataFrame([(1, "https://a", h) for h in both], "page_id long, url string, html string")
     edges = contacts.home_edges(pages, spark.createDataFrame([(0, "a")], "seed_ord long, domain string")).collect()
     assert len(edges) == 2 and len({r.href.split("/")[1] for r in edges}) == 1
+
+
+def test_links_of_home_pages_are_stored_once_and_only_of_open_parents(frames, expected):
+    """A page with as many numbers as its parent can have keeps none, and no lookup of postal codes carries links."""
+    tables = {}
+
+    def keep(name, make):
+        tables[name] = contacts.kept_once(name, make)
+        return tables[name]
+
+    reached = contacts.crawl(*frames, keep=keep)
+    assert wide(contacts.contacts_final(reached)) == expected[1]
+    full, others = (tables["home-pages"].filter(f"size(numbers) {c} 3") for c in (">=", "<"))
+    assert full.count() == 3 and full.filter("links IS NOT NULL").isEmpty()
+    assert others.filter("size(links) > 0").count() == others.count() == SITES - 3
+    assert tables["home-facts"].columns == ["parent_url", "pairs"]
+
+
+def test_rows_that_become_pages_are_dealt_without_a_sort(spark):
+    """Dealing rows in turn sorts them first; they are dealt by the columns that the pages are made of."""
+    from checks import registry
+    from tests.conftest import SF
+
+    plan = _plan(registry.crawl_pages(spark, SF))
+    assert plan.count("REPARTITION_BY_NUM") == 3 and "RoundRobin" not in plan and "hashpartitioning(l_orderkey" in plan
