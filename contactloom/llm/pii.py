@@ -113,23 +113,25 @@ def _spans_of(text: Column, kind: Kind) -> Column:
         ends = F.transform(matches, lambda m, i: F.right(F.concat(_end(F.get(gaps, i)), m), F.lit(CONTEXT_CHARS)))
         begins = F.transform(matches, lambda m, i: F.left(F.concat(m, _begin(F.get(gaps, i + 1))), F.lit(CONTEXT_CHARS)))
 
-        def near(i: Column) -> Column:
+        def near(i: Column, ends: Column, begins: Column) -> Column:
             first = F.greatest(i - CONTEXT_MATCHES, F.lit(0))
             before = F.concat(F.array_join(F.slice(ends, first + 1, i - first), ""), _end(F.get(gaps, i)))
             after = F.concat(_begin(F.get(gaps, i + 1)), F.array_join(F.slice(begins, i + 2, F.lit(CONTEXT_MATCHES)), ""))
             return F.concat_ws(" ", _end(before), _begin(after))
 
-        def at(before: Column) -> Column:
+        def at(before: Column, ends: Column, begins: Column) -> Column:
             every = F.transform(matches, lambda m, i: F.struct(
                 m.alias("m"), i.alias("i"), (F.get(before, i) + F.char_length(F.get(gaps, i))).alias("start"),
             ))
             return F.transform(F.filter(every, lambda x: kind.check(x["m"])), lambda x: F.struct(
                 F.lit(kind.name).alias("kind"), x["start"].alias("start"),
                 (x["start"] + F.char_length(x["m"])).alias("end"),
-                _score(kind, near(x["i"])).alias("score"),
+                _score(kind, near(x["i"], ends, begins)).alias("score"),
             ))
 
-        return let(running(lengths, lambda a, b: a + b, F.lit(0)), at)
+        # one struct, since every further lambda costs the analyzer a round
+        once = F.struct(running(lengths, lambda a, b: a + b, F.lit(0)).alias("before"), ends.alias("ends"), begins.alias("begins"))
+        return let(once, lambda x: at(x["before"], x["ends"], x["begins"]))
 
     found = F.regexp_extract_all(text, F.lit(kind.pattern), 0)
     spans = F.when(text.rlike(kind.hint), let(found, walk)).otherwise(F.array().cast(SPAN))
